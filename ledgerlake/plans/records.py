@@ -13,7 +13,7 @@ from .registry import query
 from .views import A, EFF, EVENTS_NOW, M, NOW, audit, events, memory, table
 
 DAYS = f"greatest(0, floor(({NOW} - created_epoch) / 86400.0))"
-CREATED = "make_timestamp(created_epoch * 1000000)"
+CREATED = "make_timestamp(created_epoch * 1000000::BIGINT)"
 
 
 # --- trust ---
@@ -150,7 +150,7 @@ def queue(spark, sf):
     )
 
 
-STUCK = f"status = 'failed' OR (status = 'processing' AND claimed_at < make_timestamp(({EVENTS_NOW} - 3600) * 1000000))"
+STUCK = f"status = 'failed' OR (status = 'processing' AND claimed_at < make_timestamp(({EVENTS_NOW} - 3600) * 1000000::BIGINT))"
 
 
 @query(
@@ -254,11 +254,22 @@ def sql_pattern_flags(spark, sf):
     )
 
 
-@query()
+SAID = "concat('I like ', source_agent, ' more. We avoid ', project, ', they say ', content)"
+
+
+@query(
+    f"""WITH {M}, s AS (SELECT id, {SAID} AS said FROM memory),
+ p AS (SELECT id, regexp_extract_all(said, '(?i)\\b(prefer|like|love|enjoy|want)\\s+(.*?)(?:\\s+over|\\s+more|\\.|,|$)', 1) AS v,
+  regexp_extract_all(said, '(?i)\\b(prefer|like|love|enjoy|want)\\s+(.*?)(?:\\s+over|\\s+more|\\.|,|$)', 2) AS o FROM s),
+ d AS (SELECT id, regexp_extract_all(said, '(?i)\\b(hate|dislike|don''t?\\s+like|avoid|detest)\\s+(.*?)(?:\\.|,|$)', 1) AS v,
+  regexp_extract_all(said, '(?i)\\b(hate|dislike|don''t?\\s+like|avoid|detest)\\s+(.*?)(?:\\.|,|$)', 2) AS o FROM s)
+ SELECT id, unnest(v) AS verb, unnest(o) AS object FROM p UNION ALL SELECT id, unnest(v), unnest(o) FROM d"""
+)
 def affinity_terms(spark, sf):
-    """Preference and dislike pairs of every record."""
-    rows = memory(spark, sf).select(
-        "id", F.explode(F.concat(tx.affinity(F.col("content"), "prefer"), tx.affinity(F.col("content"), "dislike"))).alias("a")
+    """Preference and dislike pairs of every record, each opened by a statement of both kinds."""
+    said = memory(spark, sf).withColumn("said", F.expr(SAID))
+    rows = said.select(
+        "id", F.explode(F.concat(tx.affinity(F.col("said"), "prefer"), tx.affinity(F.col("said"), "dislike"))).alias("a")
     )
     return rows.select("id", "a.verb", "a.object")
 
@@ -446,7 +457,7 @@ def flood_admission(spark, sf):
 
 @query(
     f"""WITH {A} SELECT memory_id, count(*) AS flags FROM audit WHERE action = 'conflict_flagged'
- AND timestamp > make_timestamp(({EVENTS_NOW} - 7 * 86400) * 1000000) GROUP BY 1 HAVING count(*) >= 3"""
+ AND timestamp > make_timestamp(({EVENTS_NOW} - 7 * 86400) * 1000000::BIGINT) GROUP BY 1 HAVING count(*) >= 3"""
 )
 def repeat_conflicts(spark, sf):
     return conflict.repeat_conflicts(audit(spark, sf), EVENTS_NOW)
@@ -472,7 +483,7 @@ def inbox_review(spark, sf):
 @query(
     f"""WITH q AS ({QUEUE_SQL}) SELECT id, CASE WHEN status = 'failed' AND memory_id % 4 + 1 >= 3 THEN 'failed'
   WHEN status = 'failed' THEN 'pending' ELSE status END AS next_status,
- status = 'processing' AND claimed_at < make_timestamp(({EVENTS_NOW} - 3600) * 1000000) AS reclaimable FROM q"""
+ status = 'processing' AND claimed_at < make_timestamp(({EVENTS_NOW} - 3600) * 1000000::BIGINT) AS reclaimable FROM q"""
 )
 def retry_policy(spark, sf):
     step = ingest.after_failure(F.col("status"), F.col("memory_id") % 4, "failed")
@@ -484,7 +495,7 @@ def retry_policy(spark, sf):
 
 @query(
     f"""WITH i AS ({INBOX_SQL}) SELECT id, status FROM i WHERE NOT (status IN ('approved', 'merged', 'rejected')
- AND processed_at < make_timestamp(({EVENTS_NOW} - 10 * 86400) * 1000000))"""
+ AND processed_at < make_timestamp(({EVENTS_NOW} - 10 * 86400) * 1000000::BIGINT))"""
 )
 def inbox_ttl(spark, sf):
     return archive.retained_inbox(inbox(spark, sf), EVENTS_NOW, 10).select("id", "status")
@@ -593,7 +604,7 @@ def text_hashes(spark, sf):
 @query(
     f"""WITH {M}, {A} SELECT id FROM memory m WHERE valid_until_epoch IS NULL AND memory_type = 'procedural'
  AND NOT EXISTS (SELECT 1 FROM audit a WHERE a.memory_id = m.id AND action = 'searched'
-   AND timestamp > make_timestamp(({EVENTS_NOW} - 10 * 86400) * 1000000))
+   AND timestamp > make_timestamp(({EVENTS_NOW} - 10 * 86400) * 1000000::BIGINT))
  AND NOT EXISTS (SELECT 1 FROM audit a WHERE a.memory_id = m.id AND action = 'stale_flagged')"""
 )
 def stale_procedural(spark, sf):
@@ -602,18 +613,18 @@ def stale_procedural(spark, sf):
 
 @query(
     f"""WITH {M}, g AS (SELECT source_agent, count(*) AS cnt, avg(trust_score) AS avg_trust FROM memory
-  WHERE valid_until_epoch IS NULL AND trust_score < 0.6 GROUP BY 1 HAVING count(*) <= 18)
+  WHERE valid_until_epoch IS NULL AND trust_score < 0.6 GROUP BY 1 HAVING count(*) <= 20)
  SELECT id, source_agent, cnt, round(avg_trust, 6) AS avg_trust FROM memory JOIN g USING (source_agent)
  WHERE valid_until_epoch IS NULL AND trust_score < 0.6"""
 )
 def weak_signal(spark, sf):
-    out = insights.weak_signals(memory(spark, sf), "source_agent", 0.6, 18)
+    out = insights.weak_signals(memory(spark, sf), "source_agent", 0.6, 20)
     return out.select("id", "source_agent", "cnt", F.round("avg_trust", 6).alias("avg_trust"))
 
 
 @query(
     f"""WITH {A}, q AS ({QUEUE_SQL}) SELECT id, memory_id FROM q WHERE status = 'failed'
- AND claimed_at < make_timestamp(({EVENTS_NOW} - 24 * 3600) * 1000000)
+ AND claimed_at < make_timestamp(({EVENTS_NOW} - 24 * 3600) * 1000000::BIGINT)
  AND memory_id NOT IN (SELECT memory_id FROM audit WHERE action = 'purchase' AND actor = '8')"""
 )
 def stuck_conflicts(spark, sf):
@@ -623,7 +634,7 @@ def stuck_conflicts(spark, sf):
 
 
 @query(
-    f"""WITH {M} SELECT count(*) AS archived, count(DISTINCT strftime(make_timestamp(valid_until_epoch * 1000000), '%Y-%m')) AS months
+    f"""WITH {M} SELECT count(*) AS archived, count(DISTINCT strftime(make_timestamp(valid_until_epoch * 1000000::BIGINT), '%Y-%m')) AS months
  FROM memory WHERE valid_until_epoch < {NOW} - 90 * 86400 AND id % 5 <> 0"""
 )
 def cold_archive(spark, sf):
