@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import governance, records, search  # noqa: F401
+from . import governance, graphs, records, search, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
