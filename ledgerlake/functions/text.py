@@ -29,6 +29,11 @@ INJECTION_PATTERNS = (
     r"\b(bypass|override)\b[^.!?]{0,30}\b(your|its)\b",
     r"disregard\s+(previous|above|prior|all)",
 )
+# A lower-case literal contained in every match of the patterns above.
+INJECTION_HINTS = (
+    "ignore", "system", "you are", "act as", "pretend to be", "roleplay as", "[instruction]",
+    "[admin]", "[critical]", "admin", "bypass", "override", "disregard",
+)
 SQL_PATTERNS = (
     r"\bDROP\s+(TABLE|DATABASE|SCHEMA)",
     r"\bDELETE\s+(?:FROM)?",
@@ -125,6 +130,11 @@ def cased(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times inside one expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace on both sides."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -146,20 +156,39 @@ def detection_form(text: Column) -> Column:
     """Fold zero-width, compatibility and confusable characters. Detection only.
 
     NFKC has no built-in; only texts with characters it could change reach the Arrow UDF,
-    the others cross as NULL.
+    the others cross as NULL. Plain ASCII needs no folding at all.
     """
-    bare = F.regexp_replace(text, f"[{ZERO_WIDTH}]", "")
-    odd = F.when(bare.rlike(f"[^{_NFKC_STABLE}]"), bare)
+    ascii_only = F.octet_length(text) == F.length(text)
+    bare = F.when(ascii_only, text).otherwise(F.regexp_replace(text, f"[{ZERO_WIDTH}]", ""))
+    odd = F.when(~ascii_only & bare.rlike(f"[^{_NFKC_STABLE}]"), bare)
     folded = F.coalesce(_nfkc(odd), bare)
-    return F.translate(folded, "".join(CONFUSABLES), "".join(CONFUSABLES.values()))
+    return F.when(ascii_only, text).otherwise(
+        F.translate(folded, "".join(CONFUSABLES), "".join(CONFUSABLES.values()))
+    )
 
 
 def _any_of(patterns: tuple[str, ...]) -> str:
     return any_case("|".join(f"(?:{p})" for p in patterns))
 
 
+def folded_case(text: Column) -> Column:
+    """Lower case with the letters that match an ASCII letter when case is ignored."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def injection_flag(text: Column) -> Column:
-    return detection_form(text).rlike(_any_of(INJECTION_PATTERNS))
+    """Any pattern hit. A literal every pattern needs is looked for first, as a substring."""
+
+    def judged(form: Column) -> Column:
+        def hinted(low: Column) -> Column:
+            hint = F.lit(False)
+            for word in INJECTION_HINTS:
+                hint = hint | F.contains(low, F.lit(word))
+            return hint
+
+        return let(folded_case(form), hinted) & form.rlike(_any_of(INJECTION_PATTERNS))
+
+    return let(detection_form(text), judged)
 
 
 def injection_hits(text: Column) -> Column:
@@ -407,27 +436,39 @@ def entity_structs(content: Column, extra: dict[str, str] | None = None) -> Colu
             name.alias("name"), F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence")
         )
 
-    listed = F.array(
-        *[
+    def listed(folded: Column) -> Column:
+        """Gazetteer hits; a plain substring test spares most texts the word regex."""
+        hits = [
             F.when(
-                content.rlike(any_case(rf"\b{re.escape(name)}\b")), struct(F.lit(name), kind, 0.9)
+                F.contains(folded, F.lit(name.lower()))
+                & content.rlike(any_case(rf"\b{re.escape(name)}\b")),
+                struct(F.lit(name), kind, 0.9),
             )
             for name, kind in names.items()
         ]
-    )
-    matched = F.filter(listed, lambda x: x.isNotNull())
-    claimed = F.transform(matched, lambda x: F.lower(x["name"]))
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
     def all_of(pattern: str) -> Column:
         return F.array_distinct(F.regexp_extract_all(content, F.lit(cased(pattern)), F.lit(1)))
 
+    def persons(claimed: Column) -> Column:
+        free = F.filter(
+            all_of(PERSON),
+            lambda p: ~F.arrays_overlap(
+                F.array_append(F.split(F.lower(p), r"(?U)\s+"), F.lower(p)), claimed
+            ),
+        )
+        return F.transform(free, lambda p: struct(strip(p), "person", 0.7))
+
     hosts = F.transform(all_of(URL_HOST), lambda h: struct(clean_host(h), "organization", 0.8))
     mails = F.transform(all_of(EMAIL_DOMAIN), lambda h: struct(clean_host(h), "organization", 0.7))
-    free = F.filter(
-        all_of(PERSON),
-        lambda p: ~F.arrays_overlap(
-            F.array_append(F.split(F.lower(p), r"(?U)\s+"), F.lower(p)), claimed
+    found = let(
+        let(folded_case(content), listed),
+        lambda matched: F.concat(
+            matched,
+            hosts,
+            mails,
+            let(F.transform(matched, lambda x: F.lower(x["name"])), persons),
         ),
     )
-    persons = F.transform(free, lambda p: struct(strip(p), "person", 0.7))
-    return F.filter(F.concat(matched, hosts, mails, persons), lambda x: x["name"] != "")
+    return F.filter(found, lambda x: x["name"] != "")

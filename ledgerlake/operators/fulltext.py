@@ -1,8 +1,9 @@
-"""Full-text match over postings, for a whole table of queries at once.
+"""Full-text match of a whole table of queries.
 
 Queries take four forms: words (all required), "phrases", -negated units and `or` between
-groups. A postings table (token, id, pos) can be built once and stored by token; a search then
-reads only the tokens it needs. rank = sum over matched units of tf / (tf + 1).
+groups. Each query group is driven by its rarest required word: a record meets a query only
+through that word, and the other words are checked in the row, so no posting list is shuffled.
+rank = sum over the matched units of tf / (tf + 1).
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_token
-from ..functions.text import cased
+from ..functions.text import cased, let
+from ..session import cut_lineage
 
 # English words the text configuration ignores.
 TEXT_STOP_WORDS = (
@@ -25,6 +27,7 @@ TEXT_STOP_WORDS = (
     " should now"
 ).split()
 
+MAX_BROADCAST_UNITS = 200_000
 _OUTSIDE_QUOTES = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
@@ -32,13 +35,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(cased(r"(\w+)")), F.lit(1))
 
 
-def build_postings(entries: DataFrame, text: str = "content", id_col: str = "id") -> DataFrame:
-    """(token, id, pos), one row per word occurrence, stop words left out."""
-    return entries.select(
-        F.col(id_col).alias("id"), F.posexplode(words(F.col(text))).alias("pos", "token")
-    ).filter(~F.col("token").isin(*TEXT_STOP_WORDS))
-
-
 def parse_queries(queries: DataFrame, text: str = "query") -> DataFrame:
     """(query_id, grp, unit, negated, off, token): one row per word of each query unit."""
     groups = queries.select(
@@ -61,41 +57,126 @@ def parse_queries(queries: DataFrame, text: str = "query") -> DataFrame:
     ).filter(~F.col("token").isin(*TEXT_STOP_WORDS))
 
 
-def _stemmed(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Query terms widened to every corpus token with the same stem."""
-    vocabulary = postings.select("token").distinct().withColumn("stem", stem_token("token"))
-    wanted = terms.withColumn("stem", stem_token("token")).drop("token")
-    return wanted.join(vocabulary, "stem").drop("stem")
+def build_vocabulary(entries: DataFrame, text: str = "content", stemming: bool = True) -> DataFrame:
+    """(token, stem, cf): distinct words with their corpus counts. Worth storing once."""
+    counted = (
+        entries.select(F.explode(words(F.col(text))).alias("token"))
+        .groupBy("token")
+        .agg(F.count("*").alias("cf"))
+    )
+    return counted.withColumn("stem", stem_token("token") if stemming else F.col("token"))
 
 
-def match(queries: DataFrame, postings: DataFrame, stemming: bool = True) -> DataFrame:
-    """(query_id, id, rank) of matching records. A group needs one unit that is not negated."""
-    terms = parse_queries(queries)
-    needed = terms.groupBy("query_id", "grp", "unit").agg(
-        F.count("*").alias("n_words"), F.max("negated").alias("negated")
+def _query_table(terms: DataFrame, vocabulary: DataFrame, stemming: bool) -> DataFrame:
+    """(query_id, groups, drivers): units with the spellings of every word, the required words
+    of one spelling (a cheap set test), and the spellings of the rarest word of each group."""
+    keyed = terms.withColumn("stem", stem_token("token") if stemming else F.col("token"))
+    per_word = (
+        keyed.join(vocabulary.withColumnRenamed("token", "form"), "stem", "left")
+        .groupBy("query_id", "grp", "unit", "negated", "off")
+        .agg(F.collect_list("form").alias("forms"), F.coalesce(F.sum("cf"), F.lit(0)).alias("cf"))
+    )
+    units = per_word.groupBy("query_id", "grp", "unit", "negated").agg(
+        F.sort_array(F.collect_list(F.struct("off", "forms"))).alias("words")
     )
-    sizes = needed.groupBy("query_id", "grp").agg(
-        F.count_if(~F.col("negated")).alias("n_units")
+    drivers = (
+        per_word.filter("NOT negated")
+        .groupBy("query_id", "grp")
+        .agg(F.min_by("forms", F.struct("cf", "unit", "off")).alias("driver"))
     )
-    located = (_stemmed(terms, postings) if stemming else terms).join(postings, "token")
-    starts = located.groupBy(
-        "query_id", "grp", "unit", "id", (F.col("pos") - F.col("off")).alias("start")
-    ).agg(F.count("*").alias("found"))
-    units = (
-        starts.join(needed, ["query_id", "grp", "unit"])
-        .filter("found = n_words")
-        .groupBy("query_id", "grp", "id", "unit", "negated")
-        .agg(F.count("*").alias("tf"))
+    lone = F.when(~F.col("negated") & (F.size("forms") == 1), F.col("forms")[0])
+    musts = per_word.groupBy("query_id", "grp").agg(F.collect_set(lone).alias("must"))
+    groups = units.groupBy("query_id", "grp").agg(
+        F.collect_list(F.struct("negated", "words")).alias("units")
     )
-    tf = F.col("tf").cast("double")
-    groups = (
-        units.groupBy("query_id", "grp", "id")
+    return (
+        groups.join(drivers, ["query_id", "grp"])
+        .join(musts, ["query_id", "grp"])
+        .groupBy("query_id")
         .agg(
-            F.count_if(~F.col("negated")).alias("hits"),
-            F.count_if("negated").alias("vetoes"),
-            F.sum(F.when(~F.col("negated"), tf / (tf + 1.0))).alias("score"),
+            F.collect_list(F.struct("must", "units")).alias("groups"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("driver")))).alias("drivers"),
+        )
+    )
+
+
+def _score(groups: Column, tokens: Column) -> Column:
+    """Rank of a record's tokens for a query, NULL when no group matches."""
+
+    def frequency(unit: Column) -> Column:
+        forms = unit["words"][0]["forms"]
+        alone = F.aggregate(
+            forms, F.lit(0), lambda acc, w: acc + F.size(tokens) - F.size(F.array_remove(tokens, w))
         )
-        .join(sizes, ["query_id", "grp"])
-        .filter("vetoes = 0 AND hits = n_units AND n_units > 0")
+        phrase = F.size(
+            F.filter(
+                F.sequence(F.lit(0), F.size(tokens) - 1),
+                lambda p: F.forall(
+                    unit["words"], lambda w: F.array_contains(w["forms"], F.get(tokens, p + w["off"]))
+                ),
+            )
+        )
+        return F.when(F.size(unit["words"]) == 1, alone).otherwise(phrase)
+
+    def group_score(units: Column) -> Column:
+        counted = F.transform(
+            units, lambda u: F.struct(u["negated"].alias("negated"), frequency(u).alias("tf"))
+        )
+
+        def judged(found: Column) -> Column:
+            fits = F.forall(found, lambda x: (x["tf"] > 0) != x["negated"])
+            value = F.aggregate(
+                found,
+                F.lit(0.0),
+                lambda acc, x: acc + F.when(x["negated"], F.lit(0.0)).otherwise(x["tf"] / (x["tf"] + 1.0)),
+            )
+            return F.when(fits, value)
+
+        return let(counted, judged)
+
+    complete = F.filter(groups, lambda g: F.size(F.array_except(g["must"], tokens)) == 0)
+    scores = F.filter(
+        F.transform(complete, lambda g: group_score(g["units"])), lambda s: s.isNotNull()
+    )
+    return let(
+        scores,
+        lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x)),
     )
-    return groups.groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("rank"))
+
+
+def match(
+    queries: DataFrame,
+    entries: DataFrame,
+    stemming: bool = True,
+    vocabulary: DataFrame | None = None,
+    text: str = "content",
+    max_broadcast_units: int = MAX_BROADCAST_UNITS,
+) -> DataFrame:
+    """The matching entries per query, all their columns plus query_id and rank.
+
+    A group needs one unit that is not negated. Queries of up to `max_broadcast_units` units in
+    all travel to the records; more of them meet the records in a join of (id, token) pairs.
+    """
+    if vocabulary is None:
+        vocabulary = build_vocabulary(entries, text, stemming)
+    plan = cut_lineage(_query_table(parse_queries(queries), vocabulary, stemming))
+    seeds = plan.select("query_id", "groups", "drivers", F.explode("drivers").alias("_token"))
+    docs = entries.withColumn("_words", words(F.col(text)))
+    weight = F.aggregate("groups", F.lit(0), lambda acc, g: acc + F.size(g["units"]))
+    load = seeds.agg(F.sum(weight)).first()[0] or 0
+    if load <= max_broadcast_units:
+        met = docs.withColumn("_token", F.explode(F.array_distinct("_words"))).join(
+            F.broadcast(seeds), "_token"
+        )
+        # A record met through several rare words of a query counts once.
+        chosen = F.col("_token") == F.filter("drivers", lambda d: F.array_contains(F.col("_words"), d))[0]
+    else:
+        tokens = docs.select("id", F.explode(F.array_distinct("_words")).alias("_token"))
+        pairs = tokens.join(seeds.select("_token", "query_id"), "_token").select("id", "query_id").distinct()
+        met = docs.join(pairs, "id").join(plan, "query_id").withColumn("_token", F.lit(None))
+        chosen = F.lit(True)
+    # A generator keeps both tests above the join and drops the misses.
+    rank = F.when(chosen, _score(F.col("groups"), F.col("_words")))
+    score = F.filter(F.array(rank), lambda s: s.isNotNull())
+    ranked = met.withColumn("_rank", F.explode(score)).withColumn("rank", F.round("_rank", 6))
+    return ranked.drop("_words", "_token", "_rank", "groups", "drivers")

@@ -48,39 +48,50 @@ _BASE = _INDEX[PRECEDENT_BASE]
 _N = len(CONFIDENCES)
 
 
-def _step(res, conf, count, reset, seat, ev_res, is_new, is_reinforce, seq):
-    """Advance all states at once. res -1 means no precedent yet."""
-    if is_reinforce:
-        agree = res >= 0
-    else:
-        agree = res == ev_res
-    empty = (res < 0) & (not is_reinforce)
-    dissent = (res >= 0) & ~agree
-    flip = dissent & (_DOWN[conf] < 0)
-    start = empty | flip
-    up = agree & is_new
-    conf = np.where(start, _BASE, np.where(up, _UP[conf], np.where(dissent, _DOWN[conf], conf)))
-    count = np.where(start, 1, np.where(agree, count + 1, count))
-    reset = reset | start
-    seat = np.where(start, seq, seat)
-    res = np.where(start, ev_res, res)
-    return res, conf, count, reset, seat, flip
+def _tables(n_res: int):
+    """Per event code (resolution, reinforce; new source or not) and state: next state, whether
+    the event sets the standing rule anew, and whether it adds one application.
 
-
-def _fold(rows: pd.DataFrame, n_res: int):
-    """Transition of one chunk for every entry state: state 0 is empty, then res x confidence."""
+    State 0 is no precedent yet, then resolution x confidence.
+    """
     res = np.concatenate([[-1], np.repeat(np.arange(n_res), _N)])
     conf = np.concatenate([[_BASE], np.tile(np.arange(_N), n_res)])
-    count = np.zeros(len(res), dtype=np.int64)
-    reset = np.zeros(len(res), dtype=bool)
-    seat = np.full(len(res), -1, dtype=np.int64)
-    for ev_res, is_new, reinforce, seq in zip(
-        rows["res"].to_numpy(), rows["is_new"].to_numpy(), rows["reinforce"].to_numpy(), rows["seq"].to_numpy()
-    ):
-        res, conf, count, reset, seat, _ = _step(
-            res, conf, count, reset, seat, ev_res, bool(is_new), bool(reinforce), seq
-        )
-    state = np.where(res < 0, 0, 1 + res * _N + conf)
+    nexts, starts, adds = [], [], []
+    for code in range(2 * (n_res + 1)):
+        given, is_new = code // 2, code % 2 == 1
+        known = res >= 0
+        agree = known & ((res == given) | (given == n_res))
+        dissent = known & ~agree
+        flip = dissent & (_DOWN[conf] < 0)
+        start = flip | (~known & (given < n_res))
+        moved = np.where(agree & is_new, _UP[conf], np.where(dissent, _DOWN[conf], conf))
+        moved = np.where(start, _BASE, moved)
+        standing = np.where(start, given, res)
+        nexts.append(np.where(standing < 0, 0, 1 + standing * _N + moved))
+        starts.append(start)
+        adds.append(agree.astype(np.int64))
+    return nexts, starts, adds
+
+
+def _codes(rows: pd.DataFrame, n_res: int) -> np.ndarray:
+    given = np.where(rows["reinforce"].to_numpy(dtype=bool), n_res, rows["res"].to_numpy())
+    return given * 2 + rows["is_new"].to_numpy(dtype=np.int64)
+
+
+def _fold(rows: pd.DataFrame, n_res: int):
+    """Transition of one chunk for every entry state: (state, count, reset, seat)."""
+    nexts, starts, adds = _tables(n_res)
+    size = 1 + n_res * _N
+    state = np.arange(size)
+    count, seat = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
+    reset = np.zeros(size, dtype=bool)
+    for code, seq in zip(_codes(rows, n_res), rows["seq"].to_numpy()):
+        start = starts[code][state]
+        count += adds[code][state]
+        if start.any():
+            count[start], seat[start] = 1, seq
+            reset |= start
+        state = nexts[code][state]
     return state, count, reset, seat
 
 
@@ -219,25 +230,24 @@ def trace(events: DataFrame, chunk_rows: int = 20_000) -> DataFrame:
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        entry = int(rows["entry"].iloc[0])
-        res = np.array([-1 if entry == 0 else (entry - 1) // _N])
-        conf = np.array([_BASE if entry == 0 else (entry - 1) % _N])
-        count = np.array([rows["entry_count"].iloc[0]])
-        reset, seat = np.array([False]), np.array([-1])
-        out = []
-        for r in rows.itertuples():
-            before = int(res[0])
-            res, conf, count, reset, seat, flip = _step(
-                res, conf, count, reset, seat, r.res, bool(r.is_new), bool(r.reinforce), r.seq
-            )
-            out.append(
-                (r.pattern_hash, r.seq, names[before] if before >= 0 else None, names[int(res[0])],
-                 CONFIDENCES[int(conf[0])], int(count[0]), bool(flip[0]))
-            )
+        nexts, begins, adds = _tables(len(names))
+        state, count = int(rows["entry"].iloc[0]), int(rows["entry_count"].iloc[0])
+        before, after, conf, counts, flips = [], [], [], [], []
+        for code in _codes(rows, len(names)):
+            begin = bool(begins[code][state])
+            before.append(names[(state - 1) // _N] if state else None)
+            flips.append(begin and state > 0)
+            count = 1 if begin else count + int(adds[code][state])
+            state = int(nexts[code][state])
+            after.append(names[(state - 1) // _N])
+            conf.append(CONFIDENCES[(state - 1) % _N])
+            counts.append(count)
         return pd.DataFrame(
-            out,
-            columns=["pattern_hash", "seq", "before_resolution", "after_resolution", "confidence",
-                     "applied_count", "overturned"],
+            {
+                "pattern_hash": rows["pattern_hash"].to_numpy(), "seq": rows["seq"].to_numpy(),
+                "before_resolution": before, "after_resolution": after, "confidence": conf,
+                "applied_count": counts, "overturned": flips,
+            }
         )
 
     return (

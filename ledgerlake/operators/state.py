@@ -126,12 +126,12 @@ def audit_pages(audit: DataFrame, page_rows: int = 1_000) -> DataFrame:
     )
 
 
-def audit_trail(entries: DataFrame, audit: DataFrame, state_events: DataFrame, checked: DataFrame,
-                page_rows: int = 1_000) -> DataFrame:
-    """Records with redaction mask, integrity verdict (id, record_ok) and their trail pages."""
+def audit_trail(
+    entries: DataFrame, audit: DataFrame, state_events: DataFrame, checked: DataFrame, page_rows: int = 1_000
+) -> tuple[DataFrame, DataFrame]:
+    """Records with redaction mask and integrity verdict (id, record_ok), and their trail pages."""
     masked = mask_redacted(entries, state_events).join(checked.select("id", "record_ok"), "id", "left")
-    pages = audit_pages(audit, page_rows).withColumnRenamed("memory_id", "id")
-    return masked.join(pages, "id", "left").withColumn("valid", F.col("valid_until").isNull())
+    return masked.withColumn("valid", F.col("valid_until").isNull()), audit_pages(audit, page_rows)
 
 
 def revise(entries: DataFrame, revisions: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:

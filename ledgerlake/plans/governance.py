@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto
 from ..functions import text as tx
 from ..operators import chain, conflict, defenses, gates, hooks, ingest, insights, precedent, reports, state
+from ..session import cut_lineage
 from ..sources import archive, markdown
 from ..streaming.common import fresh_path
 from ..streaming.inbox import self_conflicts
@@ -120,9 +121,9 @@ def chain_seq_backfill(spark, sf):
 def chain_seals(spark, sf):
     """Segmented chains: seals of all segments, kept only where chain and seals verify."""
     rows = with_canonical(memory(spark, sf).withColumn("chain_id", F.col("source_agent")))
-    linked = chain.append(rows, KEYRING, segment_rows=300)
+    linked = cut_lineage(chain.append(rows, KEYRING, segment_rows=300))
     good = chain.verify(linked, KEYRING, segment_rows=300).filter("chain_valid").select("chain_id")
-    seals = chain.seal(linked, "k1", KEYRING, segment_rows=300)
+    seals = cut_lineage(chain.seal(linked, "k1", KEYRING, segment_rows=300))
     sound = chain.verify(seals, KEYRING).filter("chain_valid").select("chain_id")
     return seals.join(good, "chain_id", "left_semi").join(sound, "chain_id", "left_semi").select("chain_id", "segment", "rows")
 
@@ -346,7 +347,7 @@ def export_records(spark, sf):
 )
 def import_outcomes(spark, sf):
     """Archive round trip through files, with edited, redacted and already stored records."""
-    rows = chained(spark, sf).withColumn("content_hash", tx.content_hash(F.col("content")))
+    rows = cut_lineage(chained(spark, sf)).withColumn("content_hash", tx.content_hash(F.col("content")))
     rows = rows.withColumn("embedding_model", F.lit("local/hash")).withColumn("embedding_dimensions", F.lit(64))
     stored = rows.filter("id % 9 = 1 AND valid_until IS NULL").select("content_hash")
     none = state_events(spark, sf).filter(F.lit(False))
@@ -411,7 +412,7 @@ def hashed_vectors(spark, sf):
 
 
 PAIRS_CTE = f"""
-cur AS (SELECT *, list_transform(range(0, 32), lambda i: (('0x' || substr(sha256(lower(content)), 2 * i + 1, 2))::INT - 128) / 128.0::DOUBLE) AS embedding,
+cur AS MATERIALIZED (SELECT *, list_transform(range(0, 32), lambda i: (('0x' || substr(sha256(lower(content)), 2 * i + 1, 2))::INT - 128) / 128.0::DOUBLE) AS embedding,
   list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) AS w FROM memory WHERE valid_until_epoch IS NULL),
 d5 AS (SELECT a.id, b.id AS neighbour_id, round(greatest({DIST}, 0), 9) AS dist FROM cur a JOIN cur b ON a.id <> b.id),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbour_id) AS rank FROM d5) WHERE rank <= 5),
@@ -434,7 +435,7 @@ def trust_conflicts(spark, sf):
 
 @query(
     f"""WITH RECURSIVE {M}, {PAIRS_CTE},
- d AS (SELECT *, CASE WHEN nt >= ot THEN neighbour_id ELSE id END AS loser, row_number() OVER (ORDER BY cs, rank) AS o FROM f WHERE severity = 'high'),
+ d AS MATERIALIZED (SELECT *, CASE WHEN nt >= ot THEN neighbour_id ELSE id END AS loser, row_number() OVER (ORDER BY cs, rank) AS o FROM f WHERE severity = 'high'),
  w AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS gone, NULL::BIGINT AS id, NULL::BIGINT AS neighbour_id, NULL::BIGINT AS loser, false AS accepted
   UNION ALL SELECT d.o, CASE WHEN list_contains(w.gone, d.id) OR list_contains(w.gone, d.neighbour_id) THEN w.gone ELSE list_append(w.gone, d.loser) END,
    d.id, d.neighbour_id, d.loser, NOT (list_contains(w.gone, d.id) OR list_contains(w.gone, d.neighbour_id)) FROM w JOIN d ON d.o = w.o + 1)
@@ -529,12 +530,12 @@ def deliberations(rows):
  SELECT pattern_hash, res AS resolution, concat('rule ', res) AS winner_rule, conf AS confidence, n AS applied_count FROM l WHERE z = 1"""
 )
 def precedent_fold(spark, sf):
-    return precedent.fold(deliberations(events(spark, sf)), chunk_rows=2000)
+    return precedent.fold(deliberations(events(spark, sf)), chunk_rows=5000)
 
 
 @query(TRACE_SQL)
 def precedent_trace(spark, sf):
-    return precedent.trace(deliberations(events(spark, sf)), chunk_rows=2000)
+    return precedent.trace(deliberations(events(spark, sf)), chunk_rows=5000)
 
 
 @query(
@@ -543,7 +544,7 @@ def precedent_trace(spark, sf):
 )
 def overturn_escalations(spark, sf):
     """Overturned precedents as entries of the human queue."""
-    flips = precedent.trace(deliberations(events(spark, sf)), chunk_rows=2000).filter("overturned")
+    flips = precedent.trace(deliberations(events(spark, sf)), chunk_rows=5000).filter("overturned")
     as_settled = flips.select(
         "pattern_hash", "seq", F.col("seq").alias("ord"), F.col("pattern_hash").alias("id"),
         F.col("seq").alias("neighbour_id"), F.lit("direct").alias("contradiction_type"), F.lit("").alias("reason"),
@@ -571,12 +572,12 @@ def pending_escalations(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {M}, e AS (SELECT m.id, m.created_epoch, trust_score, content, embedding, id % 23 = 0 AS made FROM memory m
+    f"""WITH RECURSIVE {M}, e AS MATERIALIZED (SELECT m.id, m.created_epoch, trust_score, content, embedding, id % 23 = 0 AS made FROM memory m
    JOIN embeddings v ON v.vec_id = m.id WHERE valid_until_epoch IS NULL AND id % 17 <> 0),
  p AS (SELECT a.id, b.id AS nb, round(greatest({DIST}, 0), 9) AS d FROM e a JOIN e b ON a.id <> b.id),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS rank FROM p WHERE d < 0.72),
- g AS (SELECT id, list(nb ORDER BY rank) AS nbs FROM r WHERE rank <= 50 GROUP BY 1 HAVING count(*) >= 2),
- s AS (SELECT g.*, row_number() OVER (ORDER BY created_epoch DESC, g.id) AS o FROM g JOIN e USING (id) WHERE NOT made),
+ g AS MATERIALIZED (SELECT id, list(nb ORDER BY rank) AS nbs FROM r WHERE rank <= 50 GROUP BY 1 HAVING count(*) >= 2),
+ s AS MATERIALIZED (SELECT g.*, row_number() OVER (ORDER BY created_epoch DESC, g.id) AS o FROM g JOIN e USING (id) WHERE NOT made),
  w AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS seen, NULL::BIGINT AS id, []::BIGINT[] AS m, false AS ok
   UNION ALL SELECT s.o, CASE WHEN list_contains(w.seen, s.id) THEN w.seen ELSE list_concat(w.seen, list_prepend(s.id, s.nbs)) END,
    s.id, list_prepend(s.id, s.nbs), NOT list_contains(w.seen, s.id) FROM w JOIN s ON s.o = w.o + 1),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trust as tr
 from ..operators import curation, gates, graph
+from ..session import cut_lineage
 from .records import _ci
 from .registry import query
 from .views import A, EFF, EVENTS_NOW, M, NOW, audit, memory, table
@@ -38,7 +39,7 @@ def mentions(spark, sf):
 
 def parts(spark, sf):
     rows = memory(spark, sf)
-    men = mentions(spark, sf)
+    men = cut_lineage(mentions(spark, sf))
     entities = graph.upsert_entities(men.withColumn("aliases", F.array(F.upper("name"))))
     links = graph.links(men)
     evidence = graph.evidence(graph.extract_relations(men))
@@ -87,7 +88,7 @@ def relation_upsert(spark, sf):
 )
 def entity_upsert(spark, sf):
     """Entities of two loads: aliases are unioned, links are not repeated."""
-    men = mentions(spark, sf)
+    men = cut_lineage(mentions(spark, sf))
     once = graph.upsert_entities(men.withColumn("aliases", F.array(F.upper("name"))))
     twice = graph.upsert_entities(men.withColumn("aliases", F.array(F.lower("name"), F.upper("name"))), once)
     n = graph.links(men.unionByName(men)).groupBy("entity_id").agg(F.count("*").alias("memories"))

@@ -52,7 +52,13 @@ A = f"audit AS ({AUDIT_SQL})"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A test table. Text tables split into fewer partitions than there are cores are spread,
+    since the work on them is regex-bound; a large input is read as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def memory(spark: SparkSession, sf: str) -> DataFrame:
