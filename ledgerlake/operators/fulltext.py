@@ -71,7 +71,8 @@ def _query_table(terms: DataFrame, vocabulary: DataFrame, stemming: bool) -> Dat
     """(query_id, groups, drivers): units with the spellings of every word, the required words
     of one spelling (a cheap set test), and the spellings of the rarest word of each group."""
     keyed = terms.withColumn("stem", stem_token("token") if stemming else F.col("token"))
-    per_word = (
+    # Written once: the vocabulary is a pass over the corpus, and three tables below need it.
+    per_word = cut_lineage(
         keyed.join(vocabulary.withColumnRenamed("token", "form"), "stem", "left")
         .groupBy("query_id", "grp", "unit", "negated", "off")
         .agg(F.collect_list("form").alias("forms"), F.coalesce(F.sum("cf"), F.lit(0)).alias("cf"))

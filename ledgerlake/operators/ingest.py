@@ -112,7 +112,7 @@ def classify(df: DataFrame, nearest: DataFrame | None = None, **at: float) -> Da
     if nearest is not None:
         df = df.join(nearest, "id", "left")
     else:
-        df = df.withColumn("duplicate_id", F.lit(None)).withColumn("distance", F.lit(None).cast("double"))
+        df = df.withColumn("duplicate_id", F.lit(None).cast(df.schema["id"].dataType)).withColumn("distance", F.lit(None).cast("double"))
     staged = df.withColumn("durability", tx.durability(content, kind)).withColumn(
         "_importance", tx.importance(content, kind, trust.cast("double"))
     )

@@ -18,10 +18,7 @@ def scan(
 ) -> DataFrame:
     """(path, text) of *.md files below `root`, without paths containing an exclusion."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     for needle in exclude:
