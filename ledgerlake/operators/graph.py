@@ -161,6 +161,13 @@ def entity_search(
     )
 
 
+def entity_list(entities: DataFrame, entity_type: str | None = None) -> DataFrame:
+    """All entities, or those of one type, by type and name."""
+    if entity_type is not None:
+        entities = entities.filter(F.col("entity_type") == entity_type)
+    return entities.orderBy("entity_type", "name")
+
+
 def resolve_entity(entities: DataFrame, name: str) -> DataFrame:
     """The one entity a name stands for: exact first, else fuzzy; id settles ties."""
     return (

@@ -14,6 +14,7 @@ from ..functions.trust import clamp, now_micros, trust_error
 from ..schema import (
     AGENT_CEILING,
     CONTENT_CLASSES,
+    FLAGGED_CEILING,
     MEMORY_TYPES,
     SERVER_OWNED_KEYS,
 )
@@ -166,9 +167,12 @@ def second_pass(df: DataFrame, verdicts: DataFrame, trust_skip: float = 0.8) ->
     return (
         df.join(verdicts.select("id", "model_flagged"), "id", "left")
         .withColumn("llm_injection_flagged", hit)
-        .withColumn("injection_flagged", F.col("injection_flagged") | hit)
+        .withColumn("injection_flagged", F.col("injection_flagged") | F.col("llm_injection_flagged"))
         .withColumn(
-            "trust_score", F.when(hit, F.least(F.col("trust_score"), F.lit(0.3))).otherwise(F.col("trust_score"))
+            "trust_score",
+            F.when(F.col("llm_injection_flagged"), F.least(F.col("trust_score"), F.lit(FLAGGED_CEILING))).otherwise(
+                F.col("trust_score")
+            ),
         )
         .drop("model_flagged")
     )
@@ -286,6 +290,16 @@ def review_actions(inbox: DataFrame, decisions: DataFrame, now: datetime) -> Dat
     )
 
 
+def held_list(inbox: DataFrame, limit: int) -> DataFrame:
+    """Held submissions for review, oldest first, with a content preview."""
+    return (
+        inbox.filter("status = 'held'")
+        .withColumn("content", F.substring("content", 1, 120))
+        .orderBy("submitted_at", "id")
+        .limit(limit)
+    )
+
+
 def after_failure(status: Column, retries: Column, final: str, attempts: int = 3) -> dict[str, Column]:
     """Retry policy: back to pending until the attempts are used up."""
     used = retries + 1

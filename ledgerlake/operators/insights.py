@@ -141,3 +141,20 @@ def stuck_to_surface(queue: DataFrame, audit: DataFrame, now: datetime | int, ho
     return queue.filter((F.col("status") == "failed") & (F.unix_micros(last) < start)).join(
         told, "memory_id", "left_anti"
     )
+
+
+def scan_counts(
+    entries: DataFrame, audit: DataFrame, queue: DataFrame, now: datetime | int, **cluster_args
+) -> DataFrame:
+    """(scan, found) of one scheduled run over all four scans."""
+    scans = {
+        "clusters": clusters(entries, **cluster_args),
+        "stale_procedural": stale_procedures(entries, audit, now),
+        "weak_signal": weak_groups(entries),
+        "stuck_conflicts": stuck_to_surface(queue, audit, now),
+    }
+    out = None
+    for name, found in scans.items():
+        row = found.agg(F.count("*").alias("found")).select(F.lit(name).alias("scan"), "found")
+        out = row if out is None else out.unionByName(row)
+    return out

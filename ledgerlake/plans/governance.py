@@ -595,6 +595,35 @@ def greedy_clusters(spark, sf):
     )
 
 
+@query(
+    f"""WITH {M}, {A}, q AS ({QUEUE_SQL})
+ SELECT 'stale_procedural' AS scan, count(*) AS found FROM memory m WHERE valid_until_epoch IS NULL AND memory_type = 'procedural'
+  AND NOT EXISTS (SELECT 1 FROM audit a WHERE a.memory_id = m.id AND action = 'searched' AND timestamp > make_timestamp(({EVENTS_NOW} - 30 * 86400) * 1000000::BIGINT))
+ UNION ALL SELECT 'weak_signal', count(*) FROM (SELECT memory_type FROM memory WHERE valid_until_epoch IS NULL AND trust_score < 0.6 GROUP BY 1 HAVING count(*) <= 2)
+ UNION ALL SELECT 'stuck_conflicts', count(*) FROM q WHERE status = 'failed' AND claimed_at < make_timestamp(({EVENTS_NOW} - 86400) * 1000000::BIGINT)
+ UNION ALL SELECT 'clusters', 0"""
+)
+def nightly_scans(spark, sf):
+    """One scheduled run; at the default threshold the test vectors form no cluster."""
+    entries = memory(spark, sf).join(
+        table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left"
+    )
+    return insights.scan_counts(entries, audit(spark, sf), queue(spark, sf), EVENTS_NOW)
+
+
+@query(
+    """SELECT item_id AS query_id, doc_id AS id, abs(length(b.text) - length(d.text)) % 11 / 10.0 AS score
+ FROM benchmark b JOIN documents d ON d.doc_id = b.item_id"""
+)
+def outside_scores(spark, sf):
+    """A stand-in relevance model over (query, record) pairs."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    pairs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id"), F.col("text").alias("query"))
+    return hooks.score_pairs(
+        pairs.join(docs, "id"), lambda qs, cs: [abs(len(q) - len(c)) % 11 / 10.0 for q, c in zip(qs, cs)]
+    )
+
+
 # --- the governed write path as one batch ---
 
 

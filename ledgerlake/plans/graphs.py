@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions import trust as tr
@@ -132,6 +134,13 @@ def entity_memory_count(spark, sf):
     return graph.memory_count(graph.resolve_entity(entities, "and"), links, rows.filter("valid_until IS NULL"))
 
 
+@query(
+    f"""WITH {M}, {MENTION_CTE} SELECT DISTINCT name, entity_type FROM men WHERE entity_type = 'organization'"""
+)
+def entity_list(spark, sf):
+    return graph.entity_list(graph.upsert_entities(mentions(spark, sf)), "organization").select("name", "entity_type")
+
+
 # --- curation ---
 
 
@@ -204,6 +213,15 @@ def user_marks(spark, sf):
     return curation.apply_marks(memory(spark, sf), marks, EVENTS_NOW).select("id", "important", "archived")
 
 
+@query(
+    f"""WITH {M} SELECT id FROM memory WHERE created_epoch >= 1672531200 AND created_epoch < 1688169600"""
+)
+def date_range_export(spark, sf):
+    return curation.export_range(
+        memory(spark, sf), datetime(2023, 1, 1, tzinfo=timezone.utc), datetime(2023, 7, 1, tzinfo=timezone.utc)
+    ).select("id")
+
+
 @query(
     f"""WITH {M} SELECT id, CASE WHEN id % 5 = 0 THEN 'held' WHEN id % 17 = 0 THEN 'hazardous-candidate' ELSE 'production-candidate' END AS stage FROM memory"""
 )

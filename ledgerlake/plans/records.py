@@ -480,6 +480,40 @@ def inbox_review(spark, sf):
     )
 
 
+@query(
+    """SELECT page_id AS id, md5(left(html, 120)) AS preview FROM pages WHERE page_id % 3 = 0 ORDER BY length(url), page_id LIMIT 25"""
+)
+def held_submissions(spark, sf):
+    """Pages as submissions, a third of them held; the length of the address stands for time."""
+    rows = table(spark, sf, "pages").select(
+        F.col("page_id").alias("id"), F.col("html").alias("content"), F.length("url").alias("submitted_at"),
+        F.when(F.col("page_id") % 3 == 0, "held").otherwise("pending").alias("status"),
+    )
+    return ingest.held_list(rows, 25).select("id", F.md5("content").alias("preview"))
+
+
+@query(
+    f"""WITH {M}, s AS (SELECT id, trust_score, regexp_matches(left(content, 10000), '(?i){RE2_INJECTION}') AS rx, length(left(content, 10000)) % 7 = 0 AS model FROM memory),
+ e AS (SELECT *, NOT rx AND trust_score < 0.8 AND model AS hit FROM s)
+ SELECT id, rx OR hit AS flagged, hit AS model_hit, CASE WHEN hit THEN least(trust_score, 0.3) ELSE trust_score END AS trust_after,
+  CASE WHEN rx THEN 'regex_injection' WHEN hit THEN 'llm_classifier' END AS review_reason,
+  CASE WHEN rx OR hit THEN 'held' ELSE 'approved' END AS status FROM e"""
+)
+def model_screening(spark, sf):
+    """A stand-in second-pass classifier on regex-clean, low-trust records; hits are held."""
+    rows = memory(spark, sf).select(
+        "id", F.substring("content", 1, 10_000).alias("content"), "trust_score"
+    ).withColumn("injection_flagged", tx.injection_flag(F.col("content")))
+    verdicts = hooks.screen(rows, lambda texts: [len(t) % 7 == 0 for t in texts])
+    done = ingest.second_pass(rows.withColumn("regex_flagged", F.col("injection_flagged")), verdicts)
+    done = done.withColumn("any_flagged", F.col("injection_flagged")).withColumn("status", F.lit("approved"))
+    held = ingest.hold_flagged(done.withColumn("review_reason", F.lit(None).cast("string")).withColumn("requires_review", F.lit(False)))
+    return held.select(
+        "id", F.col("injection_flagged").alias("flagged"), F.col("llm_injection_flagged").alias("model_hit"),
+        F.col("trust_score").alias("trust_after"), "review_reason", "status",
+    )
+
+
 @query(
     f"""WITH q AS ({QUEUE_SQL}) SELECT id, CASE WHEN status = 'failed' AND memory_id % 4 + 1 >= 3 THEN 'failed'
   WHEN status = 'failed' THEN 'pending' ELSE status END AS next_status,

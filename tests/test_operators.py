@@ -408,3 +408,42 @@ def test_ranking(spark):
     assert ranking.pool_size(10, "fts") == 50 and ranking.pool_size(3, "fts") == 15 and ranking.pool_size(99, "semantic") == 50
     score = lambda t, f: spark.range(1).select(ranking.safety_score(ranking.distance_relevance(F.lit(0.2)), F.lit(t), F.lit(f))).first()[0]
     assert score(0.6, False) == 0.64 and score(0.6, True) == 0.192
+
+
+def test_summary_hook_falls_back(spark):
+    from ledgerlake.operators import hooks
+
+    found = spark.createDataFrame([(1, "Cluster: a"), (2, "Cluster: b")], "seed_id int, content string")
+    told = hooks.summarise_clusters(found, lambda texts: ["short" if "a" in t[-1] else None for t in texts])
+    assert sorted(r.content for r in told.collect()) == ["Cluster: b", "Insight: short"]
+
+    def broken(texts):
+        raise RuntimeError
+
+    assert hooks.summarise_clusters(found, broken).filter("content LIKE 'Cluster%'").count() == 2
+
+
+def test_entities_like_python(spark):
+    """Whole pages against the same patterns in Python's re."""
+    import re
+
+    from ledgerlake.functions import text as tx
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(
+        F.col("page_id").alias("id"), F.concat_ws("\n", "url", "html", F.lit("Dr. Ann Lee, Élan Vital and Python User")).alias("content")
+    )
+    want = set()
+    for r in pages.collect():
+        seen = set()
+        known = {n.lower() for n in tx.GAZETTEER if re.search(rf"\b{re.escape(n)}\b", r.content, re.I)}
+        for host in re.findall(tx.URL_HOST, r.content) + re.findall(tx.EMAIL_DOMAIN, r.content):
+            seen.add((re.sub(r"^www\.", "", host.lower()), "organization"))
+        for m in re.finditer(tx.PERSON, r.content):
+            if m.group(1).lower() not in known and not any(t.lower() in known for t in m.group(1).split()):
+                seen.add((m.group(1).lower(), "person"))
+        for n, t in tx.GAZETTEER.items():
+            if n.lower() in known:
+                seen.add((n.lower(), t))
+        want |= {(r.id, *x) for x in seen}
+    got = {(r.memory_id, r.name.lower(), r.entity_type) for r in graph.extract_entities(pages).collect()}
+    assert got == want and any(t == "person" for _, _, t in want)
