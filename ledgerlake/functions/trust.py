@@ -28,6 +28,13 @@ def now_micros(now: datetime | int | float) -> int:
     return int(now * 1_000_000)
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Round the double itself, ties to even. `bround` rounds its shortest decimal text, which
+    turns values just beside a tie into ties."""
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
+
+
 def clamp(score: Column) -> Column:
     return F.greatest(F.lit(MIN_TRUST), F.least(F.lit(MAX_TRUST), score.cast("double")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.crypto import canonical_json, canonical_record, json_string
-from ..functions.trust import clamp, now_micros, trust_error
+from ..functions.trust import clamp, half_even, now_micros, trust_error
 from ..schema import (
     AGENT_CEILING,
     CONTENT_CLASSES,
@@ -120,16 +120,16 @@ def classify(df: DataFrame, nearest: DataFrame | None = None, **at: float) -> Da
     routed = tx.route(F.col("distance"), F.col("durability"), F.col("_importance"), **at)
     return (
         staged.withColumn("status", routed["status"])
-        .withColumn("importance", F.bround("_importance", 2))
+        .withColumn("importance", half_even(F.col("_importance"), 2))
         .withColumn("urgency", tx.urgency(F.col("durability"), F.col("_importance")))
         .withColumn("encoding", tx.encoding(content))
         .withColumn("suggested_type", tx.corrected_type(content, kind))
         .withColumn(
             "suggested_trust",
-            F.bround(tx.calibrated_trust(trust.cast("double"), F.col("durability")), 2),
+            half_even(tx.calibrated_trust(trust.cast("double"), F.col("durability")), 2),
         )
         .withColumn("near_duplicate_of", F.when(routed["has_duplicate"], F.col("duplicate_id")))
-        .withColumn("duplicate_distance", F.bround("distance", 4))
+        .withColumn("duplicate_distance", half_even(F.col("distance"), 4))
         .withColumn("merge_strategy", routed["merge_strategy"])
         .withColumn("requires_review", routed["requires_review"])
         .withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.trust import half_even
 from .ordering import first_n
 
 MAX_LIMIT = 50
@@ -55,11 +56,11 @@ def safety_score(base: Column, effective: Column, flagged: Column) -> Column:
     """Relevance weighted by trust, cut hard when flagged."""
     weight = TRUST_FLOOR_WEIGHT + (1.0 - TRUST_FLOOR_WEIGHT) * effective
     weight = F.when(flagged, weight * FLAGGED_WEIGHT).otherwise(weight)
-    return F.bround(base * weight, 4)
+    return half_even(base * weight, 4)
 
 
 def distance_relevance(distance: Column) -> Column:
-    return F.bround(1.0 - F.coalesce(distance, F.lit(0.5)), 4)
+    return half_even(1.0 - F.coalesce(distance, F.lit(0.5)), 4)
 
 
 def safety_rerank(

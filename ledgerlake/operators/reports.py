@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.trust import decay, now_micros, whole_days
+from ..functions.trust import decay, half_even, now_micros, whole_days
 from .ordering import running_sum
 from .state import cache_check
 
@@ -109,8 +109,8 @@ def decay_report(
         .filter(F.col("_eff") < stored * share)
     )
     return rows.select(
-        "id", "memory_type", F.bround(stored, 3).alias("stored_trust"),
-        F.bround("_eff", 3).alias("effective_trust"), "age_days",
+        "id", "memory_type", half_even(stored, 3).alias("stored_trust"),
+        half_even(F.col("_eff"), 3).alias("effective_trust"), "age_days",
         F.substring("content", 1, 60).alias("content"),
     ).orderBy((F.col("stored_trust") - F.col("effective_trust")).desc(), "id")
 
@@ -125,7 +125,7 @@ def classifier_metrics(df: DataFrame, expected: Column, predicted: Column) -> Da
     tp, tn, fp, fn = (F.col(n) for n in c.columns)
 
     def ratio(a: Column, b: Column) -> Column:
-        return F.when(b > 0, F.bround(a / b, 4)).otherwise(F.lit(0.0))
+        return F.when(b > 0, half_even(a / b, 4)).otherwise(F.lit(0.0))
 
     return (
         c.withColumn("precision", ratio(tp, tp + fp))
