@@ -28,6 +28,13 @@ def now_micros(now: datetime | int | float) -> int:
     return int(now * 1_000_000)
 
 
+def floor_div(value: Column, size: int) -> Column:
+    """Whole-number floor division, exact for any bigint (no detour over doubles)."""
+    step = F.lit(size).cast("bigint")
+    number = value.cast("bigint")
+    return F.call_function("div", number - F.pmod(number, step), step)
+
+
 def half_even(value: Column, digits: int) -> Column:
     """Round the double itself, ties to even. `bround` rounds its shortest decimal text, which
     turns values just beside a tie into ties."""

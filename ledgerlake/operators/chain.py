@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crypto import chained_hash, json_object, json_string
+from ..functions.trust import floor_div
 from .ordering import previous_value, running_sum
 
 SEGMENT_ROWS = 50_000
@@ -30,7 +31,7 @@ def number_entries(df: DataFrame, created: str = "created_at", id_col: str = "id
 
 
 def segment_of(seq: Column, rows: int) -> Column:
-    return F.floor((seq - 1) / rows)
+    return floor_div(seq - 1, rows)
 
 
 def anchor(keyring: Mapping[str, str], key_id: Column, chain: Column, segment: Column) -> Column:
@@ -136,20 +137,22 @@ def check_links(
 
     `segment_rows` None checks an unsegmented chain.
     """
-    narrow = df.select("id", "chain_id", "chain_seq", "key_id", "prev_hash", "record_hash", canonical)
+    # Hashes are checked where the record is read; only hashes and keys are shuffled.
+    checked = check_records(df, keyring, canonical).select(
+        "id", "chain_id", "chain_seq", "key_id", "prev_hash", "record_hash", "record_ok"
+    )
     segment = segment_of(F.col("chain_seq"), segment_rows) if segment_rows else F.lit(0)
     linked = previous_value(
-        narrow.withColumn("_segment", segment),
+        checked.withColumn("_segment", segment),
         ["chain_id", "_segment"],
         "chain_seq",
         "record_hash",
         "walked_prev",
     )
     opening = anchor(keyring, F.col("key_id"), F.col("chain_id"), F.col("_segment"))
-    checked = check_records(linked, keyring, canonical)
-    return checked.withColumn(
+    return linked.withColumn(
         "link_ok", F.col("prev_hash").eqNullSafe(F.coalesce("walked_prev", opening))
-    ).drop(canonical, "_segment")
+    ).drop("_segment")
 
 
 def verify(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.trust import floor_div
 from ..schema import FLOOD_LIMIT, FLOOD_WINDOW_SECONDS
 
 
@@ -28,7 +29,7 @@ def flood_admission(
     base = (
         df.withColumn("_us", F.unix_micros(F.col(submitted).cast("timestamp")))
         .withColumn("_low", low.cast("int"))
-        .withColumn("_span", F.floor(F.col("_us") / width))
+        .withColumn("_span", floor_div(F.col("_us"), width))
         .withColumn("_own", F.lit(True))
     )
     visitors = base.filter("_low = 1").select(

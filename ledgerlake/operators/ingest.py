@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.crypto import canonical_json, canonical_record, json_string
-from ..functions.trust import clamp, half_even, now_micros, trust_error
+from ..functions.trust import clamp, floor_div, half_even, now_micros, trust_error
 from ..schema import (
     AGENT_CEILING,
     CONTENT_CLASSES,
@@ -324,7 +324,7 @@ def session_summaries(
     """
     paged = turns.select(
         F.col(session).alias("session"),
-        F.floor(F.col(turn) / page_turns).alias("page"),
+        floor_div(F.col(turn), page_turns).alias("page"),
         F.col(turn).alias("turn"),
         line.alias("line"),
     )

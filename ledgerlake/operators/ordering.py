@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.trust import floor_div
 from ..session import cut_lineage
 
 
@@ -22,7 +23,7 @@ def previous_value(
     A bucket holds at most `bucket_rows` rows. Its first row takes the last value of the
     nearest earlier bucket, found over one row per bucket.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(seq) / bucket_rows))
+    bucketed = df.withColumn("_bucket", floor_div(F.col(seq), bucket_rows))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(seq)
     local = bucketed.withColumn(out, F.lag(value).over(inside)).withColumn(
         "_first", F.row_number().over(inside) == 1

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.trust import floor_div
 from ..schema import PRECEDENT_BASE, PRECEDENT_CEILING, PRECEDENT_FLOOR, PRECEDENT_STEP
 from ..session import cut_lineage
 
@@ -123,7 +124,7 @@ def _prepared(events: DataFrame, chunk_rows: int) -> tuple[DataFrame, list[str]]
         .withColumn("is_new", F.col("seq") == F.col("debut"))
         .withColumn("reinforce", F.col("kind") == "reinforce")
         .withColumn("res", F.coalesce(code, F.lit(-1)).cast("int"))
-        .withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
+        .withColumn("chunk", floor_div(F.col("seq"), chunk_rows))
     )
     return ready, names
 
@@ -170,7 +171,7 @@ def _joined(maps: DataFrame) -> DataFrame:
         if top[0] is None or top[0] == top[1]:
             return maps
         maps = cut_lineage(
-            maps.withColumn("parent", F.floor(F.col("chunk") / _FAN_IN))
+            maps.withColumn("parent", floor_div(F.col("chunk"), _FAN_IN))
             .withColumnRenamed("count", "count_")
             .groupBy("pattern_hash", "parent")
             .applyInPandas(run, f"pattern_hash {key_type}, chunk bigint, {_MAP}")

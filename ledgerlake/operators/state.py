@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crypto import canonical_state_event
 from ..functions.text import is_blank
+from ..functions.trust import floor_div
 from .defenses import mask_redacted
 from .ordering import running_sum
 
@@ -121,7 +122,7 @@ def audit_pages(audit: DataFrame, page_rows: int = 1_000) -> DataFrame:
     placed = running_sum(audit, ["memory_id"], ["timestamp", "id"])
     event = F.struct("position", "timestamp", "action", "actor", "details")
     return (
-        placed.groupBy("memory_id", F.floor((F.col("position") - 1) / page_rows).alias("page"))
+        placed.groupBy("memory_id", floor_div(F.col("position") - 1, page_rows).alias("page"))
         .agg(F.array_sort(F.collect_list(event)).alias("events"))
     )
 

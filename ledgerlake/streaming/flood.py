@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.trust import floor_div
 from ..schema import FLOOD_LIMIT, FLOOD_WINDOW_SECONDS
 from .common import use_rocksdb
 
@@ -75,7 +76,7 @@ def flood_stream(
     use_rocksdb(events.sparkSession)
     width = window_seconds * 1_000_000
     us = F.unix_micros(F.col("at"))
-    span = F.floor(us / width)
+    span = floor_div(us, width)
     is_low = F.col("low") == 1
     visits = F.filter(
         F.array(

@@ -179,3 +179,8 @@ def test_inbox_entities_like_findall(spark):
     assert row.people == list(dict.fromkeys(flat))
     assert row.tools == ["python", "postgres"]
     assert row.projects == ["MyTool"]
+
+
+@pytest.mark.parametrize("value", [-1, 0, 7, 299_999_999, 2**62 + 5, -(2**61)])
+def test_floor_div(spark, value):
+    assert one(spark, trust.floor_div(F.lit(value), 300_000_000)) == value // 300_000_000
