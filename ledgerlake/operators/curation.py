@@ -16,6 +16,7 @@ from ..functions.trust import (
     tier_of,
     whole_days,
 )
+from ..session import cut_lineage
 from .ordering import first_n
 
 
@@ -122,9 +123,11 @@ def tiered_recall(
     hits(query_id, id, tier, confidence, created_at). L0 answers alone when its best hit exceeds
     `hot_enough`; L0+L1 when the best exceeds `warm_enough`; else recent L2 joins. L3 never does.
     """
-    best = hits.groupBy("query_id").agg(
-        F.max(F.when(F.col("tier") == "L0", F.col("confidence"))).alias("hot"),
-        F.max(F.when(F.col("tier").isin("L0", "L1"), F.col("confidence"))).alias("warm"),
+    best = cut_lineage(
+        hits.groupBy("query_id").agg(
+            F.max(F.when(F.col("tier") == "L0", F.col("confidence"))).alias("hot"),
+            F.max(F.when(F.col("tier").isin("L0", "L1"), F.col("confidence"))).alias("warm"),
+        )
     )
     recent = whole_days(F.col("created_at"), now) <= cold_days
     enough_hot = F.coalesce(F.col("hot") > hot_enough, F.lit(False))

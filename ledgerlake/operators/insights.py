@@ -130,7 +130,7 @@ def weak_signals(
 ) -> DataFrame:
     """The records of weak groups, each with its group's numbers. Flags again on every run."""
     low = entries.filter(F.col("valid_until").isNull() & (F.col("trust_score") < below))
-    return low.join(weak_groups(entries, group, below, at_most), group)
+    return low.join(cut_lineage(weak_groups(entries, group, below, at_most)), group)
 
 
 def stuck_to_surface(queue: DataFrame, audit: DataFrame, now: datetime | int, hours: int = 24) -> DataFrame:

@@ -113,11 +113,14 @@ def _prepared(events: DataFrame, chunk_rows: int) -> tuple[DataFrame, list[str]]
     )
     if len(names) > MAX_RESOLUTIONS:
         raise ValueError(f"more than {MAX_RESOLUTIONS} distinct resolutions")
-    born = events.groupBy("pattern_hash").agg(
-        F.min(F.when(F.col("kind") == "deliberate", F.col("seq"))).alias("born")
+    # Written, so that the planner sees how small they are and need not shuffle by hot pattern.
+    born = cut_lineage(
+        events.groupBy("pattern_hash").agg(
+            F.min(F.when(F.col("kind") == "deliberate", F.col("seq"))).alias("born")
+        )
     )
     alive = events.join(born, "pattern_hash").filter(F.col("seq") >= F.col("born")).drop("born")
-    debut = alive.groupBy("pattern_hash", "source_key").agg(F.min("seq").alias("debut"))
+    debut = cut_lineage(alive.groupBy("pattern_hash", "source_key").agg(F.min("seq").alias("debut")))
     code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("resolution")) - 1
     ready = (
         alive.join(debut, ["pattern_hash", "source_key"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.trust import decay, half_even, now_micros, whole_days
+from ..session import cut_lineage
 from .ordering import running_sum
 from .state import cache_check
 
@@ -153,8 +154,11 @@ def nearest_rank(df: DataFrame, value: str, by: list[str], ps: dict[str, float])
         return one.drop("_all")
     tally = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
     placed = running_sum(tally, by, [value], F.col("cnt"), out="upto")
-    totals = tally.groupBy(*by).agg(
-        F.sum("cnt").alias("n"), (F.sum(F.col(value) * F.col("cnt")) / F.sum("cnt")).alias("mean")
+    # Written, so that a few totals are broadcast and a hot group is not shuffled to join them.
+    totals = cut_lineage(
+        tally.groupBy(*by).agg(
+            F.sum("cnt").alias("n"), (F.sum(F.col(value) * F.col("cnt")) / F.sum("cnt")).alias("mean")
+        )
     )
     joined = placed.join(totals, by)
     picks = []
