@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, cleaning, histogram, mixing, packing, secrets, simhash, tokens
+from ledgerlake.llm import chat, classifier, cleaning, histogram, mixing, packing, secrets, simhash, tokens
 from ledgerlake.llm.scratch import written
 
 CONTEXT = 2048
@@ -60,6 +60,15 @@ def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.learn(docs)))
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that a document is of quality 1, learned from labels of documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = classifier.learn(docs, table(spark, sf_dir, "labels"), "quality")
+    return classifier.scored(docs, scorer).select(
+        "doc_id", classifier.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op9_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reading back the formatted conversations gives, with one more that tries to break the marks."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -125,6 +134,6 @@ FROM o GROUP BY conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_sequences, op2_mix_sources, op4_clean_lines, op6_token_lengths, op7_scan_secrets, op9_format_chats, op10_simhash)
+    for f in (op1_pack_sequences, op2_mix_sources, op4_clean_lines, op6_token_lengths, op7_scan_secrets, op8_quality_scores, op9_format_chats, op10_simhash)
 }
 ORACLES: dict[str, str] = {"op4_clean_lines": OP4_SQL, "op9_format_chats": OP9_SQL}
