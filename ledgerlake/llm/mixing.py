@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.scratch import without, written
 from ledgerlake.llm.tokens import with_token_counts
 
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 1_000
 
 
 def weight_of(key: Column, weights: Mapping[str, int], otherwise: int) -> Column:

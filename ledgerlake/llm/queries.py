@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, classifier, cleaning, histogram, mixing, packing, secrets, simhash, tokens
+from ledgerlake.llm import chat, classifier, cleaning, histogram, labeller, mixing, packing, secrets, simhash, tokens
 from ledgerlake.llm.scratch import written
 
 CONTEXT = 2048
@@ -49,6 +49,13 @@ def op4_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = labeller.extracted(pages, labeller.trained())
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact histogram of encoded lengths, with sums from both ends."""
     return histogram.length_histogram(table(spark, sf_dir, "documents"))
@@ -134,6 +141,6 @@ FROM o GROUP BY conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_sequences, op2_mix_sources, op4_clean_lines, op6_token_lengths, op7_scan_secrets, op8_quality_scores, op9_format_chats, op10_simhash)
+    for f in (op1_pack_sequences, op2_mix_sources, op4_clean_lines, op5_main_text, op6_token_lengths, op7_scan_secrets, op8_quality_scores, op9_format_chats, op10_simhash)
 }
 ORACLES: dict[str, str] = {"op4_clean_lines": OP4_SQL, "op9_format_chats": OP9_SQL}
