@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, classifier, cleaning, histogram, labeller, mixing, packing, secrets, simhash, tokens
+from ledgerlake.llm import chat, classifier, cleaning, histogram, labeller, mixing, neighbours, packing, secrets, simhash, tokens
 from ledgerlake.llm.scratch import written
 
 CONTEXT = 2048
@@ -40,6 +40,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "epoch", "domain", "lang", "source", "n_tokens")
 
 
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id 20 divides."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op4_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of line-first cleaning for every document."""
     cleaned = cleaning.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -141,6 +146,6 @@ FROM o GROUP BY conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_sequences, op2_mix_sources, op4_clean_lines, op5_main_text, op6_token_lengths, op7_scan_secrets, op8_quality_scores, op9_format_chats, op10_simhash)
+    for f in (op1_pack_sequences, op2_mix_sources, op3_hilbert_neighbours, op4_clean_lines, op5_main_text, op6_token_lengths, op7_scan_secrets, op8_quality_scores, op9_format_chats, op10_simhash)
 }
 ORACLES: dict[str, str] = {"op4_clean_lines": OP4_SQL, "op9_format_chats": OP9_SQL}
