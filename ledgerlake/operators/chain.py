@@ -1,11 +1,9 @@
-"""Hash chains: numbering, appending, sealing and parallel verification.
-
-Appending is serial by nature: a hash needs its predecessor's. Work is therefore spread over
-chains, and a long chain is cut into segments of `segment_rows` consecutive sequence numbers.
-The first segment starts like an unsegmented chain; a later one starts from an anchor naming
-chain and segment, and a chain of seals over the segment heads fixes their order. A chain
-that fits one segment has the same hashes as without segments. Verification needs stored
-hashes only and is parallel everywhere.
+"""Hash chains: numbering, appending and parallel verification.
+
+A hash needs its predecessor's, so appending to one chain is serial by nature, whatever its length.
+Work is spread over chains: give every source (and, where that is too coarse, every day of it) a
+chain of its own in `chain_id`. A chain is walked as a sorted stream that carries one hash, so its
+length costs time but no memory. Verification needs stored hashes only and is parallel everywhere.
 """
 
 from __future__ import annotations
@@ -14,111 +12,58 @@ import hashlib
 import hmac as _hmac
 from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.crypto import chained_hash, json_object, json_string
-from ..functions.trust import floor_div
+from ..functions.crypto import chained_hash
 from .ordering import previous_value, running_sum
 
-SEGMENT_ROWS = 50_000
-
 
 def number_entries(df: DataFrame, created: str = "created_at", id_col: str = "id") -> DataFrame:
     """Backfill chain_seq 1..n by (created, id) without a single-task sort."""
     return running_sum(df, [], [created, id_col], out="chain_seq")
 
 
-def segment_of(seq: Column, rows: int) -> Column:
-    return floor_div(seq - 1, rows)
-
-
-def anchor(keyring: Mapping[str, str], key_id: Column, chain: Column, segment: Column) -> Column:
-    label = json_object(
-        {"chain": json_string(chain.cast("string")), "segment": segment.cast("string")}
-    )
-    return F.when(segment > 0, chained_hash(keyring, key_id, label, F.lit(None).cast("string")))
-
-
 def append(
     df: DataFrame,
     keyring: Mapping[str, str],
     canonical: str = "canonical",
     heads: DataFrame | None = None,
-    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Adds prev_hash and record_hash. Needs chain_id, chain_seq, key_id, id and `canonical`.
 
-    `heads` (chain_id, head_seq, head_hash) continues existing chains: a batch row whose
-    segment already holds rows starts from the head instead of the anchor.
+    `heads` (chain_id, head_hash) continues existing chains.
     """
-    work = df.select(
-        "chain_id",
-        segment_of(F.col("chain_seq"), segment_rows).alias("segment"),
-        "chain_seq",
-        "key_id",
-        "id",
-        F.col(canonical).alias("canonical"),
-    ).withColumn("start", anchor(keyring, F.col("key_id"), F.col("chain_id"), F.col("segment")))
-    if heads is not None:
-        head = heads.select(
-            "chain_id", segment_of(F.col("head_seq"), segment_rows).alias("segment"), "head_hash"
-        )
-        work = (
-            work.join(head, ["chain_id", "segment"], "left")
-            .withColumn("start", F.coalesce("head_hash", "start"))
-            .drop("head_hash")
-        )
+    work = df.select("chain_id", "chain_seq", "key_id", "id", F.col(canonical).alias("canonical"))
+    if heads is None:
+        work = work.withColumn("start", F.lit(None).cast("string"))
+    else:
+        work = work.join(heads.select("chain_id", F.col("head_hash").alias("start")), "chain_id", "left")
     keys = {name: value.encode() for name, value in keyring.items()}
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chain_seq", kind="stable")
-        prev = rows["start"].iloc[0]
-        before, after = [], []
-        for key_id, text in zip(rows["key_id"], rows["canonical"]):
-            before.append(prev)
-            message = text if prev is None else text + prev
-            prev = _hmac.new(keys[key_id], message.encode(), hashlib.sha256).hexdigest()
-            after.append(prev)
-        return pd.DataFrame({"id": rows["id"], "prev_hash": before, "record_hash": after})
+    def link(batches):
+        chain, prev = None, None
+        for batch in batches:
+            before, after = [], []
+            for own, key_id, text, start in zip(*(batch.column(c).to_pylist() for c in (0, 2, 4, 5))):
+                if own != chain:
+                    chain, prev = own, start
+                before.append(prev)
+                message = text if prev is None else text + prev
+                prev = _hmac.new(keys[key_id], message.encode(), hashlib.sha256).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(3), pa.array(before, pa.string()), pa.array(after, pa.string())],
+                names=["id", "prev_hash", "record_hash"],
+            )
 
     id_type = df.schema["id"].dataType.simpleString()
-    linked = work.groupBy("chain_id", "segment").applyInPandas(
-        link, f"id {id_type}, prev_hash string, record_hash string"
-    )
+    walked = work.filter("chain_id IS NOT NULL").repartition("chain_id").sortWithinPartitions("chain_id", "chain_seq", "id")
+    linked = walked.mapInArrow(link, f"id {id_type}, prev_hash string, record_hash string")
     return df.join(linked, "id")
 
 
-def seal(df: DataFrame, key_id: str, keyring: Mapping[str, str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """One seal per segment, chained: fixes the order and length of segments."""
-    heads = df.groupBy("chain_id", segment_of(F.col("chain_seq"), segment_rows).alias("segment")).agg(
-        F.max_by("record_hash", "chain_seq").alias("head_hash"),
-        F.count("*").alias("rows"),
-    )
-    sealed = heads.withColumn(
-        "canonical",
-        json_object(
-            {
-                "chain": json_string(F.col("chain_id").cast("string")),
-                "segment": F.col("segment").cast("string"),
-                "head": json_string(F.col("head_hash")),
-                "rows": F.col("rows").cast("string"),
-            }
-        ),
-    ).select(
-        "chain_id",
-        (F.col("segment") + 1).alias("chain_seq"),
-        F.lit(key_id).alias("key_id"),
-        F.concat_ws(":", F.col("chain_id").cast("string"), F.col("segment")).alias("id"),
-        "segment",
-        "rows",
-        "head_hash",
-        "canonical",
-    )
-    return append(sealed, keyring, segment_rows=SEGMENT_ROWS)
-
-
 def check_records(
     df: DataFrame, keyring: Mapping[str, str], canonical: str = "canonical"
 ) -> DataFrame:
@@ -127,42 +72,19 @@ def check_records(
     return df.withColumn("record_ok", F.coalesce(expected == F.col("record_hash"), F.lit(False)))
 
 
-def check_links(
-    df: DataFrame,
-    keyring: Mapping[str, str],
-    canonical: str = "canonical",
-    segment_rows: int | None = SEGMENT_ROWS,
-) -> DataFrame:
-    """Per record: record_ok, and link_ok when the stored predecessor hash is the true one.
-
-    `segment_rows` None checks an unsegmented chain.
-    """
+def check_links(df: DataFrame, keyring: Mapping[str, str], canonical: str = "canonical") -> DataFrame:
+    """Per record: record_ok, and link_ok when the stored predecessor hash is the true one."""
     # Hashes are checked where the record is read; only hashes and keys are shuffled.
     checked = check_records(df, keyring, canonical).select(
         "id", "chain_id", "chain_seq", "key_id", "prev_hash", "record_hash", "record_ok"
     )
-    segment = segment_of(F.col("chain_seq"), segment_rows) if segment_rows else F.lit(0)
-    linked = previous_value(
-        checked.withColumn("_segment", segment),
-        ["chain_id", "_segment"],
-        "chain_seq",
-        "record_hash",
-        "walked_prev",
-    )
-    opening = anchor(keyring, F.col("key_id"), F.col("chain_id"), F.col("_segment"))
-    return linked.withColumn(
-        "link_ok", F.col("prev_hash").eqNullSafe(F.coalesce("walked_prev", opening))
-    ).drop("_segment")
+    linked = previous_value(checked, ["chain_id"], "chain_seq", "record_hash", "walked_prev")
+    return linked.withColumn("link_ok", F.col("prev_hash").eqNullSafe(F.col("walked_prev")))
 
 
-def verify(
-    df: DataFrame,
-    keyring: Mapping[str, str],
-    canonical: str = "canonical",
-    segment_rows: int | None = SEGMENT_ROWS,
-) -> DataFrame:
+def verify(df: DataFrame, keyring: Mapping[str, str], canonical: str = "canonical") -> DataFrame:
     """One row per chain: validity, rows checked, first bad id in chain order."""
-    checked = check_links(df, keyring, canonical, segment_rows)
+    checked = check_links(df, keyring, canonical)
     ok = F.col("record_ok") & F.col("link_ok")
     return checked.groupBy("chain_id").agg(
         F.min(ok).alias("chain_valid"),

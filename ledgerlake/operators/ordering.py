@@ -25,16 +25,19 @@ def previous_value(
     """
     bucketed = df.withColumn("_bucket", floor_div(F.col(seq), bucket_rows))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(seq)
-    local = bucketed.withColumn(out, F.lag(value).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
+    local = (
+        bucketed.withColumn(out, F.lag(value).over(inside))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .withColumn("_more", F.lead(F.lit(True), 1, False).over(inside))
     )
-    tails = bucketed.groupBy(*keys, "_bucket").agg(F.max_by(value, seq).alias("_tail"))
+    # Taken from the windowed rows, so that both uses share one shuffle.
+    tails = local.filter("NOT _more").select(*keys, "_bucket", F.col(value).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
     entry = tails.select(*keys, "_bucket", F.lag("_tail").over(across).alias("_entry"))
     return (
         local.join(entry, [*keys, "_bucket"])
         .withColumn(out, F.when(F.col("_first"), F.col("_entry")).otherwise(F.col(out)))
-        .drop("_bucket", "_first", "_entry")
+        .drop("_bucket", "_first", "_more", "_entry")
     )
 
 

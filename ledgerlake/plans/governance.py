@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto
 from ..functions import text as tx
 from ..operators import chain, conflict, defenses, gates, hooks, ingest, insights, precedent, reports, state
+from ..operators.ordering import running_sum
 from ..session import cut_lineage
 from ..sources import archive, markdown
 from ..streaming.common import fresh_path
@@ -114,20 +115,6 @@ def chain_seq_backfill(spark, sf):
     return chain.number_entries(memory(spark, sf).drop("chain_seq")).select("id", "chain_seq")
 
 
-@query(
-    f"""WITH {M} SELECT source_agent AS chain_id, CAST((chain_seq - 1) // 300 AS BIGINT) AS segment, count(*) AS rows
- FROM memory GROUP BY 1, 2"""
-)
-def chain_seals(spark, sf):
-    """Segmented chains: seals of all segments, kept only where chain and seals verify."""
-    rows = with_canonical(memory(spark, sf).withColumn("chain_id", F.col("source_agent")))
-    linked = cut_lineage(chain.append(rows, KEYRING, segment_rows=300))
-    good = chain.verify(linked, KEYRING, segment_rows=300).filter("chain_valid").select("chain_id")
-    seals = cut_lineage(chain.seal(linked, "k1", KEYRING, segment_rows=300))
-    sound = chain.verify(seals, KEYRING).filter("chain_valid").select("chain_id")
-    return seals.join(good, "chain_id", "left_semi").join(sound, "chain_id", "left_semi").select("chain_id", "segment", "rows")
-
-
 @query(f"WITH {M} SELECT id, {CANON} AS canonical, {hmac_sql('k1', CANON)} AS signature FROM memory")
 def canonical_records(spark, sf):
     return with_canonical(memory(spark, sf)).select(
@@ -173,7 +160,7 @@ def state_events(spark, sf):
         .withColumn("valid_until", F.timestamp_seconds("at_epoch"))
         .withColumn("created_at", F.timestamp_seconds("at_epoch"))
         .withColumn("id", F.col("chain_seq"))
-        .withColumn("chain_id", F.lit("state"))
+        .withColumn("chain_id", F.floor(F.col("at_epoch") / 86400))
         .withColumn("key_id", F.lit("k1"))
     )
 
@@ -186,12 +173,13 @@ EVENT_CANON = (
 
 
 @query(
-    f"""WITH RECURSIVE {M}, {S}, b AS (SELECT *, {EVENT_CANON} AS canon, row_number() OVER (ORDER BY chain_seq) AS rn FROM ev),
- h AS (SELECT chain_seq, rn, CAST(NULL AS VARCHAR) AS prev_hash, {hmac_sql("k1", "canon")} AS record_hash FROM b WHERE rn = 1
-  UNION ALL SELECT b.chain_seq, b.rn, h.record_hash, {hmac_sql("k1", "(b.canon || h.record_hash)")} FROM h JOIN b ON b.rn = h.rn + 1)
+    f"""WITH RECURSIVE {M}, {S}, b AS (SELECT *, {EVENT_CANON} AS canon, at_epoch // 86400 AS c, row_number() OVER (PARTITION BY at_epoch // 86400 ORDER BY chain_seq) AS rn FROM ev),
+ h AS (SELECT chain_seq, c, rn, CAST(NULL AS VARCHAR) AS prev_hash, {hmac_sql("k1", "canon")} AS record_hash FROM b WHERE rn = 1
+  UNION ALL SELECT b.chain_seq, b.c, b.rn, h.record_hash, {hmac_sql("k1", "(b.canon || h.record_hash)")} FROM h JOIN b ON b.c = h.c AND b.rn = h.rn + 1)
  SELECT chain_seq, record_hash FROM h"""
 )
 def state_chain(spark, sf):
+    """State events linked into one chain per day."""
     return chain.append(state.event_canonical(state_events(spark, sf)), KEYRING).select("chain_seq", "record_hash")
 
 
@@ -336,18 +324,22 @@ def export_records(spark, sf):
 
 
 @query(
-    f"""WITH {M}, t AS (SELECT *, id % 29 = 3 AS bad, id % 31 = 4 AS red FROM memory WHERE valid_until_epoch IS NULL),
- f AS (SELECT sha256(content) AS h, min(chain_seq) AS c FROM t WHERE NOT bad AND NOT red GROUP BY 1),
+    f"""WITH {M}, n AS (SELECT *, row_number() OVER (PARTITION BY source_agent ORDER BY chain_seq) AS rn FROM memory),
+ t AS (SELECT *, id % 29 = 3 AS bad, id % 31 = 4 AS red FROM n WHERE valid_until_epoch IS NULL),
+ f AS (SELECT id AS c FROM (SELECT id, row_number() OVER (PARTITION BY sha256(content) ORDER BY rn, source_agent) AS k FROM t WHERE NOT bad AND NOT red) WHERE k = 1),
  b AS (SELECT sha256(content) AS h FROM memory WHERE id % 9 = 1 AND valid_until_epoch IS NULL)
  SELECT id, CASE WHEN red THEN 'skipped_redacted' WHEN bad THEN 'skipped_tampered'
-   WHEN sha256(content) NOT IN (SELECT h FROM b) AND chain_seq IN (SELECT c FROM f) THEN 'imported' ELSE 'skipped_duplicate' END AS outcome,
+   WHEN sha256(content) NOT IN (SELECT h FROM b) AND id IN (SELECT c FROM f) THEN 'imported' ELSE 'skipped_duplicate' END AS outcome,
   key_id = 'k1' AND NOT bad AND NOT red AS hmac_verified,
   CASE WHEN key_id = 'k1' AND NOT bad AND NOT red THEN trust_score ELSE least(trust_score, 0.3) END AS trust_score,
   key_id = 'k1' AND NOT bad AND NOT red AND id % 17 = 0 AS still_flagged FROM t"""
 )
 def import_outcomes(spark, sf):
     """Archive round trip through files, with edited, redacted and already stored records."""
-    rows = cut_lineage(chained(spark, sf)).withColumn("content_hash", tx.content_hash(F.col("content")))
+    # Every source counts its own records, so the numbers repeat across chains.
+    numbered = running_sum(memory(spark, sf).withColumn("chain_id", F.col("source_agent")), ["chain_id"], ["chain_seq"], out="n")
+    linked = cut_lineage(chain.append(with_canonical(numbered.withColumn("chain_seq", F.col("n")).drop("n")), KEYRING))
+    rows = linked.withColumn("content_hash", tx.content_hash(F.col("content")))
     rows = rows.withColumn("embedding_model", F.lit("local/hash")).withColumn("embedding_dimensions", F.lit(64))
     stored = rows.filter("id % 9 = 1 AND valid_until IS NULL").select("content_hash")
     none = state_events(spark, sf).filter(F.lit(False))

@@ -100,5 +100,5 @@ ARCHIVE_RECORD = (
     " metadata string, record_hash string, prev_hash string, key_id string, created_at string,"
     " created_by string, source_agent string, session_id string, valid_from string,"
     " valid_until string, superseded_by string, amended_from string, redacted boolean,"
-    " chain_seq bigint, _corrupt string"
+    " chain_id string, chain_seq bigint, _corrupt string"
 )

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crypto import canonical_json, canonical_record, chained_hash, iso_utc
 from ..functions.text import content_hash
 from ..functions.trust import now_micros
+from ..operators.chain import append
 from ..operators.defenses import latest_redaction, meta
-from ..operators.ingest import merge_metadata, scrub_metadata
+from ..operators.gates import Rule
+from ..operators.ingest import govern, merge_metadata, scrub_metadata
+from ..operators.ordering import running_sum
 from ..operators.state import audit_pages
+from ..session import cut_lineage
 from ..schema import ARCHIVE_RECORD, ARCHIVE_SCHEMA_VERSION, IMPORT_CEILING, REDACTED_TEXT
 
 _TIMES = ("embedded_at", "created_at", "valid_from", "valid_until")
@@ -22,7 +26,7 @@ _FIELDS = (
     "id", "content", "memory_type", "trust_score", "content_hash", "embedding_model",
     "embedding_dimensions", "embedded_at", "metadata", "record_hash", "prev_hash", "key_id",
     "created_at", "created_by", "source_agent", "session_id", "valid_from", "valid_until",
-    "superseded_by", "amended_from", "chain_seq",
+    "superseded_by", "amended_from", "chain_id", "chain_seq",
 )
 
 
@@ -63,7 +67,7 @@ def record_lines(records: DataFrame) -> DataFrame:
             col = iso_utc(col)
         elif name == "metadata":
             col = F.coalesce(F.try_parse_json(col), F.parse_json(F.lit("{}")))
-        elif name in ("id", "superseded_by", "amended_from"):
+        elif name in ("id", "superseded_by", "amended_from", "chain_id"):
             col = col.cast("string")
         elif name == "trust_score":
             col = col.cast("double")
@@ -128,16 +132,61 @@ def check_manifest(spark: SparkSession, path: str) -> dict:
     return found
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archive records; malformed lines keep their text in `_corrupt`. The manifest is checked."""
-    check_manifest(spark, path)
-    return (
-        spark.read.schema(ARCHIVE_RECORD)
+def _parsed(lines: DataFrameReader, path: str) -> DataFrame:
+    """Records of JSON lines, each with a number of its own in `_row`, written once: every later step sees the same."""
+    rows = (
+        lines.schema(ARCHIVE_RECORD)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(f"{path}/records")
-        .withColumn("chain_seq", F.coalesce("chain_seq", F.monotonically_increasing_id()))
+        .json(path)
     )
+    return cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Archive records; malformed lines keep their text in `_corrupt`. The manifest is checked."""
+    check_manifest(spark, path)
+    return _parsed(spark.read, f"{path}/records")
+
+
+def write_stream(
+    path: str,
+    records: DataFrame,
+    chain_rows: DataFrame,
+    now: datetime,
+    audit: DataFrame | None = None,
+    **filters,
+) -> None:
+    """The archive as one stream of lines: the manifest first, then a line per record with its trail inside.
+
+    The parts of the folder make the stream in the order of their names. A record's trail is one
+    line, so it has to fit one row; `write_archive` pages it instead.
+    """
+    first = manifest(records.sparkSession, chain_rows, now, **filters).coalesce(1)
+    rows = records
+    if audit is not None:
+        mine = audit.join(records.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+        event = F.struct("timestamp", "id", "action", "actor", "details")
+        trails = mine.groupBy("memory_id").agg(F.array_sort(F.collect_list(event)).alias("audit_trail"))
+        trails = trails.withColumn(
+            "audit_trail",
+            F.transform("audit_trail", lambda e: F.struct(iso_utc(e["timestamp"]).alias("timestamp"), e["action"].alias("action"), e["actor"].alias("actor"), e["details"].alias("details"))),
+        )
+        rows = rows.join(trails, rows["id"] == trails["memory_id"], "left").drop("memory_id")
+        empty = F.array().cast(trails.schema["audit_trail"].dataType)
+        rows = rows.withColumn("audit_trail", F.coalesce("audit_trail", empty))
+    first.unionAll(record_lines(rows)).write.text(path)
+
+
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Records of an archive in one stream, a file or a folder of parts. Exactly one line is the manifest."""
+    found = spark.read.text(path).withColumn("version", F.get_json_object("value", "$.schema_version"))
+    heads = found.filter("version IS NOT NULL AND get_json_object(value, '$.exported_at') IS NOT NULL").limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("archive needs exactly one manifest line")
+    if json.loads(heads[0]["value"])["schema_version"] != ARCHIVE_SCHEMA_VERSION:
+        raise ValueError(f"unsupported schema_version {heads[0]['version']!r}")
+    return _parsed(spark.read, path).filter("schema_version IS NULL OR content IS NOT NULL")
 
 
 def own_signature(keyring: Mapping[str, str], key_id: str) -> Column:
@@ -166,9 +215,12 @@ def route_import(
     """Adds outcome, hmac_verified, trust_score and scrubbed metadata.
 
     Order of outcomes: error, redacted, tampered, duplicate, imported. Among copies inside the
-    archive the lowest chain_seq is imported; copies are settled by map-side minima and unique
-    keys, never gathered.
+    archive the lowest (chain_seq, chain_id, line) is imported; copies are settled by map-side
+    minima and the line's own number, never gathered. Every line of the archive is one row of the
+    result, which is also all that a dry run needs; `import_records` goes on from here.
     """
+    if "_row" not in records.columns:
+        records = cut_lineage(records.withColumn("_row", F.monotonically_increasing_id()))
     blank = F.coalesce("content_hash", F.lit("")) == ""
     trust = F.coalesce("trust_score", F.lit(0.5))
     staged = (
@@ -182,11 +234,12 @@ def route_import(
         )
     )
     fresh = staged.filter(F.col("_early").isNull() & F.col("content_hash").isNotNull())
-    winners = fresh.groupBy("content_hash").agg(F.min("chain_seq").alias("chain_seq"))
+    order = F.struct(F.col("chain_seq").isNull().alias("last"), F.col("chain_seq"), F.col("chain_id"), F.col("_row"))
+    winners = fresh.groupBy("content_hash").agg(F.min(order)["_row"].alias("_row"))
     if stored is not None:
         winners = winners.join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
     marked = staged.join(
-        winners.select("chain_seq", F.lit(True).alias("_winner")), "chain_seq", "left"
+        winners.select("_row", F.lit(True).alias("_winner")), "_row", "left"
     )
     outcome = F.coalesce(
         F.col("_early"),
@@ -225,7 +278,7 @@ def route_import(
                 },
             ),
         )
-        .drop("_meta", "_early", "_winner")
+        .drop("_meta", "_early", "_winner", "_row")
     )
 
 
@@ -233,6 +286,37 @@ def outcome_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def import_records(
+    routed: DataFrame,
+    rules: list[Rule],
+    index_dims: int,
+    embed: Callable[[DataFrame], DataFrame],
+    keyring: Mapping[str, str],
+    key_id: str,
+    heads: DataFrame | None = None,
+) -> DataFrame:
+    """The imported rows of `route_import` as governed records, at the end of the chain of their source.
+
+    `heads` (chain_id, head_seq, head_hash) are the chains so far. Rows that the gate rejects keep
+    their reason and get no place in a chain.
+    """
+    rows = routed.filter("outcome = 'imported'").select(
+        "id", "content", "memory_type", "trust_score", F.lit("archive-import").alias("actor"), "session_id", "metadata",
+        meta(F.col("metadata"), "content_class").alias("content_class"), "source_agent", "created_at",
+    )
+    governed = cut_lineage(govern(rows, rules, index_dims, embed, key_id))
+    good = governed.filter("reject_reason IS NULL").withColumn("chain_id", F.coalesce("source_agent", F.lit("archive-import")))
+    placed = running_sum(good, ["chain_id"], ["created_at", "id"], out="chain_seq")
+    if heads is not None:
+        placed = (
+            placed.join(heads.select("chain_id", "head_seq"), "chain_id", "left")
+            .withColumn("chain_seq", F.col("chain_seq") + F.coalesce("head_seq", F.lit(0)))
+            .drop("head_seq")
+        )
+    linked = append(placed, keyring, heads=heads)
+    return linked.unionByName(governed.filter("reject_reason IS NOT NULL"), allowMissingColumns=True)
+
+
 # --- retention ---
 
 

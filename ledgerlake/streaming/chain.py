@@ -8,10 +8,8 @@ from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.chain import SEGMENT_ROWS, anchor, segment_of
 from .common import use_rocksdb
 
 
@@ -25,7 +23,7 @@ class _Head(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("chain_seq", kind="stable")
         held = self.head.get() if self.head.exists() else None
-        prev = held[0] if held else batch["start"].iloc[0]
+        prev = held[0] if held else None
         before, after = [], []
         for key_id, text in zip(batch["key_id"], batch["canonical"]):
             before.append(prev)
@@ -45,23 +43,17 @@ class _Head(StatefulProcessor):
         pass
 
 
-def chain_stream(
-    records: DataFrame, keyring: Mapping[str, str], segment_rows: int = SEGMENT_ROWS
-) -> DataFrame:
+def chain_stream(records: DataFrame, keyring: Mapping[str, str]) -> DataFrame:
     """Adds prev_hash and record_hash to a stream of (chain_id, chain_seq, id, key_id, canonical).
 
-    State is one hash per (chain, segment). Records of a segment must arrive in chain_seq order
-    from batch to batch; within a batch they are sorted.
+    State is one hash per chain. Records of a chain must arrive in chain_seq order from batch to
+    batch; within a batch they are sorted, so the rows of one chain in one batch are held at once:
+    bound them by the source's rate limit.
     """
     use_rocksdb(records.sparkSession)
-    staged = records.select("chain_id", "chain_seq", "id", "key_id", "canonical").withColumn(
-        "segment", segment_of(F.col("chain_seq"), segment_rows)
-    )
-    staged = staged.withColumn(
-        "start", anchor(keyring, F.col("key_id"), F.col("chain_id"), F.col("segment"))
-    )
+    staged = records.select("chain_id", "chain_seq", "id", "key_id", "canonical")
     types = {f.name: f.dataType.simpleString() for f in staged.schema.fields}
-    return staged.groupBy("chain_id", "segment").transformWithStateInPandas(
+    return staged.groupBy("chain_id").transformWithStateInPandas(
         statefulProcessor=_Head(keyring),
         outputStructType=(
             f"chain_id {types['chain_id']}, chain_seq bigint, id {types['id']}, key_id string,"

@@ -1,6 +1,7 @@
 """Files in and out: markdown, labelled corpora, archives."""
 
 import json
+import os
 import re
 from datetime import datetime
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import crypto
 from ledgerlake.functions import text as tx
-from ledgerlake.operators import chain
+from ledgerlake.operators import chain, hooks
+from ledgerlake.schema import ARCHIVE_RECORD
 from ledgerlake.sources import archive, corpus, markdown
 
 KEYS = {"k1": "one"}
@@ -91,6 +93,37 @@ def test_archive_round_trip(spark, tmp_path):
     assert not other.hmac_verified and other.trust_score == 0.3 and "injection_flagged" not in json.loads(other.metadata)
 
 
+def test_import_keeps_rows_of_chains_with_the_same_numbers(spark):
+    rows = stored_records(spark).withColumn("chain_id", F.when(F.col("id") < "r5", "a").otherwise("b")).withColumn("chain_seq", F.lit(1).cast("bigint"))
+    lines = archive.record_lines(archive.export_records(rows, no_events(spark)))
+    parsed = lines.select(F.from_json("value", ARCHIVE_RECORD).alias("r")).select("r.*").withColumn("_corrupt", F.lit(None).cast("string"))
+    routed = archive.route_import(parsed, KEYS, "k1")
+    assert routed.count() == parsed.count() == rows.count()
+    assert routed.filter("outcome = 'imported'").count() == rows.select("content_hash").distinct().count()
+
+
+def test_archive_in_one_stream(spark, tmp_path):
+    rows = stored_records(spark)
+    audit = spark.createDataFrame(
+        [("r1", 2, "searched", "x", "{}", datetime(2024, 1, 2)), ("r1", 1, "created", "y", "{}", datetime(2024, 1, 1))],
+        "memory_id string, id int, action string, actor string, details string, timestamp timestamp",
+    )
+    path = str(tmp_path / "one")
+    archive.write_stream(path, archive.export_records(rows, no_events(spark)), chain.verify(rows, KEYS), datetime(2024, 2, 1), audit)
+    parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
+    text = "".join(open(f"{path}/{p}").read() for p in parts).splitlines()
+    assert "exported_at" in json.loads(text[0]) and len(text) == rows.count() + 1
+    found = next(json.loads(x) for x in text[1:] if json.loads(x)["id"] == "r1")
+    assert [e["action"] for e in found["audit_trail"]] == ["created", "searched"] and found["chain_id"] == "c"
+    back = archive.read_stream(spark, path)
+    assert back.count() == rows.count()
+    routed = archive.route_import(back, KEYS, "k1")
+    done = archive.import_records(routed, [], 64, hooks.hash_embedder(64).apply, KEYS, "k1")
+    good = done.filter("reject_reason IS NULL")
+    assert good.count() == routed.filter("outcome = 'imported'").count() > 0
+    assert chain.verify(good, KEYS).filter("NOT chain_valid").count() == 0
+
+
 def test_redacted_export(spark):
     rows = stored_records(spark).withColumn("valid_until", F.when(F.col("id") == "r2", F.lit(datetime(2024, 1, 2))))
     events = spark.createDataFrame([("r2", "redacted", "me", "why", datetime(2024, 1, 2), 1)], no_events(spark).schema)

@@ -36,8 +36,8 @@ def test_flood_stream(spark, tmp_path):
 def test_chain_stream(spark, tmp_path):
     df = records(spark)
     stream = feed(spark, df, str(tmp_path / "in"), "chain_seq", [(0, 20), (20, 41), (41, 99)])
-    out = run_available(stream_chain.chain_stream(stream, KEYS, 16), "t")
-    want = chain.append(df, KEYS, segment_rows=16)
+    out = run_available(stream_chain.chain_stream(stream, KEYS), "t")
+    want = chain.append(df, KEYS)
     assert out.count() == 60
     assert out.select("id", "prev_hash", "record_hash").exceptAll(want.select("id", "prev_hash", "record_hash")).count() == 0
 
