@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import CONFIRMED_TRUST, FLAGGED_CEILING, MAX_CONTENT_CHARS
+from ..schema import CONFIRMED_TRUST, FLAGGED_CEILING
 
 # --- Fixed values: patterns, word lists and lookup tables that define results. ---
 INJECTION_PATTERNS = (
@@ -212,10 +212,16 @@ def sql_blocked(text: Column) -> Column:
     return words
 
 
-def sanitise(content: Column, trust: Column, content_class: Column) -> dict[str, Column]:
-    """Truncated content, flag and override reason. Trust is the source trust."""
-    kept = F.substring(content, 1, MAX_CONTENT_CHARS)
-    flag = injection_flag(kept)
+def sanitise(
+    content: Column, trust: Column, content_class: Column, max_chars: int | None = None
+) -> dict[str, Column]:
+    """Content, flag and override reason. Trust is the source trust.
+
+    The whole text is screened and kept. With `max_chars` the kept text is cut there, after the
+    whole of it was screened.
+    """
+    kept = content if max_chars is None else F.substring(content, 1, max_chars)
+    flag = injection_flag(content)
     exempt = flag & (trust >= CONFIRMED_TRUST) & (content_class == "security-doc")
     reason = F.when(
         exempt,
@@ -336,7 +342,14 @@ def keyword_tokens(content: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*[w for w in STOP_WORDS if len(w) >= 5]))
 
 
-def inbox_entities(content: Column) -> dict[str, Column]:
+def inbox_entities(
+    content: Column, extra: dict[str, list[str]] | None = None, per_kind: int | None = None
+) -> dict[str, Column]:
+    """People, tools and projects in order of first mention.
+
+    `extra` adds names to a kind, found as whole words in any case and given as listed, after the
+    others. `per_kind` keeps only the first so many of a kind.
+    """
     people_pattern = F.lit(cased(r"@(\w+)|(?<![A-Z])([A-Z][a-z]+\s[A-Z][a-z]+)"))
     people = F.zip_with(
         F.regexp_extract_all(content, people_pattern, F.lit(1)),
@@ -349,11 +362,13 @@ def inbox_entities(content: Column) -> dict[str, Column]:
     projects = F.regexp_extract_all(
         content, F.lit(cased(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b")), F.lit(1)
     )
-    return {
-        "people": F.slice(F.array_distinct(people), 1, 10),
-        "tools": F.slice(F.array_distinct(tools), 1, 10),
-        "projects": F.slice(F.array_distinct(projects), 1, 10),
-    }
+    found = {"people": people, "tools": tools, "projects": projects}
+    for kind, names in (extra or {}).items():
+        listed = [F.when(content.rlike(any_case(rf"\b{re.escape(n)}\b")), F.lit(n)) for n in names]
+        if listed:
+            found[kind] = F.concat(found[kind], F.filter(F.array(*listed), lambda x: x.isNotNull()))
+    distinct = {kind: F.array_distinct(names) for kind, names in found.items()}
+    return distinct if per_kind is None else {k: F.slice(v, 1, per_kind) for k, v in distinct.items()}
 
 
 def inferred_class(content: Column, declared: Column, source_agent: Column) -> Column:

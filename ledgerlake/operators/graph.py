@@ -21,7 +21,6 @@ RELATION_RULES = (
     ("project", "uses", "technology"),
     ("organization", "develops", "project"),
 )
-RELATIONS_PER_MEMORY = 20
 
 
 def extract_entities(
@@ -50,16 +49,15 @@ def extract_entities(
     )
 
 
-def extract_relations(mentions: DataFrame, cap: int = RELATIONS_PER_MEMORY) -> DataFrame:
+def extract_relations(mentions: DataFrame, cap: int | None = None) -> DataFrame:
     """(memory_id, ord, subject, subject_type, predicate, object, object_type).
 
-    Only the first `cap` pairs of a record count, in rule, subject, object order; so the first
-    `cap` names of each type are enough and the product stays small.
+    All pairs of a record's own names, in rule, subject, object order. With `cap` only the first
+    so many of a record count, and so the first `cap` names of each type are enough.
     """
-    heads = first_n(
-        mentions.select("memory_id", "pos", "name", "entity_type"),
-        ["memory_id", "entity_type"], [F.col("pos")], cap,
-    )
+    heads = mentions.select("memory_id", "pos", "name", "entity_type")
+    if cap is not None:
+        heads = first_n(heads, ["memory_id", "entity_type"], [F.col("pos")], cap)
     lists = heads.groupBy("memory_id").agg(
         *[
             F.transform(
@@ -88,7 +86,8 @@ def extract_relations(mentions: DataFrame, cap: int = RELATIONS_PER_MEMORY) -> D
         )
 
     every = F.concat(*[pairs(*rule) for rule in RELATION_RULES])
-    return lists.select("memory_id", F.posexplode(F.slice(every, 1, cap)).alias("ord", "r")).select(
+    kept = every if cap is None else F.slice(every, 1, cap)
+    return lists.select("memory_id", F.posexplode(kept).alias("ord", "r")).select(
         "memory_id", "ord", "r.*"
     )
 

@@ -315,16 +315,16 @@ def reclaimable(status: Column, claimed_at: Column, now: datetime | int, hours:
 
 
 def session_summaries(
-    turns: DataFrame, session: str, turn: str, line: Column, page_turns: int = 200
+    turns: DataFrame, session: str, turn: str, line: Column, page_turns: int | None = None
 ) -> DataFrame:
-    """One episodic record per session page: turn lines in order, at most `page_turns` each.
+    """One episodic record per session: its turn lines in order.
 
-    `turn` numbers the turns from 0, so pages are even and a very long session becomes many
-    records instead of one unbounded group.
+    A session is one record, so it has to fit one row. With `page_turns` it becomes a record for
+    every so many turns, numbered from 0 in `page`.
     """
     paged = turns.select(
         F.col(session).alias("session"),
-        floor_div(F.col(turn), page_turns).alias("page"),
+        (floor_div(F.col(turn), page_turns) if page_turns else F.lit(0).cast("bigint")).alias("page"),
         F.col(turn).alias("turn"),
         line.alias("line"),
     )

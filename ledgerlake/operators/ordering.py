@@ -126,7 +126,6 @@ def greedy_select(
     takes: DataFrame,
     needs: DataFrame,
     walk_rows: int = 200_000,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Accept items in order, skipping each one an earlier accepted item has blocked.
 
@@ -142,7 +141,7 @@ def greedy_select(
     takes, needs = takes.select("ord", "thing"), needs.select("ord", "thing")
     open_items, settled = items.select("ord"), None
     first_in = None
-    for _ in range(max_rounds):
+    while True:  # every round settles the first open item at least
         open_takes = takes if settled is None else takes.join(open_items, "ord", "left_semi")
         open_needs = needs if settled is None else needs.join(open_items, "ord", "left_semi")
         size = open_takes.unionByName(open_needs).limit(walk_rows + 1).count()
@@ -178,4 +177,3 @@ def greedy_select(
         open_items = judged.filter("waits AND NOT blocked").select("ord")
         accepted = takes.join(settled.filter("accepted").select("ord"), "ord", "left_semi")
         first_in = accepted.groupBy("thing").agg(F.min("ord").alias("ord"))
-    raise RuntimeError("greedy_select did not settle")

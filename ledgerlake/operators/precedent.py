@@ -20,7 +20,6 @@ from ..functions.trust import floor_div
 from ..schema import PRECEDENT_BASE, PRECEDENT_CEILING, PRECEDENT_FLOOR, PRECEDENT_STEP
 from ..session import cut_lineage
 
-MAX_RESOLUTIONS = 32
 _FAN_IN = 64
 
 
@@ -109,10 +108,8 @@ _MAP = "state array<int>, count array<bigint>, reset array<boolean>, seat array<
 def _prepared(events: DataFrame, chunk_rows: int) -> tuple[DataFrame, list[str]]:
     names = sorted(
         r[0]
-        for r in events.filter("kind = 'deliberate'").select("resolution").distinct().limit(MAX_RESOLUTIONS + 1).collect()
+        for r in events.filter("kind = 'deliberate'").select("resolution").distinct().collect()
     )
-    if len(names) > MAX_RESOLUTIONS:
-        raise ValueError(f"more than {MAX_RESOLUTIONS} distinct resolutions")
     # Written, so that the planner sees how small they are and need not shuffle by hot pattern.
     born = cut_lineage(
         events.groupBy("pattern_hash").agg(

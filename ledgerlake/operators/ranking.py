@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.trust import half_even
 from .ordering import first_n
 
-MAX_LIMIT = 50
+POOL_CEILING = 50
 TRUST_FLOOR_WEIGHT = 0.5
 FLAGGED_WEIGHT = 0.3
 
 
-def clamp_limit(n: int) -> int:
-    return max(1, min(int(n), MAX_LIMIT))
+def clamp_limit(n: int, ceiling: int | None = None) -> int:
+    """At least 1; at most `ceiling`, where one is given."""
+    return max(1, int(n) if ceiling is None else min(int(n), ceiling))
 
 
-def pool_size(limit: int, mode: str, rerank: bool = False, provider_limit: int = 20) -> int:
+def pool_size(limit: int, mode: str, rerank: bool = False, provider_limit: int = 20, ceiling: int = POOL_CEILING) -> int:
+    """Candidates to look at for a result of `limit`: never fewer than that."""
     limit = clamp_limit(limit)
     if mode == "fts":
-        return max(limit, min(limit * 5, MAX_LIMIT))
+        return max(limit, min(limit * 5, ceiling))
     if rerank:
-        return max(limit, min(provider_limit, MAX_LIMIT))
+        return max(limit, min(provider_limit, ceiling))
     return limit
 
 

@@ -370,7 +370,7 @@ def rule_signatures(spark, sf):
     rules = memory(spark, sf).select(
         "id", F.lit("exclude_tag").alias("rule_type"),
         F.concat(F.lit('{ "tag" : "'), "project", F.lit('"}')).alias("parameters"),
-        F.substring("content", 1, 80).alias("description"), F.lit("all").alias("applies_to"), "created_at", "key_id",
+        F.col("content").alias("description"), F.lit("all").alias("applies_to"), "created_at", "key_id",
     )
     canonical = crypto.canonical_rule(
         F.col("rule_type"), crypto.canonical_json(F.col("parameters")), F.col("description"), F.col("applies_to"), F.col("created_at")
@@ -603,19 +603,6 @@ def nightly_scans(spark, sf):
     return insights.scan_counts(entries, audit(spark, sf), queue(spark, sf), EVENTS_NOW)
 
 
-@query(
-    """SELECT item_id AS query_id, doc_id AS id, abs(length(b.text) - length(d.text)) % 11 / 10.0 AS score
- FROM benchmark b JOIN documents d ON d.doc_id = b.item_id"""
-)
-def outside_scores(spark, sf):
-    """A stand-in relevance model over (query, record) pairs."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    pairs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id"), F.col("text").alias("query"))
-    return hooks.score_pairs(
-        pairs.join(docs, "id"), lambda qs, cs: [abs(len(q) - len(c)) % 11 / 10.0 for q, c in zip(qs, cs)]
-    )
-
-
 # --- the governed write path as one batch ---
 
 

@@ -225,7 +225,7 @@ def _ci(pattern: str) -> str:
 
 
 @query(
-    f"""WITH {M}, f AS (SELECT id, content_class, trust_score, left(content, 10000) AS kept FROM memory),
+    f"""WITH {M}, f AS (SELECT id, content_class, trust_score, content AS kept FROM memory),
  g AS (SELECT *, regexp_matches(kept, '(?i){RE2_INJECTION}') AS flagged FROM f),
  h AS (SELECT *, CASE WHEN flagged AND trust_score >= 0.9 AND content_class = 'security-doc' THEN
    printf('authoritative-%s: source_trust=%.2f qualifies for trust preservation', content_class, trust_score) END AS reason FROM g)
@@ -493,18 +493,18 @@ def held_submissions(spark, sf):
 
 
 @query(
-    f"""WITH {M}, s AS (SELECT id, trust_score, regexp_matches(left(content, 10000), '(?i){RE2_INJECTION}') AS rx, length(left(content, 10000)) % 7 = 0 AS model FROM memory),
+    f"""WITH {M}, s AS (SELECT id, trust_score, regexp_matches(content, '(?i){RE2_INJECTION}') AS rx, id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS model FROM memory),
  e AS (SELECT *, NOT rx AND trust_score < 0.8 AND model AS hit FROM s)
  SELECT id, rx OR hit AS flagged, hit AS model_hit, CASE WHEN hit THEN least(trust_score, 0.3) ELSE trust_score END AS trust_after,
   CASE WHEN rx THEN 'regex_injection' WHEN hit THEN 'llm_classifier' END AS review_reason,
   CASE WHEN rx OR hit THEN 'held' ELSE 'approved' END AS status FROM e"""
 )
 def model_screening(spark, sf):
-    """A stand-in second-pass classifier on regex-clean, low-trust records; hits are held."""
-    rows = memory(spark, sf).select(
-        "id", F.substring("content", 1, 10_000).alias("content"), "trust_score"
-    ).withColumn("injection_flagged", tx.injection_flag(F.col("content")))
-    verdicts = hooks.screen(rows, lambda texts: [len(t) % 7 == 0 for t in texts])
+    """Verdicts of a second pass, here the stored toxic labels, on regex-clean, low-trust records; hits are held."""
+    rows = memory(spark, sf).select("id", "content", "trust_score").withColumn(
+        "injection_flagged", tx.injection_flag(F.col("content"))
+    )
+    verdicts = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") == 1).alias("model_flagged"))
     done = ingest.second_pass(rows.withColumn("regex_flagged", F.col("injection_flagged")), verdicts)
     done = done.withColumn("any_flagged", F.col("injection_flagged")).withColumn("status", F.lit("approved"))
     held = ingest.hold_flagged(done.withColumn("review_reason", F.lit(None).cast("string")).withColumn("requires_review", F.lit(False)))
@@ -536,13 +536,13 @@ def inbox_ttl(spark, sf):
 
 
 @query(
-    """SELECT conv_id, CAST(floor(turn / 200) AS BIGINT) AS page, count(*) AS n_turns,
- md5(string_agg(concat(role, ': ', text), chr(10) ORDER BY turn)) AS content_md5 FROM conversations GROUP BY 1, 2"""
+    """SELECT conv_id, count(*) AS n_turns,
+ md5(string_agg(concat(role, ': ', text), chr(10) ORDER BY turn)) AS content_md5 FROM conversations GROUP BY 1"""
 )
 def session_summaries(spark, sf):
     line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
     out = ingest.session_summaries(table(spark, sf, "conversations"), "conv_id", "turn", line)
-    return out.select(F.col("session").alias("conv_id"), "page", "n_turns", F.md5("content").alias("content_md5"))
+    return out.select(F.col("session").alias("conv_id"), "n_turns", F.md5("content").alias("content_md5"))
 
 
 @query(

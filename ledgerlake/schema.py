@@ -39,7 +39,6 @@ AGENT_CEILING = 0.6
 IMPORT_CEILING = 0.3
 PROCEDURE_FLOOR = 0.7
 CONFIRMED_TRUST = 0.9
-MAX_CONTENT_CHARS = 10_000
 
 DEDUP_REJECT, DEDUP_MERGE, DEDUP_REVIEW = 0.10, 0.15, 0.22
 CLUSTER_DISTANCE, CLUSTER_MIN_SIZE, CLUSTER_NEIGHBOURS = 0.25, 3, 50

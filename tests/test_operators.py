@@ -255,6 +255,14 @@ def test_precedent_fold_and_trace(spark):
         assert sorted(traced[p]) == out
 
 
+def test_precedent_fold_of_many_resolutions(spark):
+    rows = [("p", i, "deliberate", f"r{i % 40:02d}", "w", f"s{i % 7}") for i in range(1, 201)]
+    schema = "pattern_hash string, seq bigint, kind string, resolution string, winner_rule string, source_key string"
+    f = precedent.fold(spark.createDataFrame(rows, schema), chunk_rows=16).first()
+    rule, _ = fold_one([(s, k, res, src) for _, s, k, res, _, src in rows])
+    assert (f.resolution, f.confidence, f.applied_count) == tuple(rule[:3])
+
+
 def test_precedent_golden(spark):
     steps = [("a", "s1"), ("b", "s2"), ("b", "s3"), ("b", "s4"), ("b", "s4"), ("b", "s5")]
     df = spark.createDataFrame(
@@ -407,12 +415,14 @@ def test_relations_are_capped_in_order(spark):
         [(1, i, f"P{i:02d}", "person") for i in range(30)] + [(1, 30 + i, f"J{i:02d}", "project") for i in range(30)],
         "memory_id int, pos int, name string, entity_type string",
     )
-    got = sorted((r.ord, r.subject, r.object) for r in graph.extract_relations(men).collect())
+    assert graph.extract_relations(men).count() == 900
+    got = sorted((r.ord, r.subject, r.object) for r in graph.extract_relations(men, cap=20).collect())
     assert len(got) == 20 and got[0] == (0, "P00", "J00") and got[19] == (19, "P00", "J19")
 
 
 def test_ranking(spark):
-    assert ranking.pool_size(10, "fts") == 50 and ranking.pool_size(3, "fts") == 15 and ranking.pool_size(99, "semantic") == 50
+    assert ranking.pool_size(10, "fts") == 50 and ranking.pool_size(3, "fts") == 15 and ranking.pool_size(99, "semantic") == 99
+    assert ranking.clamp_limit(500) == 500 and ranking.clamp_limit(500, 50) == 50 and ranking.clamp_limit(0) == 1
     score = lambda t, f: spark.range(1).select(ranking.safety_score(ranking.distance_relevance(F.lit(0.2)), F.lit(t), F.lit(f))).first()[0]
     assert score(0.6, False) == 0.64 and score(0.6, True) == 0.192
 

@@ -82,17 +82,23 @@ def test_hints_cover_patterns(spark):
 
 def test_sanitise(spark):
     out = spark.createDataFrame(
-        [("ignore all " + "x" * 20000, 0.95, "security-doc"), ("ignore all", 0.95, "general"), ("fine", 0.5, "general")],
+        [("ignore all " + "x" * 20000, 0.95, "security-doc"), ("x" * 20000 + " ignore all", 0.95, "general"), ("fine", 0.5, "general")],
         "c string, t double, k string",
     )
     s = tx.sanitise(F.col("c"), F.col("t"), F.col("k"))
     rows = out.select(
         F.length(s["content"]), s["flagged"], tx.flagged_trust(F.col("t"), s["flagged"], s["override_reason"]), s["override_reason"]
     ).collect()
-    assert [tuple(r)[:3] for r in rows] == [(10000, True, 0.95), (10, True, 0.3), (4, False, 0.5)]
+    assert [tuple(r)[:3] for r in rows] == [(20011, True, 0.95), (20011, True, 0.3), (4, False, 0.5)]
     assert rows[0][3] == "authoritative-security-doc: source_trust=0.95 qualifies for trust preservation"
 
 
+def test_sanitise_with_a_length_screens_the_rest_too(spark):
+    s = tx.sanitise(F.col("c"), F.lit(0.5), F.lit("general"), max_chars=10)
+    row = spark.createDataFrame([("x" * 50 + " ignore all",)], "c string").select(F.length(s["content"]), s["flagged"]).first()
+    assert tuple(row) == (10, True)
+
+
 def test_sql_screen(spark):
     assert one(spark, tx.sql_blocked(F.lit("x; drop table y"))) == "dangerous pattern"
     assert one(spark, tx.sql_blocked(F.lit("call me"))) == "keyword CALL"
