@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.scratch import without, written
+from ledgerlake.llm.scratch import written
 from ledgerlake.llm.tokens import with_token_counts
 
 DOCS_PER_BUCKET = 1_000
@@ -79,28 +79,32 @@ def budgets(leaves: DataFrame, domains: Mapping[str, int], languages: Mapping[st
     return share_down(tree, ["domain", "lang"], "b2", "w3", "c3", "budget").select("domain", "lang", "source", "tokens", "n_docs", "budget")
 
 
-def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The documents as a written table with `n_tokens` (a null text is empty; one for the end of each)
-    and `order_key`, the hash of id and text that the order of an epoch starts from."""
-    docs = without(docs, "n_tokens", "order_key")
-    return written(with_token_counts(docs, name="n_tokens", path=path, extra=1).withColumn("order_key", F.xxhash64("doc_id", "text")))
+def counted(docs: DataFrame, carry: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """A written table of (row, source, lang, n_tokens, order_key) for documents.
+
+    `row` holds the columns to carry along, all of them if none are named, so their names can't
+    clash. A null text is empty; the end of a document is a token. `order_key` is the hash of id and
+    text that the order of an epoch starts from.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row")
+    rows = docs.select(row, "source", "lang", "text", F.xxhash64("doc_id", "text").alias("order_key"))
+    return written(with_token_counts(rows, name="n_tokens", path=path, extra=1).drop("text"))
 
 
 def mix(docs: DataFrame, domain: Column, domains: Mapping[str, int], languages: Mapping[str, int], sources: Mapping[str, int],
         seed: int = 17, docs_per_bucket: int = DOCS_PER_BUCKET, **how) -> DataFrame:
-    """Rows of `docs` (a table of `counted`) that the mix takes, once per epoch, with `domain` and `epoch` from 0.
+    """Rows of a table of `counted` that the mix takes, once per epoch, with `domain` and `epoch` from 0.
 
     In each epoch a leaf's documents stand in the order of a hash of seed, epoch and `order_key`. Full
     epochs take all of them; the last takes documents while the tokens before them are fewer than
     what is left of the budget, so that the last document may reach over it. Repeated rows are
-    documents of their own; where they can't be told apart, either may be taken. `domain` and
-    `epoch` take the place of columns of those names. No documents, no rows.
+    documents of their own; where they can't be told apart, either may be taken. No documents, no rows.
 
     A prefix is found by buckets of hashes: sums per bucket tell which buckets lie whole before the
     cut, and only the bucket that holds the cut is put in order. A bucket has about
     `docs_per_bucket` documents, however large the leaf.
     """
-    docs = without(docs.withColumn("__domain", domain), "domain", "epoch").withColumnRenamed("__domain", "domain")
+    docs = docs.withColumn("domain", domain)
     leaves = docs.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     plan = written(budgets(leaves, domains, languages, sources, **how))
     most = plan.agg(F.max("n_docs")).first()[0] or 0

@@ -34,10 +34,9 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and epochs that a mix of three quarters of all tokens takes, by weights of domain, language, source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    counts = mixing.with_token_counts(docs, extra=1).select("doc_id", "lang", "source", "n_tokens", F.xxhash64("doc_id", "text").alias("order_key"))
-    mixed = mixing.mix(written(counts), domain_of(F.col("source")), DOMAINS, LANGUAGES, SOURCES, share=MIX_SHARE)
-    return mixed.select("doc_id", "epoch", "domain", "lang", "source", "n_tokens")
+    counts = mixing.counted(table(spark, sf_dir, "documents"), ["doc_id"])
+    mixed = mixing.mix(counts, domain_of(F.col("source")), DOMAINS, LANGUAGES, SOURCES, share=MIX_SHARE)
+    return mixed.select("row.doc_id", "epoch", "domain", "lang", "source", "n_tokens")
 
 
 def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
