@@ -235,6 +235,9 @@ def govern(
         F.col("content"), F.col("memory_type"), F.col("actor"), F.col("_trust"),
         F.col("embedding_dimensions"), index_dims,
     )
+    # `admit` judged the class that was declared, before it was inferred anew.
+    known = F.col("class_ok") if "class_ok" in df.columns else F.coalesce(F.col("content_class").isin(*CONTENT_CLASSES), F.lit(True))
+    unknown = F.when(~known, F.lit("unknown content_class"))
     yes = F.lit("true")
     fields = {
         "content_class": json_string(F.col("content_class")),
@@ -244,7 +247,7 @@ def govern(
         "trust_override_reason": json_string(F.col("trust_override_reason")),
     }
     return (
-        ready.withColumn("reject_reason", F.coalesce(F.col("_bad_trust"), problem, F.col("_deny")))
+        ready.withColumn("reject_reason", F.coalesce(unknown, F.col("_bad_trust"), problem, F.col("_deny")))
         .withColumn("metadata", canonical_json(merge_metadata(F.col("metadata"), fields)))
         .withColumn("key_id", F.lit(key_id))
         .withColumn("content_hash", tx.content_hash(F.col("content")))

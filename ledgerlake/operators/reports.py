@@ -116,14 +116,17 @@ def decay_report(
     ).orderBy((F.col("stored_trust") - F.col("effective_trust")).desc(), "id")
 
 
-def classifier_metrics(df: DataFrame, expected: Column, predicted: Column) -> DataFrame:
+def classifier_metrics(df: DataFrame, expected: Column, predicted: Column, latency: Column | None = None) -> DataFrame:
+    """Confusion counts and ratios; with `latency` its mean and maximum too."""
+    times = [] if latency is None else [half_even(F.avg(latency), 4).alias("latency_mean"), F.max(latency).alias("latency_max")]
     c = df.agg(
         F.count_if(expected & predicted).alias("true_positive"),
         F.count_if(~expected & ~predicted).alias("true_negative"),
         F.count_if(~expected & predicted).alias("false_positive"),
         F.count_if(expected & ~predicted).alias("false_negative"),
+        *times,
     )
-    tp, tn, fp, fn = (F.col(n) for n in c.columns)
+    tp, tn, fp, fn = (F.col(n) for n in c.columns[:4])
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b > 0, half_even(a / b, 4)).otherwise(F.lit(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.crypto import canonical_state_event
 from ..functions.text import is_blank
 from ..functions.trust import floor_div
-from .defenses import mask_redacted
+from .defenses import mask_redacted, read_defenses
 from .ordering import running_sum
 
 
@@ -128,10 +128,16 @@ def audit_pages(audit: DataFrame, page_rows: int = 1_000) -> DataFrame:
 
 
 def audit_trail(
-    entries: DataFrame, audit: DataFrame, state_events: DataFrame, checked: DataFrame, page_rows: int = 1_000
+    entries: DataFrame,
+    audit: DataFrame,
+    state_events: DataFrame,
+    checked: DataFrame,
+    now: datetime | int,
+    page_rows: int = 1_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """Records with redaction mask and integrity verdict (id, record_ok), and their trail pages."""
-    masked = mask_redacted(entries, state_events).join(checked.select("id", "record_ok"), "id", "left")
+    """Records behind the read defences, with redaction mask and integrity verdict (id, record_ok), and
+    their trail pages. A flagged text is wrapped here as in a search; the mask wins over the wrap."""
+    masked = mask_redacted(read_defenses(entries, now), state_events).join(checked.select("id", "record_ok"), "id", "left")
     return masked.withColumn("valid", F.col("valid_until").isNull()), audit_pages(audit, page_rows)
 
 

@@ -16,6 +16,7 @@ from ..streaming.common import fresh_path
 from ..streaming.inbox import self_conflicts
 from .records import DIST, QUEUE_SQL, queue
 from .registry import query
+from .search import WRAP
 from .views import A, EVENTS_NOW, KEYRING, M, NOW, audit, events, memory, table, vectors
 
 WHEN = datetime.fromtimestamp(NOW, tz=timezone.utc)
@@ -271,29 +272,46 @@ def audit_trail(spark, sf):
     )
 
 
+@query(
+    f"""WITH {M}, {S}, red AS (SELECT target_memory_id AS rid, arg_max(at_epoch, chain_seq) AS at_red FROM ev WHERE event_type = 'redacted' GROUP BY 1)
+ SELECT id, rid IS NOT NULL AS redacted, valid_until_epoch IS NULL AS valid, key_id = 'k1' AS record_ok,
+  md5(CASE WHEN rid IS NOT NULL THEN '[REDACTED by officer at ' || strftime(make_timestamp(at_red * 1000000::BIGINT), '%Y-%m-%dT%H:%M:%S') || '+00:00: privacy]'
+   ELSE {WRAP} END) AS content_md5 FROM memory LEFT JOIN red ON rid = id"""
+)
+def record_audit(spark, sf):
+    """Each record as its audit shows it: wrapped or masked, with the verdict of a keyring that lost a key."""
+    rows = memory(spark, sf)
+    checked = chain.check_records(chained(spark, sf), {"k1": KEYRING["k1"]})
+    shown, _ = state.audit_trail(rows, audit(spark, sf), state_events(spark, sf), checked, NOW)
+    return shown.select("id", "redacted", "valid", "record_ok", F.md5("content").alias("content_md5"))
+
+
 REPORT_STUCK = f"status = 'failed' OR (status = 'processing' AND claimed_at < make_timestamp(({EVENTS_NOW} - 3600) * 1000000::BIGINT))"
 
 
 @query(
-    f"""WITH {M}, {S}, {A}, q AS ({QUEUE_SQL}), live AS (SELECT * FROM memory WHERE valid_until_epoch IS NULL),
+    f"""WITH {M}, {S}, {A}, q AS ({QUEUE_SQL}), entries AS (SELECT * FROM memory WHERE id % 53 <> 13), live AS (SELECT * FROM entries WHERE valid_until_epoch IS NULL),
  l AS (SELECT target_memory_id AS id, arg_max(coalesce(successor_memory_id, -1), chain_seq) AS s FROM ev GROUP BY 1),
- r AS (SELECT id, coalesce(superseded_by, -1) AS s FROM memory WHERE valid_until_epoch IS NOT NULL OR superseded_by IS NOT NULL)
- SELECT 'chain_valid' AS metric, 1 AS value UNION ALL SELECT 'records_checked', count(*) FROM memory
- UNION ALL SELECT 'state_chain_valid', 1 UNION ALL SELECT 'events_checked', count(*) FROM ev
+ r AS (SELECT id, coalesce(superseded_by, -1) AS s FROM entries WHERE valid_until_epoch IS NOT NULL OR superseded_by IS NOT NULL)
+ SELECT 'chain_valid' AS metric, CAST(count(*) FILTER (id % 97 = 5) = 0 AS INT) AS value FROM memory UNION ALL SELECT 'records_checked', count(*) FROM memory
+ UNION ALL SELECT 'state_chain_valid', CAST(count(*) FILTER (chain_seq % 31 = 3) = 0 AS INT) FROM ev UNION ALL SELECT 'events_checked', count(*) FROM ev
  UNION ALL SELECT 'cache_mismatches', count(*) FROM l FULL OUTER JOIN r ON l.id = r.id WHERE l.id IS NULL OR r.id IS NULL OR l.s <> r.s
  UNION ALL SELECT 'total', count(*) FROM live UNION ALL SELECT 'high_trust', count(*) FROM live WHERE trust_score >= 0.8
  UNION ALL SELECT 'medium_trust', count(*) FROM live WHERE trust_score >= 0.5 AND trust_score < 0.8
  UNION ALL SELECT 'low_trust', count(*) FROM live WHERE trust_score < 0.5
  UNION ALL SELECT 'aging_high_trust', count(*) FROM live WHERE trust_score >= 0.8 AND created_epoch < {EVENTS_NOW} - 90 * 86400
  UNION ALL SELECT 'stuck_conflicts', count(*) FROM q WHERE {REPORT_STUCK}
- UNION ALL SELECT 'orphaned_state_events', 0
+ UNION ALL SELECT 'orphaned_state_events', count(*) FROM ev WHERE target_memory_id NOT IN (SELECT id FROM entries)
  UNION ALL SELECT 'memories_without_audit', count(*) FROM live WHERE id NOT IN (SELECT memory_id FROM audit)"""
 )
 def integrity_report(spark, sf):
-    evs = chain.append(state.event_canonical(state_events(spark, sf)), KEYRING)
+    """With some records and events edited after they were chained, and some records missing from the store."""
+    evs = cut_lineage(chain.append(state.event_canonical(state_events(spark, sf)), KEYRING))
+    odd = evs.withColumn("canonical", F.when(F.col("chain_seq") % 31 == 3, F.lit("?")).otherwise(F.col("canonical")))
+    edited = chained(spark, sf).withColumn("canonical", F.when(F.col("id") % 97 == 5, F.lit("?")).otherwise(F.col("canonical")))
     return reports.integrity_report(
-        memory(spark, sf), audit(spark, sf), evs, queue(spark, sf),
-        chain.verify(chained(spark, sf), KEYRING), chain.verify(evs, KEYRING), EVENTS_NOW,
+        memory(spark, sf).filter("id % 53 <> 13"), audit(spark, sf), evs, queue(spark, sf),
+        chain.verify(edited, KEYRING), chain.verify(odd, KEYRING), EVENTS_NOW,
     )
 
 

@@ -165,16 +165,16 @@ def health_summary(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT quality = 1 AS w, toxic = 0 AS g FROM labels),
- n AS (SELECT count(*) FILTER (w AND g) AS tp, count(*) FILTER (NOT w AND NOT g) AS tn,
+    """WITH c AS (SELECT quality = 1 AS w, toxic = 0 AS g, doc_id % 17 AS ms FROM labels),
+ n AS (SELECT sum(ms) AS total, max(ms) AS latency_max, count(*) FILTER (w AND g) AS tp, count(*) FILTER (NOT w AND NOT g) AS tn,
   count(*) FILTER (NOT w AND g) AS fp, count(*) FILTER (w AND NOT g) AS fn FROM c)
  SELECT tp AS true_positive, tn AS true_negative, fp AS false_positive, fn AS false_negative,
   CASE WHEN tp + fp > 0 THEN round_even(tp / (tp + fp), 4) ELSE 0.0 END AS precision,
   CASE WHEN tp + fn > 0 THEN round_even(tp / (tp + fn), 4) ELSE 0.0 END AS recall,
-  round_even((tp + tn) / (tp + tn + fp + fn), 4) AS accuracy FROM n"""
+  round_even((tp + tn) / (tp + tn + fp + fn), 4) AS accuracy, round_even(total / (tp + tn + fp + fn), 4) AS latency_mean, latency_max FROM n"""
 )
 def classifier_metrics(spark, sf):
-    return reports.classifier_metrics(table(spark, sf, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+    return reports.classifier_metrics(table(spark, sf, "labels"), F.col("quality") == 1, F.col("toxic") == 0, F.col("doc_id") % 17)
 
 
 @query(
@@ -274,6 +274,30 @@ def affinity_terms(spark, sf):
     return rows.select("id", "a.verb", "a.object")
 
 
+@query(
+    f"""WITH {M}, s AS (SELECT id, 'he is a ' || source_agent || ', she cannot ' || project || '.' AS said FROM memory)
+ SELECT id, 'is' AS verb, regexp_extract(said, 'is a (\\w+)', 1) AS object FROM s UNION ALL
+ SELECT id, 'cannot', regexp_extract(said, 'cannot (\\w+)', 1) FROM s"""
+)
+def affinity_traits(spark, sf):
+    """What statements about a record's source and language say of identity and ability."""
+    said = memory(spark, sf).withColumn("said", F.expr("concat('he is a ', source_agent, ', she cannot ', project, '.')"))
+    identity, ability = tx.affinity(F.col("said"), "identity"), tx.affinity(F.col("said"), "ability")
+    return said.select("id", F.explode(F.concat(identity, ability)).alias("a")).select("id", "a.verb", "a.object")
+
+
+@query(
+    f"""SELECT page_id AS id, CASE {" ".join(f"WHEN page_id % 9 = {k} THEN 'keyword {w}'" for k, w in enumerate(tx.SQL_KEYWORDS) if w != "DELETE")}
+ WHEN page_id % 9 = {tx.SQL_KEYWORDS.index("DELETE")} THEN 'dangerous pattern' ELSE NULL END AS reason FROM pages"""
+)
+def sql_keywords(spark, sf):
+    """Query texts, each made of a page's url and one word: the blocked words and a harmless one."""
+    words = F.array(*[F.lit(w) for w in (*tx.SQL_KEYWORDS, "SELECTION")])
+    # The url is reduced to letters so that nothing but the word decides.
+    text = F.concat_ws(" ", F.regexp_replace("url", r"[^a-z]+", "_"), F.lower(F.get(words, F.col("page_id").cast("int") % 9)), F.lit("x"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), tx.sql_blocked(text).alias("reason"))
+
+
 DURABILITY = (
     "CASE WHEN memory_type = 'transient' THEN 'transient' WHEN memory_type = 'identity' THEN 'permanent'"
     f" WHEN regexp_matches(content, '{_ci(tx.TRANSIENT)}') THEN 'transient'"
