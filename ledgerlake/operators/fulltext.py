@@ -2,7 +2,9 @@
 
 Queries take four forms: words (all required), "phrases", -negated units and `or` between
 groups. Each query group is driven by its rarest required word: a record meets a query only
-through that word, and the other words are checked in the row, so no posting list is shuffled.
+through that word, and the other words are checked in the row, so no posting list is shuffled. A
+group of negated units only is driven by a mark that every record has; its result is all records
+but those that it names, so the work is that of writing it, and its rank is 0.
 rank = sum over the matched units of tf / (tf + 1).
 """
 
@@ -28,6 +30,7 @@ TEXT_STOP_WORDS = (
 ).split()
 
 MAX_BROADCAST_UNITS = 200_000
+ANY_RECORD = ""  # no word is empty
 _OUTSIDE_QUOTES = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
@@ -91,7 +94,8 @@ def _query_table(terms: DataFrame, vocabulary: DataFrame, stemming: bool) -> Dat
         F.collect_list(F.struct("negated", "words")).alias("units")
     )
     return (
-        groups.join(drivers, ["query_id", "grp"])
+        groups.join(drivers, ["query_id", "grp"], "left")
+        .withColumn("driver", F.coalesce("driver", F.array(F.lit(ANY_RECORD))))
         .join(musts, ["query_id", "grp"])
         .groupBy("query_id")
         .agg(
@@ -155,7 +159,7 @@ def match(
 ) -> DataFrame:
     """The matching entries per query, all their columns plus query_id and rank.
 
-    A group needs one unit that is not negated. Queries of up to `max_broadcast_units` units in
+    Queries of up to `max_broadcast_units` units in
     all travel to the records; more of them meet the records in a join of (id, token) pairs.
     """
     if vocabulary is None:
@@ -163,16 +167,20 @@ def match(
     plan = cut_lineage(_query_table(parse_queries(queries), vocabulary, stemming))
     seeds = plan.select("query_id", "groups", "drivers", F.explode("drivers").alias("_token"))
     docs = entries.withColumn("_words", words(F.col(text)))
+    keys = F.array_distinct("_words")
+    if plan.filter(F.array_contains("drivers", ANY_RECORD)).limit(1).count():
+        keys = F.concat(keys, F.array(F.lit(ANY_RECORD)))
     weight = F.aggregate("groups", F.lit(0), lambda acc, g: acc + F.size(g["units"]))
     load = seeds.agg(F.sum(weight)).first()[0] or 0
     if load <= max_broadcast_units:
-        met = docs.withColumn("_token", F.explode(F.array_distinct("_words"))).join(
+        met = docs.withColumn("_token", F.explode(keys)).join(
             F.broadcast(seeds), "_token"
         )
         # A record met through several rare words of a query counts once.
-        chosen = F.col("_token") == F.filter("drivers", lambda d: F.array_contains(F.col("_words"), d))[0]
+        met_by = F.filter("drivers", lambda d: (d == ANY_RECORD) | F.array_contains(F.col("_words"), d))
+        chosen = F.col("_token") == met_by[0]
     else:
-        tokens = docs.select("id", F.explode(F.array_distinct("_words")).alias("_token"))
+        tokens = docs.select("id", F.explode(keys).alias("_token"))
         pairs = tokens.join(seeds.select("_token", "query_id"), "_token").select("id", "query_id").distinct()
         met = docs.join(pairs, "id").join(plan, "query_id").withColumn("_token", F.lit(None))
         chosen = F.lit(True)

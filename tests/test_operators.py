@@ -192,7 +192,8 @@ DOCS = [
 @pytest.mark.parametrize(
     "query,want",
     [("quick brown", {1, 2, 4}), ("jumping fox", {1}), ('"brown fox"', {1}), ("zebra quick", set()), ("quick -fox", {2}),
-     ("migrations or lazy", {1, 3}), ('quick -"brown fox"', {2, 4}), ("the", set()), ("-fox", set())],
+     ("migrations or lazy", {1, 3}), ('quick -"brown fox"', {2, 4}), ("the", set()), ("-fox", {2, 3}),
+     ("zebra or -fox", {2, 3}), ("-fox -quick", {3}), ("fox or -quick", {1, 3, 4}), ("-zebra", {1, 2, 3, 4})],
 )
 def test_match(spark, query, want, units):
     docs = spark.createDataFrame(DOCS, "id bigint, content string")
