@@ -577,10 +577,14 @@ def stale_embedding_preview(spark, sf):
     return hooks.stale_preview(memory(spark, sf).withColumn("embedding_model", model), "new")
 
 
-@query(f"WITH {M} SELECT id, 'local/hash' AS embedding_model, 16 AS embedding_dimensions FROM memory WHERE valid_until_epoch IS NULL")
+@query(
+    f"""WITH {M} SELECT id, 'local/hash' AS embedding_model, 16 AS embedding_dimensions,
+ list_transform(range(0, 16), lambda i: (('0x' || substr(sha256(lower(content)), 2 * i + 1, 2))::INT - 128) / 128.0::DOUBLE) AS embedding
+ FROM memory WHERE valid_until_epoch IS NULL"""
+)
 def re_embed(spark, sf):
     rows = memory(spark, sf).withColumn("embedding_model", F.lit("old"))
-    return hooks.re_embed(rows, hooks.hash_embedder(16)).drop("embedding")
+    return hooks.re_embed(rows, hooks.hash_embedder(16)).withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
 # --- loading ---

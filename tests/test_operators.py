@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import crypto
-from ledgerlake.operators import chain, conflict, flood, fulltext, gates, graph, ingest, insights, knn, ordering, precedent, ranking, state
+from ledgerlake.operators import chain, conflict, flood, fulltext, gates, graph, hooks, ingest, insights, knn, ordering, precedent, ranking, state
 from ledgerlake.schema import SERVER_OWNED_KEYS
 
 KEYS = {"k1": "one", "k2": "two"}
@@ -465,3 +465,14 @@ def test_entities_like_python(spark):
         want |= {(r.id, *x) for x in seen}
     got = {(r.memory_id, r.name.lower(), r.entity_type) for r in graph.extract_entities(pages).collect()}
     assert got == want and any(t == "person" for _, _, t in want)
+
+
+def test_providers_see_texts_only(spark):
+    rows = spark.createDataFrame([(1, "tea", 9), (2, None, 9)], "id int, content string, kept int")
+    seen = hooks.Embedder("m", 2, lambda texts: [[len(t), 1.0] for t in texts], query_prefix="q:").apply(rows, as_query=True)
+    assert [(r.id, r.kept, list(r.embedding), r.embedding_dimensions) for r in seen.orderBy("id").collect()] == [(1, 9, [5.0, 1.0], 2), (2, 9, [2.0, 1.0], 2)]
+    want = [(b - 128) / 128 for b in hashlib.sha256(b"tea").digest()]
+    got = hooks.hash_embedder(40).apply(rows.withColumn("content", F.upper("content"))).filter("id = 1").first().embedding
+    assert list(got) == pytest.approx([want[i % 32] for i in range(40)])
+    pairs = spark.createDataFrame([(1, 2, "a", "bcd")], "query_id int, id int, query string, content string")
+    assert hooks.score_pairs(pairs, lambda qs, cs: [len(q) / len(c) for q, c in zip(qs, cs)]).first().score == pytest.approx(1 / 3)
