@@ -136,7 +136,7 @@ def stable_ids(spark, sf):
     )
 
 
-@query()
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS props FROM events""")
 def canonical_metadata(spark, sf):
     """Event properties re-serialised canonically."""
     return events(spark, sf).select("event_id", crypto.canonical_json(F.col("props")).alias("props"))
@@ -626,13 +626,13 @@ def nightly_scans(spark, sf):
 
 @query()
 def governed_writes(spark, sf):
-    """Pages as agent submissions: admission, screening, gate, canonical text, chain hash."""
+    """Pages as agent submissions: admission, screening, gate, canonical text, a chain of hashes per host."""
     pages = table(spark, sf, "pages").select(
-        F.col("page_id").alias("id"), F.col("html").alias("content"), F.lit("semantic").alias("memory_type"),
+        F.col("page_id").alias("id"), F.expr("parse_url(url, 'HOST')").alias("host"), F.col("html").alias("content"), F.lit("semantic").alias("memory_type"),
         F.lit(0.95).alias("trust_score"), F.lit("agent").alias("actor"), F.lit(None).cast("string").alias("session_id"),
         F.lit('{"source_trust_min": 0.1, "path": "p"}').alias("metadata"), F.lit(None).cast("string").alias("content_class"),
     )
     rules = [gates.Rule("max_trust_for_content_class", {"content_class": "external-untrusted", "max_trust": 0.5})]
     done = ingest.govern(ingest.admit(pages), rules, 64, hooks.hash_embedder(64).apply)
-    good = done.filter("reject_reason IS NULL").withColumn("chain_id", F.lit("main")).withColumn("chain_seq", F.col("id") + 1)
+    good = done.filter("reject_reason IS NULL").withColumn("chain_id", F.col("host")).withColumn("chain_seq", F.col("id") + 1)
     return chain.append(good, KEYRING).select("id", "trust_score", "content_class", "injection_flagged", "record_hash")

@@ -606,7 +606,17 @@ def section_chunks(spark, sf):
     return out.select("doc_id", "pos", "title", F.md5("body").alias("body_md5"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE raw AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^---\\n(?s:.*?)\\n---\\n', ''), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM documents),
+ u AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS p, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS k FROM raw),
+ q AS (SELECT * FROM (SELECT doc_id, k, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS p FROM u) WHERE length(p) >= {markdown.MIN_CHARS}),
+ s AS (SELECT doc_id, k, string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM q WHERE length(p) > {markdown.MAX_CHARS}),
+ f AS (SELECT doc_id, k, 1 AS i, ss, ss[1] AS o, 0 AS n FROM s UNION ALL
+  SELECT doc_id, k, i + 1, ss, CASE WHEN length(o) + length(ss[i + 1]) + 1 > {markdown.MAX_CHARS} THEN ss[i + 1] ELSE o || ' ' || ss[i + 1] END,
+   n + CAST(length(o) + length(ss[i + 1]) + 1 > {markdown.MAX_CHARS} AS INT) FROM f WHERE i < len(ss)),
+ c AS (SELECT doc_id, k, n, arg_max(o, i) AS chunk FROM f GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, k, 0, p FROM q WHERE length(p) <= {markdown.MAX_CHARS})
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, n) - 1 AS pos, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM c"""
+)
 def paragraph_chunks(spark, sf):
     out = markdown.paragraph_chunks(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
