@@ -356,10 +356,23 @@ def keywords_top20(spark, sf):
     return ingest.top_keywords(memory(spark, sf)).select("id", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query()
+def _firsts(sql: str) -> str:
+    """The distinct items of a list in order, joined."""
+    return f"array_to_string(list_filter({sql}, lambda x, i: list_position({sql}, x) = i), ',')"
+
+
+@query(
+    f"""WITH {M}, s AS (SELECT id, concat('by @', source_agent, ' and Ann Lee, ', source_agent, ' in DataLake: ', content) AS said FROM memory),
+ p AS (SELECT id, list_transform(regexp_extract_all(said, '@[\\p{{L}}\\p{{N}}_]+|(?:^|[^A-Z])[A-Z][a-z]+\\s[A-Z][a-z]+'), lambda x: regexp_replace(x, '^[^A-Za-z]', '')) AS people,
+  regexp_extract_all(lower(said), '\\b({"|".join(tx.TOOL_WORDS)})\\b', 1) AS tools,
+  regexp_extract_all(said, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1) AS projects FROM s)
+ SELECT id, {_firsts("people")} AS people, {_firsts("tools")} AS tools, concat_ws(',', nullif({_firsts("projects")}, ''), 'the lake') AS projects FROM p"""
+)
 def inbox_entities(spark, sf):
-    found = tx.inbox_entities(F.col("content"))
-    return memory(spark, sf).select("id", *[v.alias(k) for k, v in found.items()])
+    """Names in every record, opened by a statement that holds some; one listed name is added."""
+    said = memory(spark, sf).withColumn("said", F.expr("concat('by @', source_agent, ' and Ann Lee, ', source_agent, ' in DataLake: ', content)"))
+    found = tx.inbox_entities(F.concat("said", F.lit(" The LAKE.")), {"projects": ["the lake", "the sea"]})
+    return said.select("id", *[F.array_join(v, ",").alias(k) for k, v in found.items()])
 
 
 DIST = "list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
