@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto
 from ..functions import text as tx
-from ..operators import chain, conflict, defenses, gates, hooks, ingest, insights, precedent, reports, state
+from ..operators import chain, conflict, defenses, gates, hooks, ingest, insights, precedent, reports, search, state
 from ..operators.ordering import running_sum
 from ..session import cut_lineage
 from ..sources import archive, markdown
 from ..streaming.common import fresh_path
 from ..streaming.inbox import self_conflicts
-from .records import DIST, QUEUE_SQL, queue
+from .records import DIST, QUEUE_SQL, RE2_INJECTION, queue
 from .registry import query
 from .search import WRAP
 from .views import A, EVENTS_NOW, KEYRING, M, NOW, audit, events, memory, table, vectors
@@ -272,6 +272,49 @@ def audit_trail(spark, sf):
     )
 
 
+@query(
+    f"""WITH {M}, f AS (SELECT id, source_agent, content_class, trust_score, regexp_matches(content, '(?i){RE2_INJECTION}') AS flagged FROM memory)
+ SELECT id AS memory_id, 'created' AS action, source_agent AS actor, flagged, content_class,
+  CASE WHEN flagged AND NOT (trust_score >= 0.9 AND content_class = 'security-doc') THEN least(trust_score, 0.3) ELSE trust_score END AS trust FROM f"""
+)
+def write_audit(spark, sf):
+    """Audit rows of all records written through screening and gate."""
+    rows = memory(spark, sf).withColumn("actor", F.col("source_agent")).withColumn("session_id", F.lit(None).cast("string"))
+    done = ingest.govern(rows, [], 64, hooks.hash_embedder(64).apply)
+    found = ingest.created_events(done, WHEN).withColumn(
+        "d", F.from_json("details", "trust_score double, injection_flagged boolean, content_class string")
+    )
+    return found.select(
+        "memory_id", "action", "actor", F.col("d.injection_flagged").alias("flagged"), "d.content_class", F.col("d.trust_score").alias("trust")
+    )
+
+
+@query(
+    f"""WITH {M} SELECT id AS memory_id, 'searched' AS action, 'reader' AS actor FROM memory
+ WHERE valid_until_epoch IS NULL AND memory_type = 'semantic' AND trust_score >= 0.5"""
+)
+def search_audit(spark, sf):
+    """Audit rows of the records a scoped search looked at."""
+    hits = search.scope(search.current(memory(spark, sf)), "semantic", 0.5)
+    return search.searched_events(hits, WHEN, "reader").select("memory_id", "action", "actor")
+
+
+@query(
+    f"""WITH {M}, r AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS target, event_type FROM events WHERE event_type = 'click'),
+ w AS (SELECT target, min(event_id) AS event_id FROM r GROUP BY 1)
+ SELECT 1000000 + event_id AS id, 'text after ' || event_type AS content, memory_type, target AS amended_from
+ FROM w JOIN r USING (target, event_id) JOIN memory m ON m.id = target WHERE valid_until_epoch IS NULL"""
+)
+def revisions(spark, sf):
+    """Click events as revisions of the record they name; the first one of a current record wins."""
+    wanted = audit(spark, sf).filter("action = 'created'").select(
+        F.col("id").alias("seq"), F.col("memory_id").alias("target"), F.lit("text after click").alias("content"), F.lit("fix").alias("reason"),
+        "actor", (F.lit(1000000) + F.col("id")).alias("successor"),
+    )
+    successors, _ = state.revise(memory(spark, sf), wanted, WHEN)
+    return successors.select("id", "content", "memory_type", "amended_from")
+
+
 @query(
     f"""WITH {M}, {S}, red AS (SELECT target_memory_id AS rid, arg_max(at_epoch, chain_seq) AS at_red FROM ev WHERE event_type = 'redacted' GROUP BY 1)
  SELECT id, rid IS NOT NULL AS redacted, valid_until_epoch IS NULL AS valid, key_id = 'k1' AS record_ok,
