@@ -11,7 +11,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PARTS = 200_000, 300_000
 LONGEST_CACHED = 64
 #: Letters that stand alone under NFC and have a lower case of one letter, then ASCII marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -50,7 +50,7 @@ class WordEncoder:
             return b""
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        if len(self.parts) > CACHED_WORDS:
+        if len(self.parts) > CACHED_PARTS:
             self.parts.clear()
         words = text.split() if SEPARATORS.search(text) is None else SPACE.split(text)
         known = self.words
@@ -58,23 +58,22 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         plain = PLAIN.fullmatch(word)
-        if plain:
-            letters, marks = plain.groups()
-            out = self._letters(letters) + (self._part(marks) if marks else b"")
-        else:
-            out = self._encoded(word)
-        if len(word) <= LONGEST_CACHED:
-            self.words[word] = out
-        return out
-
-    def _letters(self, letters: str) -> bytes:
+        if not plain:
+            return self._kept(word, self._encoded(word))
+        letters, marks = plain.groups()
         mapped = letters.translate(self.letters)
         out = self.parts.get(mapped)
-        if out is None:
-            out = packed(t.id for t in self.tokenizer.model.tokenize(mapped))
-            if len(letters) <= LONGEST_CACHED:
-                self.parts[mapped] = out
-        return out
+        if out is not None:  # letters that were seen before: the word may come again
+            return self._kept(word, out + (self._part(marks) if marks else b""))
+        out = packed(t.id for t in self.tokenizer.model.tokenize(mapped))
+        if len(letters) <= LONGEST_CACHED:
+            self.parts[mapped] = out
+        return out + (self._part(marks) if marks else b"")
+
+    def _kept(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST_CACHED:
+            self.words[word] = ids
+        return ids
 
     def _part(self, marks: str) -> bytes:
         out = self.parts.get(marks)
