@@ -222,9 +222,14 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     marked = docs.select("*", simhash(text, shingle).alias("__fp"), F.xxhash64(*[f"`{c}`" for c in own]).alias("__row"))
     prints = written(marked.select(F.col(f"`{key}`").alias("__key"), "__fp", "__row"))
     found = near_components(prints.select(F.col("__key"), F.col("__fp").alias("fp")), "__key", most)
+    return least_rows(docs, prints.join(found, prints["__fp"] == found["fp"]), key)
+
+
+def least_rows(docs: DataFrame, rooted: DataFrame, key: str) -> DataFrame:
+    """The first row of each root of `rooted` (__key, __row, root): that with the least key, nulls last, then the least __row."""
+    own = docs.columns
     first = F.min(F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("key"), F.col("__row").alias("row")))
-    keep = prints.join(found, prints["__fp"] == found["fp"]).groupBy("root").agg(first.alias("first"))
-    keep = written(keep.select("first.key", "first.row"))
+    keep = written(rooted.groupBy("root").agg(first.alias("first")).select("first.key", "first.row"))
     kept = docs.withColumn("__row", F.xxhash64(*[f"`{c}`" for c in own]))
     kept = kept.join(keep, kept[f"`{key}`"].eqNullSafe(keep["key"]) & (kept["__row"] == keep["row"]), "left_semi")
     return kept.dropDuplicates([key, "__row"]).drop("__row")
