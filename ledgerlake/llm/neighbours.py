@@ -70,7 +70,7 @@ def projections(width: int, orderings: int, seed: int) -> tuple[np.ndarray, np.n
     return np.stack(found[:orderings]), rng.uniform(-0.5, 0.5, (orderings, dims))
 
 
-def usable(vector: Column, width: int) -> Column:
+def usable(vector: Column, width: Column | int) -> Column:
     """Of the right width, with finite components only, and not zero."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) == width) & sound & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -86,14 +86,15 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     """(query_id, rank, vec_id, score): the k best candidates found for each query row, its own row left out.
 
     `is_query` is a condition on the key. Rows with a null key, or with a vector that is null, zero,
-    not finite or of another width than the first by key, take no part. Of rows with the same key
+    not finite or of another width than most usable ones (the smaller of two widths), take no part. Of rows with the same key
     the one with the least vector counts. Equal vectors are one candidate with its k + 1 least keys, and one
     query with an answer for all of its keys, so copies crowd neither windows nor tasks. Scores are
     inner products in double precision; ties go to the smaller key. No vectors, no rows.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
-    first = rows.where("v is not null and size(v) > 0").orderBy("id").limit(1).select(F.size("v")).first()
-    width = first[0] if first else 1
+    widths = rows.where(usable(F.col("v"), F.size("v"))).groupBy(F.size("v").alias("width")).count()
+    most = widths.orderBy(F.col("count").desc(), "width").first()
+    width = most["width"] if most else 1
     rows = rows.where(usable(F.col("v"), width)).groupBy("id").agg(F.min("v").alias("v"))
     # One node per different vector; its name is the least key.
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)

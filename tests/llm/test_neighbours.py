@@ -79,3 +79,11 @@ def test_recall_over_many_blocks(spark, monkeypatch):
     assert all(len(v) == 20 for v in got.values()) and got.keys() == want.keys()
     recall = np.mean([len(got[q] & {x for x, _ in found}) / 20 for q, found in want.items()])
     assert recall >= 0.9, recall
+
+
+def test_width_is_that_of_most_usable_vectors(spark):
+    rows = rows_of(60, 3)
+    for ragged in ([float("nan")], [None, 1.0], [2.0, 1.0]):
+        first = [(-1, ragged, "s", 1)]
+        got = {tuple(r) for r in neighbours.nearest(frame(spark, first + rows), F.lit(True), k=3).select("query_id", "rank", "vec_id").collect()}
+        assert got and {q for q, _, _ in got} == {r[0] for r in rows}
