@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, classifier, cleaning, histogram, labeller, mixing, neighbours, packing, secrets, simhash, tokens
+from ledgerlake.llm import (
+    centroids, chat, classifier, cleaning, histogram, labeller, mixing, neighbours, packing, secrets, simhash, subwords, tokens, variants,
+)
 from ledgerlake.llm.scratch import written
 
 CONTEXT = 2048
@@ -99,6 +101,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(found, "fp").select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op11_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, decoded text and covered bytes of every text under the piece model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = subwords.encoded(docs).select("doc_id", "ids", "starts", "ends")
+    covered = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda total, n: total + n)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(subwords.decoded(F.col("ids")), 256).alias("decoded_sha256"), covered.alias("covered_bytes"),
+    )
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the vectors after ten rounds in integers."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256")
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with their forms and roots."""
+    return variants.variants(variants.counted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP4_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
  l0 AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
@@ -143,8 +170,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+
+
+def _clusters_sql() -> str:
+    """The ten rounds one after the other; a nearest centroid is the least of 8 * distance + number."""
+    steps = []
+    for k in range(1, centroids.ROUNDS + 2):
+        steps.append(f"""
+ a{k} AS MATERIALIZED (SELECT r, min(8 * CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) + k) AS m
+   FROM v CROSS JOIN c{k - 1} GROUP BY r)""")
+        if k <= centroids.ROUNDS:
+            steps.append(f"""
+ s{k} AS (SELECT m % 8 AS k, unnest(range(1, {centroids.WIDTH + 1})) AS i, unnest(p) AS x FROM a{k} JOIN v USING (r)),
+ f{k} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM s{k} GROUP BY k, i),
+ c{k} AS MATERIALIZED (SELECT o.k, coalesce(f.c, o.c) AS c FROM c{k - 1} o LEFT JOIN
+   (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM f{k} GROUP BY k) f ON o.k = f.k)""")
+    last = centroids.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+   list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+   WHERE len(embedding) = {centroids.WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.WIDTH}),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, p AS c FROM v ORDER BY k LIMIT {centroids.CLUSTERS}),
+{",".join(steps)}
+SELECT vec_id, CAST(m % 8 AS INTEGER) AS cluster, m // 8 AS distance, CAST(sum(m // 8) OVER (PARTITION BY m % 8) AS BIGINT) AS cluster_inertia,
+ CAST(sum(m // 8) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last + 1} JOIN v USING (r) JOIN c{last} ON c{last}.k = m % 8
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_sequences, op2_mix_sources, op3_hilbert_neighbours, op4_clean_lines, op5_main_text, op6_token_lengths, op7_scan_secrets, op8_quality_scores, op9_format_chats, op10_simhash)
+    for f in (op1_pack_sequences, op2_mix_sources, op3_hilbert_neighbours, op4_clean_lines, op5_main_text, op6_token_lengths, op7_scan_secrets, op8_quality_scores, op9_format_chats, op10_simhash,
+              op11_encode_pieces, op12_centroid_clusters, op13_spelling_variants)
 }
-ORACLES: dict[str, str] = {"op4_clean_lines": OP4_SQL, "op9_format_chats": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_clean_lines": OP4_SQL, "op9_format_chats": OP9_SQL, "op12_centroid_clusters": _clusters_sql()}
