@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe object math canvas audio video".split())
+RAW = frozenset("script style noscript template textarea svg iframe annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr"
+    " object audio video canvas math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom merror mfrac msqrt mroot msub msup msubsup"
+    " munder mover munderover mmultiscripts mprescripts none mtable mtr mtd".split()
 )
 #: Elements that the first of these tags ends when it opens, up to an element of their own.
 ENDED_BY = {
@@ -19,7 +21,8 @@ ENDED_BY = {
 }
 SCOPES = frozenset("ul ol dl table select body html article section div".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+# A quote opens a value only after an equals sign; anywhere else, and where it isn't closed, it is a character like others.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^<>=]|=)*+)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 NAME = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -43,7 +46,9 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
 
 def blocks_of(page: str | None) -> list[Block]:
     """All blocks of a page in order. Markup, comments and raw elements are no text. A single line break
-    inside a block is white space, two in a row end it. Tags that aren't closed end where the format says."""
+    inside a block is white space, two in a row end it. Tags that aren't closed end where the format says;
+    of a raw element that isn't closed only the start tag is markup. Formulas and what media elements
+    hold stand in the block around them."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -81,9 +86,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in RAW and not m[1]:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
-            if tag not in INLINE:
-                parts.append(" ")
+                at = end.end() if end else at
+            parts.append(" ")
             continue
         if tag == "br":
             breaks += 1

@@ -3,7 +3,7 @@
 The matches of the patterns are labelled credentials. A prefix tree of a bounded sample of each
 kind, over classes of characters, is merged state by state where the counts are statistically
 compatible (Hoeffding's bound), which leaves a probabilistic automaton of the kind's format. Every
-other long run of credential characters in every text is then scored: the log-likelihood of its
+other run of credential characters in every text, from the shortest labelled length on, is then scored: the log-likelihood of its
 format under the best automaton against that of ordinary text, a chain of character classes counted
 over the whole corpus.
 """
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 
 
-#: Credentials per kind that an automaton is learned from: those least by hash.
-LABELLED_PER_KIND = 1500
+#: Credentials per kind that an automaton is learned from: those least by hash, and of at most so many characters.
+LABELLED_PER_KIND, LONGEST_LABELLED = 1000, 256
+#: No labelled credential is shorter. Scores of short runs are kept, as words come again.
+SHORTEST, CACHED_SCORES = 12, 100_000
 ALPHA = 0.05
 #: Bits by which a run's format must be likelier as a credential's than as ordinary text.
 MARGIN = 24.0
@@ -30,8 +32,7 @@ KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 #: Character classes: 0 what no run holds, digits, hexadecimal and other letters in both cases, marks.
@@ -59,6 +60,15 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return spans
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Spans, in order of their start, leave nothing of start to end."""
+    for s, e, _ in spans:
+        if s > start or start >= end:
+            break
+        start = max(start, e)
+    return start >= end
+
+
 def classes_of(text: str) -> np.ndarray:
     return CLASSES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
 
@@ -159,6 +169,21 @@ def frozen(root: State) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     automata: list[tuple[np.ndarray, np.ndarray]]
     ordinary: np.ndarray  # log2 probability of a class after another
+    shortest: int = SHORTEST
+    scores: dict[str, float] = field(default_factory=dict)
+
+    def __getstate__(self):
+        return self.__dict__ | {"scores": {}}
+
+    def kept_score(self, run: str) -> float:
+        if len(run) > 40:
+            return self.score(run)
+        found = self.scores.get(run)
+        if found is None:
+            if len(self.scores) >= CACHED_SCORES:
+                self.scores.clear()
+            found = self.scores[run] = self.score(run)
+        return found
 
     def score(self, run: str) -> float:
         """Bits in favour of a credential; minus infinity if there is no automaton."""
@@ -175,20 +200,30 @@ class Model:
         return best - usual
 
     def spans(self, text: str, margin: float) -> list[tuple[int, int, str]]:
-        """All spans of a text: those of the patterns, and runs that hold a digit, meet none of those, and score the margin."""
+        """All spans of a text: those of the patterns, and every run that they don't cover whole and that scores the margin.
+
+        A run of which they cover a part is a span as a whole; theirs stay.
+        """
         spans = [s[:3] for s in base_spans(text)]
         fixed = list(spans)
         if self.automata:
             for m in RUN.finditer(text):
                 start, end = m.span()
-                if DIGIT.search(m[0]) and not any(s < end and start < e for s, e, _ in fixed) and self.score(m[0]) >= margin:
+                if end - start >= self.shortest and not covered(start, end, fixed) and self.kept_score(m[0]) >= margin:
                     spans.append((start, end, "grammar"))
         spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
         return spans
 
 
 def learn(docs: DataFrame, text: str = "text", per_kind: int = LABELLED_PER_KIND, alpha: float = ALPHA) -> Model:
-    """Automata from at most `per_kind` different credentials of each kind, and class pairs of all texts."""
+    """Automata from at most `per_kind` different credentials of each kind, and class pairs of all texts.
+
+    Null and empty texts count as empty; repeated rows add to the pairs and give no new credential. An
+    empty table, or one without credentials, has no automata: then nothing but the patterns is found.
+    Columns other than `text` aren't read. At most 1000 credentials a kind are ranked, a limit that Spark
+    applies before it shuffles; they and the counts of the pairs come to the driver.
+    """
+    per_kind = min(per_kind, LABELLED_PER_KIND)
 
     def gather(batches):
         for batch in batches:
@@ -198,8 +233,9 @@ def learn(docs: DataFrame, text: str = "text", per_kind: int = LABELLED_PER_KIND
                 found = classes_of(f" {own} ").astype(np.int64)
                 pairs += np.bincount(found[:-1] * N_CLASSES + found[1:], minlength=len(pairs))
                 for _, _, kind, credential in base_spans(own):
-                    kinds.append(kind)
-                    values.append(credential)
+                    if len(credential) <= LONGEST_LABELLED:
+                        kinds.append(kind)
+                        values.append(credential)
             numbers = np.flatnonzero(pairs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*kinds, *["pair"] * len(numbers)], pa.string()), pa.array([*values, *map(str, numbers)], pa.string()),
@@ -209,7 +245,7 @@ def learn(docs: DataFrame, text: str = "text", per_kind: int = LABELLED_PER_KIND
 
     seen = docs.select(text).mapInArrow(gather, "kind string, value string, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    rows = seen.withColumn("rank", rank).where(F.col("rank") <= max(per_kind, N_CLASSES * N_CLASSES)).orderBy("kind", "rank").collect()
+    rows = seen.withColumn("rank", rank).where(F.col("rank") <= LABELLED_PER_KIND).orderBy("kind", "rank").collect()
     counts = np.full(N_CLASSES * N_CLASSES, 0.5)
     for row in rows:
         if row["kind"] == "pair":
@@ -220,7 +256,8 @@ def learn(docs: DataFrame, text: str = "text", per_kind: int = LABELLED_PER_KIND
         words = [classes_of(r["value"]).tolist() for r in rows if r["kind"] == kind and r["rank"] <= per_kind]
         if words:
             automata.append(frozen(infer(words, alpha)))
-    return Model(automata, np.log2(counts / counts.sum(axis=1, keepdims=True)))
+    labelled = [len(r["value"]) for r in rows if r["kind"] != "pair" and r["rank"] <= per_kind]
+    return Model(automata, np.log2(counts / counts.sum(axis=1, keepdims=True)), max(SHORTEST, min(labelled, default=SHORTEST)))
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -144,3 +144,15 @@ def test_classifier_on_held_out_documents(spark):
     nothing = classifier.learn(df, marks.limit(0), "quality")
     assert {r.score for r in classifier.scored(df, nothing).collect()} == {0.5}
     assert classifier.scored(df.limit(0), scorer).count() == 0
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>first one</p><object data=x><p>two</p><p>third one here</p>", ["first one", "two", "third one here"]),
+    ("<p>Energy is <math><mi>E</mi><mo>=</mo><msup><mi>m</mi><mn>2</mn></msup></math> here</p>", ["Energy is E=m2 here"]),
+    ("<p>a <audio src=x>no sound</audio> b</p><video>plain text</video>", ["a no sound b", "plain text"]),
+    ("<p class=it's>one</p><p title='a>b'>two</p><p x=\"a>b\" y=''>three</p><p \"q>four</p>", ["one", "two", "three", "four"]),
+    ("<p>x</p><script>var a = 1</p><p>after", ["x", "var a = 1", "after"]),
+    ("<p>x</p><script>var a = '<p>'</script><style>p {}</style><p>after<textarea>no</textarea>", ["x", "after"]),
+])
+def test_text_that_is_kept(page, want):
+    assert [b.text for b in blocks_of(page)] == want

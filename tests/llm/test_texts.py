@@ -172,8 +172,10 @@ def test_scan_keeps_base_spans_and_adds_by_grammar(spark):
         assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(filter(None, r.spans.split(",")))
         if r.doc_id == 1000:
             assert r.spans == f"grammar:8:{8 + len(found)}"
-        else:
-            assert r.n_grammar == 0
+        else:  # no run is a span by its format alone; one that a pattern covers in part is one as a whole
+            spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in filter(None, r.spans.split(",")))]
+            for _, a, b in (x for x in spans if x[0] == "grammar"):
+                assert any(k != "grammar" and s < b and a < e and not (s <= a and b <= e) for k, s, e in spans)
     clean = {r.doc_id: r.text for r in secrets.redacted(df, model).collect()}
     assert found not in clean[1000] and "/docs/guide-to-reading-chapter-10" in clean[1000] and clean[1001] is None
     assert clean[2] == texts_by_id[2] and not any(plain_spans(t) for t in clean.values() if t)
@@ -198,3 +200,27 @@ def test_inferred_automata(spark):
     assert root.n == 800 and root.counts == {1: 800}
     empty = secrets.learn(spark.createDataFrame([], "text string"))
     assert empty.automata == [] and empty.spans("abcdef0123456789abcdef", 0.0)[0][2] == "hex"
+
+
+class Anything(secrets.Model):
+    def score(self, run):
+        return 100.0
+
+
+def test_every_run_is_a_candidate(spark):
+    """Short ones, ones without a digit, and ones of which a pattern covers a part."""
+    model = Anything([None], None)
+    text = "see ghp_0123456789abcdefXYZQWERTYUIOP and Xk29LmQp81Zt or QWERTYUIOPASDFGHJKLZ, not short or token=abcdefabcdef9876"
+    spans = model.spans(text, 24.0)
+    found = [(text[a:b], k) for a, b, k in spans]
+    assert found == [("ghp_0123456789abcdefXYZQWERTYUIOP", "grammar"), ("0123456789abcdef", "hex"), ("Xk29LmQp81Zt", "grammar"), ("QWERTYUIOPASDFGHJKLZ", "grammar"),
+                     ("token=abcdefabcdef9876", "assign"), ("abcdefabcdef9876", "hex")]
+    clean = secrets.redacted(spark.createDataFrame([(text,)], "text string"), model).first().text
+    assert clean == "see [grammar secret] and [grammar secret] or [grammar secret], not short or [assign secret]"
+
+
+def test_long_credentials_are_found_but_not_learned(spark):
+    long = "a1" * 5000
+    model = secrets.learn(spark.createDataFrame([(f"password={long} token=abcdefghij12",)], "text string"))
+    assert len(model.automata) == 1 and model.shortest == 12
+    assert [s[2] for s in model.spans(f"password={long}", secrets.MARGIN)] == ["assign", "hex"]
