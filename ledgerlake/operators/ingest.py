@@ -192,18 +192,17 @@ def hold_flagged(df: DataFrame) -> DataFrame:
     )
 
 
-def govern(
+def screened(
     df: DataFrame,
     rules: list[Rule],
     index_dims: int,
-    embed: Callable[[DataFrame], DataFrame],
-    key_id: str = "k1",
+    embed: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """Screened, gated and embedded records with their canonical text and a reject_reason.
+    """Screened, gated and embedded rows with a reject_reason; rows are rejected, never dropped.
 
-    Needs id, content, memory_type, trust_score, actor, session_id, metadata, content_class.
-    One set of native Columns plus the embedding hook; rows are rejected, never dropped.
+    Needs id, content, memory_type, trust_score, actor, session_id, metadata, content_class. Without
+    `embed` the rows carry their embedding already.
     """
     clean = tx.sanitise(F.col("content"), F.col("_trust"), F.col("content_class"))
     session = split_session(F.col("session_id"))
@@ -238,6 +237,11 @@ def govern(
     # `admit` judged the class that was declared, before it was inferred anew.
     known = F.col("class_ok") if "class_ok" in df.columns else F.coalesce(F.col("content_class").isin(*CONTENT_CLASSES), F.lit(True))
     unknown = F.when(~known, F.lit("unknown content_class"))
+    return ready.withColumn("reject_reason", F.coalesce(unknown, F.col("_bad_trust"), problem, F.col("_deny"))).drop("_trust", "_bad_trust", "_deny")
+
+
+def sealed(df: DataFrame, key_id: str = "k1") -> DataFrame:
+    """Screened rows with their final metadata, content hash and canonical text."""
     yes = F.lit("true")
     fields = {
         "content_class": json_string(F.col("content_class")),
@@ -247,8 +251,7 @@ def govern(
         "trust_override_reason": json_string(F.col("trust_override_reason")),
     }
     return (
-        ready.withColumn("reject_reason", F.coalesce(unknown, F.col("_bad_trust"), problem, F.col("_deny")))
-        .withColumn("metadata", canonical_json(merge_metadata(F.col("metadata"), fields)))
+        df.withColumn("metadata", canonical_json(merge_metadata(F.col("metadata"), fields)))
         .withColumn("key_id", F.lit(key_id))
         .withColumn("content_hash", tx.content_hash(F.col("content")))
         .withColumn(
@@ -258,10 +261,22 @@ def govern(
                 F.col("trust_score"), F.col("memory_type"), F.col("key_id"), F.col("metadata"),
             ),
         )
-        .drop("_trust", "_bad_trust", "_deny", "session_label")
+        .drop("session_label")
     )
 
 
+def govern(
+    df: DataFrame,
+    rules: list[Rule],
+    index_dims: int,
+    embed: Callable[[DataFrame], DataFrame],
+    key_id: str = "k1",
+    verdicts: DataFrame | None = None,
+) -> DataFrame:
+    """Screened, gated and embedded records with their canonical text and a reject_reason."""
+    return sealed(screened(df, rules, index_dims, embed, verdicts), key_id)
+
+
 def created_events(records: DataFrame, now: datetime) -> DataFrame:
     """Audit rows of accepted writes."""
     return records.filter("reject_reason IS NULL").select(

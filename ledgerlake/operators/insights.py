@@ -16,8 +16,8 @@ from ..schema import (
 )
 from ..session import cut_lineage
 from .defenses import meta
-from .knn import self_nearest
-from .ordering import greedy_select
+from .settling import greedy_select
+from .simjoin import neighbours_within
 
 
 def clusters(
@@ -45,7 +45,7 @@ def clusters(
     if seed_limit is not None:
         seeds = seeds.orderBy("ord").limit(seed_limit)
     near = cut_lineage(
-        self_nearest(
+        neighbours_within(
             unflagged.select("id", F.col("embedding").alias("vector")), neighbours, threshold, **plan
         )
     )

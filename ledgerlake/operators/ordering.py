@@ -7,7 +7,6 @@ bucket across.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,92 +87,3 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, out: st
     """Best `n` rows per key. Spark cuts each group to `n` rows before the shuffle."""
     ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(out) <= n)
-
-
-def _walk(items: DataFrame, takes: DataFrame, needs: DataFrame, ready: DataFrame) -> DataFrame:
-    """Settle a small residue one by one in a single task. ready(thing, ord): taken already."""
-    open_items = items.select("ord")
-    rows = (
-        open_items.select("ord", F.lit(None).cast(takes.schema["thing"].dataType).alias("thing"), F.lit(0).alias("kind"))
-        .unionByName(takes.select("ord", "thing", F.lit(1).alias("kind")))
-        .unionByName(needs.select("ord", "thing", F.lit(2).alias("kind")))
-        .unionByName(ready.select("ord", "thing", F.lit(3).alias("kind")))
-    )
-    ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("ord")))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for place, group in frame.sort_values("place", kind="stable").groupby("place", sort=True):
-            parts = {k: set(g["thing"]) for k, g in group.groupby("kind")}
-            if 0 in parts:
-                fine = gone.isdisjoint(parts.get(2, ()))
-                out.append((place, fine))
-                if fine:
-                    gone |= parts.get(1, set())
-            gone |= parts.get(3, set())
-        return pd.DataFrame(out, columns=["place", "accepted"])
-
-    verdict = (
-        ranked.select("place", "thing", "kind")
-        .groupBy(F.lit(0).alias("all"))
-        .applyInPandas(run, "place int, accepted boolean")
-    )
-    return ranked.filter("kind = 0").select("ord", "place").join(verdict, "place").select("ord", "accepted")
-
-
-def greedy_select(
-    items: DataFrame,
-    takes: DataFrame,
-    needs: DataFrame,
-    walk_rows: int = 200_000,
-) -> DataFrame:
-    """Accept items in order, skipping each one an earlier accepted item has blocked.
-
-    items(ord), takes(ord, thing): what an accepted item uses up; needs(ord, thing): what an
-    item needs unused. Returns items with `accepted`, as a one-by-one walk would.
-
-    Large inputs are settled in parallel rounds: an item is settled once every earlier item
-    that could block it is. Per round only the smallest taker per thing is shuffled, so a thing
-    taken by very many items costs one row per map task. When at most `walk_rows` rows concern
-    open items, the counted residue is walked in one task, which spares the long tail of rounds
-    that chains of dependent items would cause.
-    """
-    takes, needs = takes.select("ord", "thing"), needs.select("ord", "thing")
-    open_items, settled = items.select("ord"), None
-    first_in = None
-    while True:  # every round settles the first open item at least
-        open_takes = takes if settled is None else takes.join(open_items, "ord", "left_semi")
-        open_needs = needs if settled is None else needs.join(open_items, "ord", "left_semi")
-        size = open_takes.unionByName(open_needs).limit(walk_rows + 1).count()
-        if size <= walk_rows:
-            wanted = open_needs.select("thing").distinct()
-            ready = takes.filter(F.lit(False)) if first_in is None else first_in.join(wanted, "thing", "left_semi")
-            rest = _walk(open_items, open_takes, open_needs, ready.select("ord", "thing"))
-            done = rest if settled is None else settled.unionByName(rest)
-            return items.join(done, "ord")
-        live = open_takes.withColumn("sure", F.lit(False))
-        if first_in is not None:
-            live = live.unionByName(first_in.select("ord", "thing", F.lit(True).alias("sure")))
-        takers = live.groupBy("thing").agg(
-            F.min("ord").alias("first_live"), F.min(F.when(F.col("sure"), F.col("ord"))).alias("first_sure")
-        )
-        verdict = (
-            open_needs.join(takers, "thing", "left")
-            .groupBy("ord")
-            .agg(
-                F.max(F.coalesce(F.col("first_sure") < F.col("ord"), F.lit(False))).alias("blocked"),
-                F.max(F.coalesce(F.col("first_live") < F.col("ord"), F.lit(False))).alias("waits"),
-            )
-        )
-        judged = cut_lineage(
-            open_items.join(verdict, "ord", "left").select(
-                "ord",
-                F.coalesce("blocked", F.lit(False)).alias("blocked"),
-                F.coalesce("waits", F.lit(False)).alias("waits"),
-            )
-        )
-        fresh = judged.filter("blocked OR NOT waits").select("ord", (~F.col("blocked")).alias("accepted"))
-        settled = fresh if settled is None else settled.unionByName(fresh)
-        open_items = judged.filter("waits AND NOT blocked").select("ord")
-        accepted = takes.join(settled.filter("accepted").select("ord"), "ord", "left_semi")
-        first_in = accepted.groupBy("thing").agg(F.min("ord").alias("ord"))

@@ -597,7 +597,7 @@ def stale_embedding_preview(spark, sf):
 )
 def re_embed(spark, sf):
     rows = memory(spark, sf).withColumn("embedding_model", F.lit("old"))
-    return hooks.re_embed(rows, hooks.hash_embedder(16)).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return hooks.re_embed(rows, hooks.hash_embedder(16)).drop("embedding_error").withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
 # --- loading ---

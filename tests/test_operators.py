@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import crypto
-from ledgerlake.operators import chain, conflict, flood, fulltext, gates, graph, hooks, ingest, insights, knn, ordering, precedent, ranking, state
+from ledgerlake.operators import chain, conflict, flood, fulltext, gates, graph, hooks, ingest, insights, knn, ordering, precedent, ranking, settling, state
 from ledgerlake.schema import SERVER_OWNED_KEYS
 
 KEYS = {"k1": "one", "k2": "two"}
@@ -38,8 +38,8 @@ def test_previous_value_over_buckets_and_gaps(spark):
     assert {r.s: r.p for r in out} == want
 
 
-@pytest.mark.parametrize("walk_rows", [0, 25, 10_000])
-def test_greedy_select(spark, walk_rows):
+@pytest.mark.parametrize("slice_rows", [1, 25, 10_000])
+def test_greedy_select(spark, slice_rows):
     rnd = random.Random(7)
     takes = [(i, f"t{rnd.randrange(30) if i % 3 else 0}") for i in range(80) for _ in range(2)]
     needs = [(i, f"t{rnd.randrange(30)}") for i in range(80)]
@@ -48,11 +48,11 @@ def test_greedy_select(spark, walk_rows):
         want[i] = not any(t in gone for o, t in needs if o == i)
         if want[i]:
             gone |= {t for o, t in takes if o == i}
-    df = ordering.greedy_select(
+    df = settling.greedy_select(
         spark.range(80).select(F.col("id").alias("ord")),
         spark.createDataFrame(takes, "ord bigint, thing string"),
         spark.createDataFrame(needs, "ord bigint, thing string"),
-        walk_rows=walk_rows,
+        slice_rows=slice_rows,
     )
     assert {r.ord: r.accepted for r in df.collect()} == want
 
