@@ -104,12 +104,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, decoded text and covered bytes of every text under the piece model."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = subwords.encoded(docs).select("doc_id", "ids", "starts", "ends")
+    found = subwords.encoded(docs, back=True).select("doc_id", "ids", "starts", "ends", "decoded")
     covered = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda total, n: total + n)
     return found.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(subwords.decoded(F.col("ids")), 256).alias("decoded_sha256"), covered.alias("covered_bytes"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), covered.alias("covered_bytes"),
     )
 
 

@@ -17,6 +17,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,9 +26,9 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.scratch import without
 
-CACHED_UNITS, CACHED_PARTS, LONGEST_CACHED = 200_000, 300_000, 64
+CACHED_UNITS, CACHED_PAIRS, LONGEST_CACHED = 120_000, 500_000, 64
 #: Tokens after which a batch of results leaves the worker.
-TOKENS_PER_BATCH = 1 << 20
+TOKENS_PER_BATCH = 1 << 18
 #: Kinds of pieces, kinds of models and the mark of a space: fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -141,31 +142,49 @@ class Model:
         self.dummy, self.trim, self.escape = (bool(normalizer.get(k, 1)) for k in (3, 4, 5))
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.splits_at_marks = all(not pair.endswith(SPACE_MARK) or pair == 2 * SPACE_MARK for pair in self.joined)
-        self.plain = self.map is None and not self.trim and self.escape and not self.suffix
+        self.unit_pattern = self._unit_pattern()
+        self.plain = self.map is None and not self.trim and self.escape and not self.suffix and self.byte_fallback
         unknown = trainer.get(44, " ⁇ ".encode())
         self.surfaces = [
             b"" if kind == CONTROL else unknown if kind == UNKNOWN else bytes([int(piece[3:5], 16)]) if kind == BYTE
             else piece.replace(SPACE_MARK, " ").encode()
             for piece, _, kind in pieces
         ]
-        self.units: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        marks = np.array([piece.count(SPACE_MARK) for piece, _, _ in pieces], np.int64)
+        self.widths = np.array([len(piece.encode()) for piece, _, _ in pieces], np.int64)
+        self.source_widths = self.widths - (len(MARK) - 1) * marks  # where every mark was a space
+        #: Of pieces that are bytes: how long a character is that begins with this one, 0 inside one.
+        self.byte_widths = np.full(len(pieces), -1, np.int64)
+        for byte, k in self.bytes_of.items():
+            self.byte_widths[k] = 0 if 0x80 <= byte < 0xC0 else width(byte)
+        # Scores that are the same for different pieces, as those of runs of spaces, need the merges themselves.
+        scores = [pieces[k][1] for piece, k in self.ids.items() if piece.strip(SPACE_MARK) or len(piece) == 1]
+        self.simple = not self.unused and self.splits_at_marks and len(set(scores)) == len(scores)
+        self.matcher = ahocorasick.Automaton()
+        for piece, k in self.ids.items():
+            self.matcher.add_word(piece, (len(piece), k))
+        self.matcher.make_automaton()
+        self.fits: dict[int, bool] = {}
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _unit_pattern(self) -> re.Pattern:
+        """Units that no merge reaches out of: letters or other characters that join, with marks of space in front."""
+        if not self.splits_at_marks:
+            return re.compile(".+", re.DOTALL)
+        letters = {c for pair in self.joined for c in pair if c.isalpha()}
+        others = {c for pair in self.joined for c in pair} - letters - {SPACE_MARK}
+        if any((a in letters and b in others) or (a in others and b in letters) for a, b in self.joined):
+            return re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
+        runs = [f"[{''.join(map(re.escape, sorted(chars)))}]+" for chars in (letters, others) if chars]
+        return re.compile(f"{SPACE_MARK}+(?:{'|'.join(runs) or '(?!)'})?|{'|'.join([*runs, '.'])}", re.DOTALL)
 
     # Normalisation -------------------------------------------------------------------------------
 
     def normalized(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the source byte it comes from."""
         source = text.encode()
-        if not source:
-            return "", np.zeros(1, np.int64)
-        if self.plain:
-            raw = np.frombuffer(source, np.uint8)
-            head = (raw & 0xC0) != 0x80
-            starts = np.flatnonzero(head)[np.cumsum(head) - 1]  # a byte inside a character counts as its first one
-            align = np.repeat(starts, np.where(raw == 32, 3, 1))
-            front = [np.zeros(3 if self.dummy else 0, np.int64)]
-            return SPACE_MARK * self.dummy + text.replace(" ", SPACE_MARK), np.concatenate([*front, align, [len(source)]])
-        return self._normalized(source)
+        return self._normalized(source) if source else ("", np.zeros(1, np.int64))
 
     def _normalized(self, source: bytes) -> tuple[str, np.ndarray]:
         out, align, at = bytearray(), array.array("q"), 0
@@ -212,71 +231,118 @@ class Model:
 
         Of the bytes of an unknown character all but the last have an empty span at its begin.
         """
-        normal, align = self.normalized(text or "")
-        found = [self._unit(u) for u in self._cut(normal)]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-        widths = np.frombuffer(b"".join([f[1] for f in found]), np.int32).astype(np.int64)
-        ends = np.cumsum(widths)
-        begins = ends - widths
+        text = text or ""
+        if self.plain and text and SPACE_MARK not in text:
+            # The only changes are marks for spaces and one in front: the alignment has a closed form.
+            ids = self._ids(SPACE_MARK * self.dummy + text.replace(" ", SPACE_MARK))
+            ends = np.cumsum(self._spread(ids, self.source_widths)) - self.dummy
+            return ids, np.concatenate([np.zeros(1, np.int64), ends[:-1]]), ends
+        normal, align = self.normalized(text)
+        ids = self._ids(normal)
+        ends = np.cumsum(self._spread(ids, self.widths))
+        begins = np.concatenate([np.zeros(1, np.int64), ends])[: len(ids)]
+        ids = np.where(ids < 0, self.unknown, ids)
         if not self.byte_fallback and len(ids):  # unknown pieces in a row are one
             alone = np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))
             last = np.append(alone[1:], True)
             ids, begins, ends = ids[alone], begins[alone], ends[last]
         return ids, align[begins], align[ends]
 
-    def _cut(self, normal: str) -> list[str]:
-        if not normal:
-            return []
-        return UNIT.findall(normal) if self.splits_at_marks else [normal]
-
-    def _unit(self, unit: str) -> tuple[bytes, bytes]:
-        """Ids and widths of a unit; kept where it comes again."""
-        known = self.units.get(unit)
-        if known is not None:
-            return known
-        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.joined]
-        merged, new, start = [], False, 0
-        for end in [*cuts, len(unit)]:
-            part = unit[start:end]
-            start = end
-            own = self.parts.get(part)
-            if own is None:
-                own, new = self._merged(part), True
-                if len(part) <= LONGEST_CACHED:
-                    if len(self.parts) >= CACHED_PARTS:
-                        self.parts.clear()
-                    self.parts[part] = own
-            merged.append(own)
-        result = b"".join([m[0] for m in merged]), b"".join([m[1] for m in merged])
-        if not new and len(unit) <= LONGEST_CACHED:  # all parts were seen before: the unit may come again
+    def _ids(self, normal: str) -> np.ndarray:
+        """Ids of a normalised text; an unknown character c is -1 - c where no bytes stand for it."""
+        known, found = self.units, self._unit
+        return np.frombuffer(b"".join([known[u] if u in known else found(u) for u in self.unit_pattern.findall(normal)]), np.int32)
+
+    def _spread(self, ids: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        """Width of each piece; the width of a character in bytes stands at its last one."""
+        lost = ids < 0
+        out = widths[np.where(lost, 0, ids)]
+        if lost.any():
+            out[lost] = [len(chr(-1 - k).encode()) for k in ids[lost].tolist()]
+        lengths = self.byte_widths[np.where(lost, self.unknown, ids)]
+        if (lengths >= 0).any():
+            leads = np.flatnonzero(lengths > 0)
+            out[lengths >= 0] = 0
+            out[leads + lengths[leads] - 1] = lengths[leads]
+        return out
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit. Units of two generations are kept; one that comes again stays."""
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self._chained(unit) if self.simple and 2 * SPACE_MARK not in unit else None
+            if ids is None:
+                cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.joined]
+                ids = b"".join([self._merged(unit[a:b]) for a, b in zip([0, *cuts], [*cuts, len(unit)])])
+        if len(unit) <= LONGEST_CACHED:
             if len(self.units) >= CACHED_UNITS:
-                self.units.clear()
-            self.units[unit] = result
-        return result
+                self.older, self.units = self.units, {}
+            self.units[unit] = ids
+        return ids
 
-    def _merged(self, part: str) -> tuple[bytes, bytes]:
-        """Ids and widths of a part after all merges: best score first, of equal ones that furthest left."""
+    def _merged(self, part: str) -> bytes:
+        """Ids of a part after all merges: best score first, of equal ones that furthest left."""
         made: dict[str, tuple[str, str]] = {}
         stack = (self._merge_short if len(part) <= LONGEST_CACHED else self._merge_long)(part, made)
         if not made:
-            known = self.ids
-            if all(s in known for s in stack):
-                return array.array("i", [known[s] for s in stack]).tobytes(), array.array("i", [len(s.encode()) for s in stack]).tobytes()
-        ids, widths = array.array("i"), array.array("i")
+            try:
+                return array.array("i", [self.ids[s] for s in stack]).tobytes()
+            except KeyError:
+                pass  # a character that the model doesn't have
+        ids = array.array("i")
         stack.reverse()
         while stack:
             piece = stack.pop()
             if piece in made:
                 stack.extend(reversed(made[piece]))
                 continue
-            k, own = self.ids.get(piece), piece.encode()
-            if k is None and self.byte_fallback:
-                ids.extend(self.bytes_of[byte] for byte in own)
-                widths.extend([*[0] * (len(own) - 1), len(own)])
+            k = self.ids.get(piece)
+            if k is not None:
+                ids.append(k)
+            elif self.byte_fallback:
+                ids.extend(self.bytes_of[byte] for byte in piece.encode())
             else:
-                ids.append(self.unknown if k is None else k)
-                widths.append(len(own))
-        return ids.tobytes(), widths.tobytes()
+                ids.append(-1 - ord(piece))
+        return ids.tobytes()
+
+    def _chained(self, part: str) -> bytes | None:
+        """The merges' result without merging; None where a character is no piece.
+
+        Pieces in a row are the merges' result for their text if and only if each two neighbours are
+        theirs. So from the last piece of each shorter prefix follows that of the next: the piece that
+        ends there and goes with the one before it.
+        """
+        last: list[tuple[int, int] | None] = [None] * len(part)
+        fits, all_pieces = self.fits, len(self.pieces)
+        for end, piece in self.matcher.iter(part):
+            if last[end] is None:
+                at = end - piece[0]
+                if at < 0:
+                    last[end] = piece
+                elif (before := last[at]) is not None:
+                    key = before[1] * all_pieces + piece[1]
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = self._fits(before[1], piece[1], key)
+                    if fit:
+                        last[end] = piece
+        ids, at = [], len(part) - 1
+        while at >= 0:
+            piece = last[at]
+            if piece is None:
+                return None
+            ids.append(piece[1])
+            at -= piece[0]
+        ids.reverse()
+        return array.array("i", ids).tobytes()
+
+    def _fits(self, a: int, b: int, key: int) -> bool:
+        """Do the merges turn the text of the two pieces into just these?"""
+        one, two = self.pieces[a][0], self.pieces[b][0]
+        if len(self.fits) >= CACHED_PAIRS:
+            self.fits.clear()
+        self.fits[key] = found = self._merge_short(one + two, {}) == [one, two]
+        return found
 
     def _merge_short(self, part: str, made: dict[str, tuple[str, str]]) -> list[str]:
         rank, none = self.ranks.get, len(self.ranks)
@@ -367,9 +433,6 @@ class Model:
         return n
 
 
-UNIT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
-
-
 def _each_byte(error: UnicodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
@@ -383,14 +446,17 @@ def model(path: str | None) -> Model:
         return Model(file.read())
 
 
-def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+def encoded(df: DataFrame, text: str = "text", path: str | None = None, back: bool = False) -> DataFrame:
     """The frame with `ids`, `starts` and `ends` of the pieces of every whole text.
 
+    With `back` also `decoded`, the text that decoding these ids gives.
+
     starts and ends are byte offsets in the UTF-8 of the original text, end exclusive. A null text is
-    an empty one: no pieces. Repeated rows are kept; no rows, no rows. The three columns take the
+    an empty one: no pieces. Repeated rows are kept; no rows, no rows. The new columns take the
     place of columns of those names, in any case. Other columns are carried along whole.
     """
-    kept = without(df, "ids", "starts", "ends")
+    lists, texts = ["ids", "starts", "ends"], ["decoded"] * back
+    kept = without(df, *lists, *texts)
     whole = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def encode(batches):
@@ -401,17 +467,18 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
                 rows.append(own.encode(value.as_py()))
                 tokens += len(rows[-1][0])
                 if tokens >= TOKENS_PER_BATCH or k == batch.num_rows - 1:
-                    yield _batch(batch.column(0).slice(first, len(rows)), rows)
+                    more = [pa.array([own.decode(r[0]) for r in rows], pa.string())] * back
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *_lists(rows), *more], names=["row", *lists, *texts])
                     first, rows, tokens = k + 1, [], 0
 
-    found = whole.mapInArrow(encode, T.StructType([whole.schema["row"], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]]))
-    return found.select(*[F.col(f"row.`{c}`") for c in kept.columns], "ids", "starts", "ends")
+    kinds = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in lists] + [T.StructField(c, T.StringType()) for c in texts]
+    found = whole.mapInArrow(encode, T.StructType([whole.schema["row"], *kinds]))
+    return found.select(*[F.col(f"row.`{c}`") for c in kept.columns], *lists, *texts)
 
 
-def _batch(carried: pa.Array, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _lists(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
     offsets = pa.array(np.cumsum([0, *[len(r[0]) for r in rows]]), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]).astype(np.int32))) for k in range(3)]
-    return pa.RecordBatch.from_arrays([carried, *lists], names=["row", "ids", "starts", "ends"])
+    return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]).astype(np.int32))) for k in range(3)]
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:

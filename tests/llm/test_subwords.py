@@ -76,12 +76,12 @@ def test_other_models_are_refused():
 def test_frames(spark):
     rows = [(None if k % 5 == 4 else k, t, "kept", "mine") for k, t in enumerate([*TEXTS, None, TEXTS[5], TEXTS[5]])]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, `Ids` string, `a.b c` string")
-    out = subwords.encoded(frame)
-    assert out.columns == ["doc_id", "text", "a.b c", "ids", "starts", "ends"]
-    got = out.select("doc_id", "text", out["`a.b c`"].alias("o"), "ids", subwords.decoded(out["ids"]).alias("back")).collect()
+    out = subwords.encoded(frame, back=True)
+    assert out.columns == ["doc_id", "text", "a.b c", "ids", "starts", "ends", "decoded"]
+    got = out.select("doc_id", "text", out["`a.b c`"].alias("o"), "ids", subwords.decoded(out["ids"]).alias("back"), "decoded").collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r.o == "mine" and r.ids == LIBRARY.encode(r.text or "") and r.back == LIBRARY.decode(r.ids)
+        assert r.o == "mine" and r.ids == LIBRARY.encode(r.text or "") and r.back == r.decoded == LIBRARY.decode(r.ids)
     assert subwords.encoded(frame.limit(0)).count() == 0
     assert spark.sql("select cast(null as array<int>) ids").select(subwords.decoded("ids").alias("t")).first().t is None
 
