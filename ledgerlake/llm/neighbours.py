@@ -177,14 +177,14 @@ def _placed(nodes: DataFrame, width: int, orderings: int, seed: int, total: int,
 
 
 def _searched(placed: DataFrame, reach: int, total: int, width: int, k: int, chunks: int) -> DataFrame:
-    """(node, other, score): the best of every block that a query's windows meet."""
+    """(node, other, score): the best inside a query's windows, by the blocks that the windows reach into."""
     blocks = -(-total // BLOCK)
     last = F.lit(max(0, blocks - 1)).cast("bigint")
     low, high = F.floor((F.col("position") - reach) / BLOCK), F.floor((F.col("position") + reach) / BLOCK)
-    candidates = placed.where("not query").select("ordering", F.floor(F.col("position") / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "node", "v")
+    candidates = placed.where("not query").select("ordering", F.floor(F.col("position") / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "node", "v", "position")
     asking = placed.where("query").select(
         F.col("ordering").alias("o"), F.explode(F.sequence(F.greatest(low, F.lit(0).cast("bigint")), F.least(high, last))).alias("block"), F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk"),
-        F.col("node").alias("asked"), F.col("v").alias("qv"),
+        F.col("node").alias("asked"), F.col("v").alias("qv"), F.col("position").alias("at"),
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -192,15 +192,17 @@ def _searched(placed: DataFrame, reach: int, total: int, width: int, k: int, chu
         if left.num_rows and right.num_rows:
             right = right.combine_chunks().take(pa.array(np.argsort(right.column("node").to_numpy(), kind="stable")))
             own, others = right.column("node").to_numpy(), matrix(right.column("v").combine_chunks(), width)
-            n = min(k + 1, len(own))
+            n, place, at = min(k + 1, len(own)), right.column("position").to_numpy(), left.column("at").to_numpy()
             names, wanted = left.column("asked").to_numpy(), matrix(left.column("qv").combine_chunks(), width)
             for row in range(0, len(names), 256):
-                scores = wanted[row : row + 256] @ others.T
+                inside = np.abs(place[None, :] - at[row : row + 256, None]) <= reach
+                scores = np.where(inside, wanted[row : row + 256] @ others.T, -np.inf)
                 best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                out[0].append(np.repeat(names[row : row + 256], n))
-                out[1].append(own[best].ravel())
+                met = np.take_along_axis(inside, best, axis=1).ravel()
+                out[0].append(np.repeat(names[row : row + 256], n)[met])
+                out[1].append(own[best].ravel()[met])
                 # Summed anew, the same way for a pair wherever it meets.
-                out[2].append((wanted[row : row + 256, None, :] * others[best]).sum(axis=2).ravel())
+                out[2].append((wanted[row : row + 256, None, :] * others[best]).sum(axis=2).ravel()[met])
         return pa.table({c: pa.array(np.concatenate(x) if x else [], t) for c, x, t in zip(("node", "other", "score"), out, (pa.int64(), pa.int64(), pa.float64()))})
 
     return asking.groupBy("o", "block", "chunk").cogroup(candidates.groupBy("ordering", "block", "chunk")).applyInArrow(search, "node bigint, other bigint, score double")
