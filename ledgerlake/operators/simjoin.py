@@ -2,8 +2,8 @@
 
 Unit vectors within cosine distance t are within e = sqrt(2t) of each other. Space is cut by a tree:
 a cell chooses pivots among its own rows, and every row goes home to the child of its nearest pivot.
-A row is at least (d(x, p_j)^2 - d(x, p_i)^2) / (2 d(p_i, p_j)) away from all rows whose nearest pivot
-is j, so it visits the other children where no such bound exceeds e. Cells are split until they hold
+A row of pivot i is at least (d(x, p_j)^2 - d(x, p_i)^2) / (2 d(p_i, p_j)) away from all rows whose nearest
+pivot is j, so it visits the other children where no such bound exceeds e. Cells are split until they hold
 at most `cell_rows` home rows or their rows can't be told apart, so where data has structure the
 candidates of a row follow from the threshold and not from the table. What is left is cut into blocks
 and compared exactly, one bounded matrix product for each pair of blocks.
@@ -23,9 +23,10 @@ from ..session import cut_lineage
 from .knn import _distances, _unit
 from .ordering import first_n
 
-#: Children of a cell, rows its pivots are chosen from, and cells split in one pass (bounds the broadcast).
-FAN, SAMPLE, CELLS_PER_PASS = 16, 256, 1_024
-CELL_ROWS, BLOCK_ROWS, DEPTH = 1_024, 2_048, 14
+#: Children of a cell at most and at least, and the number that all cells split in one pass have together,
+#: which bounds the broadcast; pivots are chosen from four times as many rows, which come to the driver.
+FAN, LEAST_FAN, FAN_PER_PASS = 1_024, 16, 65_536
+CELL_ROWS, BLOCK_ROWS, DEPTH = 1_024, 2_048, 6  # names of cells fit a long
 _SLACK = 1e-6
 
 
@@ -43,23 +44,24 @@ def _spread(rows: np.ndarray, count: int) -> np.ndarray:
 
 
 def reachable(rows: np.ndarray, pivots: np.ndarray, e: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home child of each row, and which children can hold a row within e of it."""
+    """Home child of each row, and which children can hold a row within e of it, as the plane halfway to its own pivot tells."""
     squares = np.maximum(2.0 - 2.0 * rows @ pivots.T, 0.0)
+    home = squares.argmin(axis=1)
     apart = 2.0 * np.sqrt(np.maximum(2.0 - 2.0 * pivots @ pivots.T, 0.0))
     np.fill_diagonal(apart, np.inf)
-    away = ((squares[:, :, None] - squares[:, None, :]) / np.maximum(apart, 1e-12)).max(axis=2)
-    return squares.argmin(axis=1), away <= e + _SLACK
+    own = squares[np.arange(len(rows)), home]
+    return home, (squares - own[:, None]) <= (e + _SLACK) * np.maximum(apart[home], 1e-12)
 
 
-def _pivots(placed: DataFrame, cells: list[int]) -> dict[int, np.ndarray]:
+def _pivots(placed: DataFrame, cells: list[int], fan: int) -> dict[int, np.ndarray]:
     """Pivots of each of a bounded number of cells, from its home rows of least hash."""
     wanted = placed.sparkSession.createDataFrame([(c,) for c in cells], "cell bigint")
     home = placed.filter("home").join(F.broadcast(wanted), "cell").withColumn("hash", F.xxhash64(F.col("id").cast("string")))
-    rows = first_n(home.select("cell", "vector", "hash", "id"), ["cell"], [F.col("hash"), F.col("id")], SAMPLE).select("cell", "rank", "vector").collect()
+    rows = first_n(home.select("cell", "vector", "hash", "id"), ["cell"], [F.col("hash"), F.col("id")], 4 * fan).select("cell", "rank", "vector").collect()
     found: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: (r.cell, r["rank"])):
         found.setdefault(r.cell, []).append(r.vector)
-    return {cell: _spread(_unit(vectors), FAN) for cell, vectors in found.items()}
+    return {cell: _spread(_unit(vectors), fan) for cell, vectors in found.items()}
 
 
 def _split(placed: DataFrame, pivots: dict[int, np.ndarray], e: float) -> DataFrame:
@@ -113,9 +115,11 @@ def placed_rows(entries: DataFrame, max_distance: float, cell_rows: int = CELL_R
         large = [(r.cell, r.n, r["all"]) for r in counts.filter(F.col("n") > cell_rows).collect() if r.cell not in final]
         if not large:
             break
-        for at in range(0, len(large), CELLS_PER_PASS):
-            part = large[at : at + CELLS_PER_PASS]
-            pivots = {c: p for c, p in _pivots(placed, [c for c, _, _ in part]).items() if len(p) > 1}
+        # As many children as the rows ask for, and no more than a pass may have for all its cells.
+        fan = max(LEAST_FAN, min(FAN, 4 * max(n for _, n, _ in large) // cell_rows, FAN_PER_PASS // len(large)))
+        for at in range(0, len(large), FAN_PER_PASS // fan):
+            part = large[at : at + FAN_PER_PASS // fan]
+            pivots = {c: p for c, p in _pivots(placed, [c for c, _, _ in part], fan).items() if len(p) > 1}
             final |= {c for c, _, _ in part if c not in pivots}
             if pivots:
                 gain = _kept_work(placed, pivots, e)
@@ -128,7 +132,7 @@ def _kept_work(placed: DataFrame, pivots: dict[int, np.ndarray], e: float) -> di
     """Share of a cell's comparisons that is left after a split, estimated on its sample of home rows."""
     wanted = placed.sparkSession.createDataFrame([(c,) for c in pivots], "cell bigint")
     home = placed.filter("home").join(F.broadcast(wanted), "cell").withColumn("hash", F.xxhash64(F.col("id").cast("string"), F.lit(1)))
-    rows = first_n(home.select("cell", "vector", "hash", "id"), ["cell"], [F.col("hash"), F.col("id")], SAMPLE).select("cell", "vector").collect()
+    rows = first_n(home.select("cell", "vector", "hash", "id"), ["cell"], [F.col("hash"), F.col("id")], 256).select("cell", "vector").collect()
     found: dict[int, list] = {}
     for r in rows:
         found.setdefault(r.cell, []).append(r.vector)

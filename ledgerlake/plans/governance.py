@@ -333,27 +333,30 @@ REPORT_STUCK = f"status = 'failed' OR (status = 'processing' AND claimed_at < ma
 
 
 @query(
-    f"""WITH {M}, {S}, {A}, q AS ({QUEUE_SQL}), entries AS (SELECT * FROM memory WHERE id % 53 <> 13), live AS (SELECT * FROM entries WHERE valid_until_epoch IS NULL),
- l AS (SELECT target_memory_id AS id, arg_max(coalesce(successor_memory_id, -1), chain_seq) AS s FROM ev GROUP BY 1),
- r AS (SELECT id, coalesce(superseded_by, -1) AS s FROM entries WHERE valid_until_epoch IS NOT NULL OR superseded_by IS NOT NULL)
+    f"""WITH {M}, {S}, {A}, q AS ({QUEUE_SQL}), live AS (SELECT * FROM memory WHERE valid_until_epoch IS NULL),
+ st AS (SELECT * REPLACE (CASE WHEN chain_seq % 53 = 13 THEN target_memory_id + 1000000000 ELSE target_memory_id END AS target_memory_id) FROM ev),
+ l AS (SELECT target_memory_id AS id, arg_max(coalesce(successor_memory_id, -1), chain_seq) AS s FROM st GROUP BY 1),
+ r AS (SELECT id, coalesce(superseded_by, -1) AS s FROM memory WHERE valid_until_epoch IS NOT NULL OR superseded_by IS NOT NULL)
  SELECT 'chain_valid' AS metric, CAST(count(*) FILTER (id % 97 = 5) = 0 AS INT) AS value FROM memory UNION ALL SELECT 'records_checked', count(*) FROM memory
- UNION ALL SELECT 'state_chain_valid', CAST(count(*) FILTER (chain_seq % 31 = 3) = 0 AS INT) FROM ev UNION ALL SELECT 'events_checked', count(*) FROM ev
+ UNION ALL SELECT 'state_chain_valid', CAST(count(*) FILTER (chain_seq % 31 = 3) = 0 AS INT) FROM st UNION ALL SELECT 'events_checked', count(*) FROM st
  UNION ALL SELECT 'cache_mismatches', count(*) FROM l FULL OUTER JOIN r ON l.id = r.id WHERE l.id IS NULL OR r.id IS NULL OR l.s <> r.s
  UNION ALL SELECT 'total', count(*) FROM live UNION ALL SELECT 'high_trust', count(*) FROM live WHERE trust_score >= 0.8
  UNION ALL SELECT 'medium_trust', count(*) FROM live WHERE trust_score >= 0.5 AND trust_score < 0.8
  UNION ALL SELECT 'low_trust', count(*) FROM live WHERE trust_score < 0.5
  UNION ALL SELECT 'aging_high_trust', count(*) FROM live WHERE trust_score >= 0.8 AND created_epoch < {EVENTS_NOW} - 90 * 86400
  UNION ALL SELECT 'stuck_conflicts', count(*) FROM q WHERE {REPORT_STUCK}
- UNION ALL SELECT 'orphaned_state_events', count(*) FROM ev WHERE target_memory_id NOT IN (SELECT id FROM entries)
+ UNION ALL SELECT 'orphaned_state_events', count(*) FROM st WHERE target_memory_id NOT IN (SELECT id FROM memory)
  UNION ALL SELECT 'memories_without_audit', count(*) FROM live WHERE id NOT IN (SELECT memory_id FROM audit)"""
 )
 def integrity_report(spark, sf):
-    """With some records and events edited after they were chained, and some records missing from the store."""
-    evs = cut_lineage(chain.append(state.event_canonical(state_events(spark, sf)), KEYRING))
+    """With some records and events edited after they were chained, and some events that name no record."""
+    target = F.col("target_memory_id")
+    strayed = state_events(spark, sf).withColumn("target_memory_id", F.when(F.col("chain_seq") % 53 == 13, target + 1_000_000_000).otherwise(target))
+    evs = cut_lineage(chain.append(state.event_canonical(strayed), KEYRING))
     odd = evs.withColumn("canonical", F.when(F.col("chain_seq") % 31 == 3, F.lit("?")).otherwise(F.col("canonical")))
     edited = chained(spark, sf).withColumn("canonical", F.when(F.col("id") % 97 == 5, F.lit("?")).otherwise(F.col("canonical")))
     return reports.integrity_report(
-        memory(spark, sf).filter("id % 53 <> 13"), audit(spark, sf), evs, queue(spark, sf),
+        memory(spark, sf), audit(spark, sf), evs, queue(spark, sf),
         chain.verify(edited, KEYRING), chain.verify(odd, KEYRING), EVENTS_NOW,
     )
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.trust import effective_trust
 from ..functions.vector import dimensions_valid, l2_delta
-from ..operators import defenses, fulltext, gates, knn, search
+from ..operators import defenses, fulltext, gates, knn, search, simjoin, textindex
 from ..operators.fulltext import TEXT_STOP_WORDS
+from ..streaming.common import fresh_path
 from .registry import query
 from .views import EFF, NOW, M, memory, table, vectors
 
@@ -86,6 +87,15 @@ def stemmed_search(spark, sf):
     return hits.select("query_id", "id", "rank", "final_rank")
 
 
+@query()
+def indexed_search(spark, sf):
+    """Whole benchmark texts against a stored index of all records, ranked by positions."""
+    path, rows = fresh_path(spark, "index"), memory(spark, sf)
+    textindex.add_to_index(rows, path)
+    hits = textindex.ranked_search(spark, path, benchmark_queries(spark, sf), search.current(rows))
+    return hits.select("query_id", "id", F.round("rank", 9).alias("rank"), "final_rank")
+
+
 @query(
     f"""WITH {M} SELECT id, memory_type, trust_score FROM memory
  WHERE valid_until_epoch IS NULL AND memory_type = 'semantic' AND trust_score >= 0.5
@@ -255,7 +265,7 @@ def label_queries(spark, sf):
 def similarity_pairs(spark, sf):
     """Neighbours under a threshold, fifty nearest per seed."""
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = knn.self_nearest(emb, 50, 0.8, scan_probes=0, pivots=16, block_rows=512)
+    near = simjoin.neighbours_within(emb, 50, 0.8)
     return near.select("id", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 

@@ -57,9 +57,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def memory(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as governed records, with real timestamps."""
-    table(spark, sf, "documents").createOrReplaceTempView("documents")
+    return memory_of(table(spark, sf, "documents"))
+
+
+def memory_of(documents: DataFrame) -> DataFrame:
+    documents.createOrReplaceTempView("documents")
     return (
-        spark.sql(MEMORY_SQL)
+        documents.sparkSession.sql(MEMORY_SQL)
         .withColumn("created_at", F.timestamp_seconds("created_epoch"))
         .withColumn("valid_until", F.timestamp_seconds("valid_until_epoch"))
     )

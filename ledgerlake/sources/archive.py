@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crypto import canonical_json, canonical_record, chained_hash, iso_utc
@@ -333,15 +333,62 @@ def archivable(
     return old.orderBy("valid_until", "id").limit(limit) if limit else old
 
 
-def write_cold(rows: DataFrame, path: str) -> None:
-    rows.withColumn("month", F.date_format("valid_until", "yyyy-MM")).write.mode("append").partitionBy(
-        "month"
-    ).parquet(path)
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
 
 
-def retained_inbox(inbox: DataFrame, now: datetime | int, days: int = 30) -> DataFrame:
-    """Submissions to keep: everything but settled ones past their time."""
+def write_cold(rows: DataFrame, path: str) -> dict[str, int]:
+    """Move rows into the monthly archive, where they are absent; the number of rows written, by month.
+
+    A month that gets rows is written anew, old and new ones together, and takes the place of the old
+    one; others aren't touched. So the same rows written twice, or again after a run that was cut
+    short, leave one copy. The counts are observed while the rows are written.
+    """
+    spark = rows.sparkSession
+    fresh = rows.withColumn("month", F.date_format("valid_until", "yyyy-MM"))
+    # Written first: the table that is read for the new months is the one that is overwritten.
+    fresh = cut_lineage(fresh.dropDuplicates(["id"]))
+    known = _table(spark, path)
+    if known is not None:
+        fresh = cut_lineage(fresh.join(known.select("id"), "id", "left_anti"))
+    months = [r.month for r in fresh.select("month").distinct().collect()]
+    if not months:
+        return {}
+    out = fresh.withColumn("_new", F.lit(1))
+    if known is not None:
+        old = known.filter(F.col("month").isin(*months)).withColumn("_new", F.lit(0))
+        out = cut_lineage(old.unionByName(out, allowMissingColumns=True))
+    seen = Observation()
+    counts = [F.sum(F.when(F.col("month") == m, F.col("_new"))).alias(m) for m in months]
+    out.observe(seen, *counts).drop("_new").repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    return {m: int(n) for m, n in seen.get.items() if n}
+
+
+def expire_inbox(inbox: DataFrame, path: str, now: datetime | int, days: int = 30) -> dict[str, int]:
+    """Write the submissions that stay to `path`, by day of submission, and count what stays and goes.
+
+    Days are replaced one by one and those of which nothing stays are removed, so a second run over
+    the same inbox leaves the same table. `inbox` isn't read from `path` itself.
+    """
+    spark = inbox.sparkSession
+    judged = inbox.withColumn("day", F.date_format("submitted_at", "yyyy-MM-dd")).withColumn("_stays", _stays(now, days))
+    over = judged.groupBy("day").agg(F.max(F.col("_stays").cast("int")).alias("any")).filter("any = 0").select("day").collect()
+    seen = Observation()
+    counted = judged.observe(seen, F.count_if("_stays").alias("kept"), F.count_if(~F.col("_stays")).alias("expired"))
+    counted.filter("_stays").drop("_stays").repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for row in over:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={row.day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def _stays(now: datetime | int, days: int) -> Column:
     cut = now_micros(now) - days * 86_400_000_000
     settled = F.col("status").isin("approved", "merged", "rejected")
-    expired = settled & F.coalesce(F.unix_micros("processed_at") < cut, F.lit(False))
-    return inbox.filter(~expired)
+    return ~F.coalesce(settled & (F.unix_micros("processed_at") < cut), F.lit(False))
+
+
+def retained_inbox(inbox: DataFrame, now: datetime | int, days: int = 30) -> DataFrame:
+    """Submissions to keep: everything but settled ones past their time."""
+    return inbox.filter(_stays(now, days))

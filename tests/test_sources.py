@@ -141,3 +141,32 @@ def test_retention(spark):
     )
     kept = archive.retained_inbox(inbox, datetime(2024, 3, 2))
     assert sorted(r.id for r in kept.collect()) == [2, 3, 4]
+
+
+def test_cold_archive_is_written_once(spark, tmp_path):
+    """Runs that are repeated or that overlap leave one copy of each record, and count what they wrote."""
+    path = str(tmp_path / "cold")
+    rows = spark.createDataFrame(
+        [(k, f"text {k}", datetime(2023, 1 + k % 3, 5), [0.1]) for k in range(30)], "id int, content string, valid_until timestamp, embedding array<double>"
+    )
+    none = spark.createDataFrame([], "id int")
+    old = archive.archivable(rows, none, datetime(2024, 1, 1))
+    assert archive.write_cold(old.filter("id < 20"), path) == {"2023-01": 7, "2023-02": 7, "2023-03": 6}
+    assert archive.write_cold(old.filter("id < 20"), path) == {}
+    assert archive.write_cold(old.filter("id % 3 = 0").unionByName(old.filter("id = 3")), path) == {"2023-01": 3}
+    assert archive.write_cold(old, path) == {"2023-02": 3, "2023-03": 4}
+    got = spark.read.parquet(path).select("id", "content", "month").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(k, f"text {k}", f"2023-0{1 + k % 3}") for k in range(30)]
+
+
+def test_inbox_expiry(spark, tmp_path):
+    path = str(tmp_path / "inbox")
+    inbox = spark.createDataFrame(
+        [(1, "approved", datetime(2024, 1, 1), datetime(2024, 1, 1)), (2, "held", datetime(2024, 1, 1), datetime(2024, 1, 2)),
+         (3, "rejected", datetime(2024, 3, 1), datetime(2024, 1, 2)), (4, "merged", None, datetime(2024, 1, 3)), (5, None, None, datetime(2024, 1, 3))],
+        "id int, status string, processed_at timestamp, submitted_at timestamp",
+    )
+    assert archive.expire_inbox(inbox, path, datetime(2024, 1, 5)) == {"kept": 5, "expired": 0}
+    for _ in range(2):
+        assert archive.expire_inbox(inbox, path, datetime(2024, 3, 2)) == {"kept": 4, "expired": 1}
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4, 5]
