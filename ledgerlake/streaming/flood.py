@@ -18,8 +18,8 @@ from .common import use_rocksdb
 class _Window(StatefulProcessor):
     """State of one (actor, span): low-trust submission times of two window widths."""
 
-    def __init__(self, width: int, limit: int, actor_type: str):
-        self.width, self.limit, self.actor_type = width, limit, actor_type
+    def __init__(self, width: int, limit: int, carry: bool):
+        self.width, self.limit, self.carry = width, limit, carry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -49,8 +49,9 @@ class _Window(StatefulProcessor):
         )
         prior = upto - start - later
         held = (own["low"].to_numpy() == 1) & (prior >= self.limit) & (self.limit > 0)
+        more = {"carried": own["carried"].to_numpy()} if self.carry else {}
         yield pd.DataFrame(
-            {"actor": actor, "order_id": own["order_id"].to_numpy(), "prior": prior, "held": held}
+            {"actor": actor, "order_id": own["order_id"].to_numpy(), "prior": prior, "held": held, **more}
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -70,9 +71,11 @@ def flood_stream(
     limit: int = FLOOD_LIMIT,
     window_seconds: int = FLOOD_WINDOW_SECONDS,
     lateness: str = "10 minutes",
+    carry: Column | None = None,
 ) -> DataFrame:
     """(actor, order_id, prior, held). State is keyed by (actor, span), two windows wide at
-    most, so a busy actor is spread over tasks and old state expires with the watermark."""
+    most, so a busy actor is spread over tasks and old state expires with the watermark.
+    `carry`, a text, comes out again as `carried`."""
     use_rocksdb(events.sparkSession)
     width = window_seconds * 1_000_000
     us = F.unix_micros(F.col("at"))
@@ -85,22 +88,26 @@ def flood_stream(
         ),
         lambda v: v.isNotNull(),
     )
+    more = [] if carry is None else [carry.cast("string").alias("carried")]
+    own_text = [] if carry is None else [F.when(F.col("v.own"), F.col("carried")).alias("carried")]
+    kept = [] if carry is None else ["carried"]
     routed = (
         events.select(
             F.col(actor).alias("actor"),
             F.col(order_id).alias("order_id"),
             F.col(submitted).cast("timestamp").alias("at"),
             low.cast("int").alias("low"),
+            *more,
         )
         .withWatermark("at", lateness)
-        .select("actor", "order_id", "at", us.alias("us"), "low", F.explode(visits).alias("v"))
-        .select("actor", "order_id", "at", "us", "low", "v.span", "v.own")
+        .select("actor", "order_id", "at", us.alias("us"), "low", *kept, F.explode(visits).alias("v"))
+        .select("actor", "order_id", "at", "us", "low", "v.span", "v.own", *own_text)
     )
     actor_type = routed.schema["actor"].dataType.simpleString()
     id_type = routed.schema["order_id"].dataType.simpleString()
     return routed.groupBy("actor", "span").transformWithStateInPandas(
-        statefulProcessor=_Window(width, limit, actor_type),
-        outputStructType=f"actor {actor_type}, order_id {id_type}, prior bigint, held boolean",
+        statefulProcessor=_Window(width, limit, carry is not None),
+        outputStructType=f"actor {actor_type}, order_id {id_type}, prior bigint, held boolean" + (", carried string" if kept else ""),
         outputMode="Append",
         timeMode="EventTime",
     )

@@ -134,3 +134,22 @@ def test_copies_and_weak_ones(spark):
     prior = spark.createDataFrame([("e", 0.11), ("f", 0.05)], "class_id string, distance double")
     got = {r.id for r in inflow.promoted(members, near, prior, 0.1, 0.15).collect()}
     assert got == {"b1", "a2", "c2", "e1"}
+
+
+def test_flood_admission_before_the_sinks(spark, tmp_path):
+    """Limit 2, five submissions of low trust: two go on and three are held, also over a restart of the job."""
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    texts = ["topic 0 at 0.0", "topic 1 at 0.0", "topic 2 at 0.0", "topic 3 at 0.0", "topic 4 at 0.0", "topic 5 at 0.0", "topic 5 at 1.5"]
+    rows = [(f"s{k}", t, "ann" if k < 5 else "bob", None, START + timedelta(seconds=k, microseconds=7), 0.5, "semantic", "general", None, k) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    for number, (low, high) in enumerate(((0, 2), (2, 7))):
+        df.filter((F.col("n") >= low) & (F.col("n") < high)).coalesce(1).write.mode("append").parquet(f"{folder}/f{number}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(folder)
+        job = inbox.start_inbox(  # started anew for each file, from its checkpoint
+            inbox.admitted(stream, F.col("caller_trust") < 0.6, 2, 3600), root, str(tmp_path / "cp"), {"availableNow": True},
+            base=None, rules=[], keyring=KEYS, key_id="k1", embedder=EMBEDDER,
+        )
+        job.awaitTermination()
+    box = {r.id: (r.status, r.review_reason) for r in spark.read.parquet(f"{root}/inbox").collect()}
+    assert box == {f"s{k}": ("held", "source_flood_limit") if k in (2, 3, 4) else ("approved", None) for k in range(7)}
+    assert {r.submitted_at for r in spark.read.parquet(f"{root}/records").collect()} == {r[4] for r in rows if r[0] not in ("s2", "s3", "s4")}
