@@ -11,6 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from ledgerlake.llm import cleaning, packing, queries, secrets
 from tests.llm.test_simhash import brute_components, plain_fingerprint
+from tests.llm.test_shingles import plain_groups
 from tests.llm.test_texts import WORD, plain_base, plain_spans
 from tests.oracle import compare
 
@@ -66,7 +67,7 @@ def test_stages(spark):
 
     before = [tuple(r) for r in kept.collect()]
     single = corpus_pipeline.near_duplicates(spark, kept, SF)
-    groups = brute_components([plain_fingerprint(r[1]) for r in before], 4)
+    groups = plain_groups([r[1] for r in before])
     left = [tuple(r) for r in single.collect()]
     assert single.columns == columns and len(left) == len(set(groups)) and set(left) <= set(before)
     for g in set(groups):
