@@ -462,14 +462,21 @@ def active_rules(spark, sf):
 # --- conflicts ---
 
 
+def bag_vectors(spark, sf):
+    """Records embedded by their words: near copies are near."""
+    return hooks.bag_embedder(64).apply(memory(spark, sf))
+
+
 def hashed_vectors(spark, sf):
     """Records embedded by the deterministic stand-in: copies share a vector."""
     return hooks.hash_embedder(64).apply(memory(spark, sf))
 
 
 PAIRS_CTE = f"""
-cur AS MATERIALIZED (SELECT *, list_transform(range(0, 32), lambda i: (('0x' || substr(sha256(lower(content)), 2 * i + 1, 2))::INT - 128) / 128.0::DOUBLE) AS embedding,
-  list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) AS w FROM memory WHERE valid_until_epoch IS NULL),
+bag AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) AS w FROM memory WHERE valid_until_epoch IS NULL),
+head AS (SELECT *, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 4))::INT) AS h FROM bag),
+cur AS MATERIALIZED (SELECT *, list_transform(range(0, 64), lambda i: CASE WHEN i = 0 THEN 1 ELSE
+  len(list_filter(h, lambda x: 1 + x % 63 = i AND x // 63 % 2 = 0)) - len(list_filter(h, lambda x: 1 + x % 63 = i AND x // 63 % 2 = 1)) END) AS embedding FROM head),
 d5 AS (SELECT a.id, b.id AS neighbour_id, round(greatest({DIST}, 0), 9) AS dist FROM cur a JOIN cur b ON a.id <> b.id),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbour_id) AS rank FROM d5) WHERE rank <= 5),
 j AS (SELECT p.id, p.neighbour_id, p.rank, a.trust_score AS nt, b.trust_score AS ot, a.chain_seq AS cs,
@@ -485,7 +492,7 @@ f AS (SELECT *, CASE WHEN greatest(nt, ot) > 0.8 THEN 'high' ELSE 'medium' END A
     f"""WITH {M}, {PAIRS_CTE} SELECT id, neighbour_id, 'trust_conflict' AS contradiction_type, severity, reason FROM f"""
 )
 def trust_conflicts(spark, sf):
-    found = self_conflicts(hashed_vectors(spark, sf))
+    found = self_conflicts(bag_vectors(spark, sf))
     return found.select("id", "neighbour_id", "contradiction_type", "severity", "reason")
 
 
@@ -499,7 +506,7 @@ def trust_conflicts(spark, sf):
 )
 def resolve_conflicts(spark, sf):
     """HIGH conflicts settled one after another, in trigger order."""
-    found = self_conflicts(hashed_vectors(spark, sf))
+    found = self_conflicts(bag_vectors(spark, sf))
     return conflict.settle(conflict.decide(found)).select("id", "neighbour_id", "loser_id", "accepted")
 
 
