@@ -105,23 +105,33 @@ def _compose(first, second):
 _MAP = "state array<int>, count array<bigint>, reset array<boolean>, seat array<bigint>"
 
 
-def _prepared(events: DataFrame, chunk_rows: int) -> tuple[DataFrame, list[str]]:
-    names = sorted(
-        r[0]
-        for r in events.filter("kind = 'deliberate'").select("resolution").distinct().collect()
-    )
+def _prepared(
+    events: DataFrame, chunk_rows: int, standing: DataFrame | None = None, sources: DataFrame | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Events that count, coded, with their chunk; patterns that stand already count from their first event."""
+    given = events.filter("kind = 'deliberate'").select("resolution")
+    if standing is not None:
+        given = given.unionByName(standing.select("resolution"))
+    names = sorted(r[0] for r in given.distinct().collect()) or [""]  # no resolution at all: one name that stays unused
     # Written, so that the planner sees how small they are and need not shuffle by hot pattern.
-    born = cut_lineage(
-        events.groupBy("pattern_hash").agg(
-            F.min(F.when(F.col("kind") == "deliberate", F.col("seq"))).alias("born")
-        )
+    births = events.groupBy("pattern_hash").agg(
+        F.min(F.when(F.col("kind") == "deliberate", F.col("seq"))).alias("born"), F.min("seq").alias("_first")
     )
+    if standing is not None:
+        births = births.join(standing.select("pattern_hash", F.lit(True).alias("_stands")), "pattern_hash", "left")
+        births = births.withColumn("born", F.when(F.col("_stands"), F.col("_first")).otherwise(F.col("born")))
+    born = cut_lineage(births.select("pattern_hash", "born"))
     alive = events.join(born, "pattern_hash").filter(F.col("seq") >= F.col("born")).drop("born")
-    debut = cut_lineage(alive.groupBy("pattern_hash", "source_key").agg(F.min("seq").alias("debut")))
+    debuts = alive.groupBy("pattern_hash", "source_key").agg(F.min("seq").alias("debut"))
+    if sources is not None:
+        met = sources.select("pattern_hash", "source_key", F.lit(True).alias("_met"))
+        debuts = debuts.join(met, ["pattern_hash", "source_key"], "left")
+        debuts = debuts.withColumn("debut", F.when(F.col("_met").isNull(), F.col("debut"))).drop("_met")
+    debut = cut_lineage(debuts)
     code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("resolution")) - 1
     ready = (
         alive.join(debut, ["pattern_hash", "source_key"])
-        .withColumn("is_new", F.col("seq") == F.col("debut"))
+        .withColumn("is_new", F.coalesce(F.col("seq") == F.col("debut"), F.lit(False)))
         .withColumn("reinforce", F.col("kind") == "reinforce")
         .withColumn("res", F.coalesce(code, F.lit(-1)).cast("int"))
         .withColumn("chunk", floor_div(F.col("seq"), chunk_rows))
@@ -149,8 +159,8 @@ def _chunk_maps(ready: DataFrame, n_res: int) -> DataFrame:
     )
 
 
-def _joined(maps: DataFrame) -> DataFrame:
-    """Compose the chunk maps of each pattern, `_FAN_IN` neighbours per round."""
+def _levels(maps: DataFrame) -> list[DataFrame]:
+    """Chunk maps of each pattern, composed `_FAN_IN` neighbours a level up to one map a pattern."""
     key_type = maps.schema["pattern_hash"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -166,16 +176,48 @@ def _joined(maps: DataFrame) -> DataFrame:
             }
         )
 
+    levels = [maps]
     while True:
-        top = maps.agg(F.max("chunk"), F.min("chunk")).first()
+        top = levels[-1].agg(F.max("chunk"), F.min("chunk")).first()
         if top[0] is None or top[0] == top[1]:
-            return maps
-        maps = cut_lineage(
-            maps.withColumn("parent", floor_div(F.col("chunk"), _FAN_IN))
-            .withColumnRenamed("count", "count_")
+            return levels
+        levels.append(
+            cut_lineage(
+                levels[-1].withColumn("parent", floor_div(F.col("chunk"), _FAN_IN))
+                .withColumnRenamed("count", "count_")
+                .groupBy("pattern_hash", "parent")
+                .applyInPandas(run, f"pattern_hash {key_type}, chunk bigint, {_MAP}")
+            )
+        )
+
+
+def _entries(levels: list[DataFrame], start: DataFrame) -> DataFrame:
+    """(pattern_hash, chunk, entry, entry_count): the state in which each chunk is entered.
+
+    It goes down the levels, from the state a pattern starts in; a group is the children of one map.
+    """
+    key_type = levels[0].schema["pattern_hash"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        state, count, out = int(rows["entry"].iloc[0]), int(rows["entry_count"].iloc[0]), []
+        for r in rows.itertuples():
+            out.append((r.pattern_hash, r.chunk, state, count))
+            count = r.count_[state] if r.reset[state] else count + r.count_[state]
+            state = r.state[state]
+        return pd.DataFrame(out, columns=["pattern_hash", "chunk", "entry", "entry_count"])
+
+    entries = levels[-1].select("pattern_hash", "chunk").join(start, "pattern_hash")
+    for lower in reversed(levels[:-1]):
+        above = entries.withColumnRenamed("chunk", "parent")
+        entries = cut_lineage(
+            lower.withColumnRenamed("count", "count_").drop("seat")
+            .withColumn("parent", floor_div(F.col("chunk"), _FAN_IN))
+            .join(above, ["pattern_hash", "parent"])
             .groupBy("pattern_hash", "parent")
-            .applyInPandas(run, f"pattern_hash {key_type}, chunk bigint, {_MAP}")
+            .applyInPandas(run, f"pattern_hash {key_type}, chunk bigint, entry int, entry_count bigint")
         )
+    return entries
 
 
 def _decoded(df: DataFrame, names: list[str]) -> DataFrame:
@@ -188,7 +230,7 @@ def _decoded(df: DataFrame, names: list[str]) -> DataFrame:
 def fold(events: DataFrame, chunk_rows: int = 20_000) -> DataFrame:
     """(pattern_hash, contradiction_type?, resolution, winner_rule, confidence, applied_count)."""
     ready, names = _prepared(events, chunk_rows)
-    done = _joined(cut_lineage(_chunk_maps(ready, len(names)))).select(
+    done = _levels(cut_lineage(_chunk_maps(ready, len(names))))[-1].select(
         "pattern_hash",
         F.col("state")[0].alias("exit"),
         F.col("count")[0].alias("applied_count"),
@@ -202,32 +244,60 @@ def fold(events: DataFrame, chunk_rows: int = 20_000) -> DataFrame:
     )
 
 
+def _no_start(ready: DataFrame) -> DataFrame:
+    return ready.select("pattern_hash").distinct().select("pattern_hash", F.lit(0).alias("entry"), F.lit(0).cast("bigint").alias("entry_count"))
+
+
 def trace(events: DataFrame, chunk_rows: int = 20_000) -> DataFrame:
     """Per deliberation: standing resolution and confidence after it, and `overturned`.
 
-    Chunk maps give every chunk its entry state (few rows per pattern); the chunks are then
-    replayed in parallel.
+    Chunk maps, composed in a tree, give every chunk its entry state; the chunks are then replayed
+    in parallel.
     """
     ready, names = _prepared(events, chunk_rows)
     ready = cut_lineage(ready)
-    maps = cut_lineage(_chunk_maps(ready, len(names)))
-    key_type = ready.schema["pattern_hash"].dataType.simpleString()
+    levels = _levels(cut_lineage(_chunk_maps(ready, len(names))))
+    return _replayed(ready, names, _entries(levels, _no_start(ready)))
+
+
+_STANDING = ["pattern_hash", "resolution", "winner_rule", "confidence", "applied_count"]
 
-    def entries(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        state, count, out = 0, 0, []
-        for r in rows.itertuples():
-            out.append((r.pattern_hash, r.chunk, state, count))
-            count = r.count_[state] if r.reset[state] else count + r.count_[state]
-            state = r.state[state]
-        return pd.DataFrame(out, columns=["pattern_hash", "chunk", "entry", "entry_count"])
 
-    starts = (
-        maps.withColumnRenamed("count", "count_")
-        .drop("seat")
-        .groupBy("pattern_hash")
-        .applyInPandas(entries, f"pattern_hash {key_type}, chunk bigint, entry int, entry_count bigint")
+def advance(
+    events: DataFrame, standing: DataFrame | None = None, sources: DataFrame | None = None, chunk_rows: int = 20_000
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`trace` of a batch of events that follow others, and what the next batch has to know.
+
+    `standing` (the columns of `fold`) and `sources` (pattern_hash, source_key) are what the earlier
+    batches left; None for the first. Gives the trace, the standing rules of the batch's patterns, and
+    the sources that are new. Cuts of the same events into batches give the same rows.
+    """
+    ready, names = _prepared(events, chunk_rows, standing, sources)
+    ready = cut_lineage(ready)
+    levels = _levels(cut_lineage(_chunk_maps(ready, len(names))))
+    start = _no_start(ready).withColumn("_winner", F.lit(None).cast("string"))
+    if standing is not None:
+        number = (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("resolution")) - 1) * _N
+        number = number + F.array_position(F.array(*[F.lit(c) for c in CONFIDENCES]), F.col("confidence"))
+        held = standing.select("pattern_hash", number.cast("int").alias("_at"), F.col("applied_count").alias("_n"), F.col("winner_rule").alias("_rule"))
+        start = start.join(held, "pattern_hash", "left").select(
+            "pattern_hash", F.coalesce("_at", "entry").alias("entry"), F.coalesce("_n", "entry_count").alias("entry_count"), F.col("_rule").alias("_winner")
+        )
+    start = cut_lineage(start)
+    rows = _replayed(ready, names, _entries(levels, start.drop("_winner")))
+    count = F.col("count")[F.col("entry")]
+    left = levels[-1].join(start, "pattern_hash").select(
+        "pattern_hash", "_winner", F.col("state")[F.col("entry")].alias("exit"), F.col("seat")[F.col("entry")].alias("seat"),
+        F.when(F.col("reset")[F.col("entry")], count).otherwise(F.col("entry_count") + count).alias("applied_count"),
     )
+    ruling = events.select("pattern_hash", F.col("seq").alias("seat"), "winner_rule")
+    after = _decoded(left, names).join(ruling, ["pattern_hash", "seat"], "left")
+    after = after.withColumn("winner_rule", F.when(F.col("seat") >= 0, F.col("winner_rule")).otherwise(F.col("_winner"))).select(*_STANDING)
+    return rows, after, ready.filter("is_new").select("pattern_hash", "source_key")
+
+
+def _replayed(ready: DataFrame, names: list[str], starts: DataFrame) -> DataFrame:
+    key_type = ready.schema["pattern_hash"].dataType.simpleString()
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")

@@ -1,70 +1,42 @@
-"""Precedent as keyed state: one pattern, its standing rule and the sources seen."""
+"""Precedent as a stream: each batch is folded in chunks and joined to what the earlier ones left."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..schema import PRECEDENT_BASE, PRECEDENT_CEILING, PRECEDENT_FLOOR, PRECEDENT_STEP
-from .common import use_rocksdb
-
-
-class _Pattern(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rule = handle.getValueState(
-            "rule", "resolution string, winner_rule string, confidence double, applied_count bigint"
-        )
-        self.sources = handle.getMapState("sources", "source string", "seen boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (pattern,) = key
-        out = []
-        for e in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-            held = self.rule.get() if self.rule.exists() else None
-            if held is None and e.kind == "reinforce":
-                continue
-            fresh = not self.sources.containsKey((e.source_key,))
-            overturned = False
-            if held is None:
-                state = (e.resolution, e.winner_rule, PRECEDENT_BASE, 1)
-            else:
-                name, winner, confidence, count = held
-                if e.kind == "reinforce" or name == e.resolution:
-                    if fresh:
-                        confidence = min(PRECEDENT_CEILING, confidence + PRECEDENT_STEP)
-                    state = (name, winner, confidence, count + 1)
-                elif confidence - PRECEDENT_STEP < PRECEDENT_FLOOR:
-                    overturned = True
-                    state = (e.resolution, e.winner_rule, PRECEDENT_BASE, 1)
-                else:
-                    state = (name, winner, confidence - PRECEDENT_STEP, count)
-            self.rule.update(state)
-            if fresh:
-                self.sources.updateValue((e.source_key,), (True,))
-            out.append((pattern, e.seq, held[0] if held else None, state[0], state[2], state[3], overturned))
-        yield pd.DataFrame(
-            out,
-            columns=["pattern_hash", "seq", "before_resolution", "after_resolution", "confidence",
-                     "applied_count", "overturned"],
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def precedent_stream(deliberations: DataFrame) -> DataFrame:
-    """Trace of every deliberation, in the shape of the batch trace."""
-    use_rocksdb(deliberations.sparkSession)
-    key_type = deliberations.schema["pattern_hash"].dataType.simpleString()
-    return deliberations.groupBy("pattern_hash").transformWithStateInPandas(
-        statefulProcessor=_Pattern(),
-        outputStructType=(
-            f"pattern_hash {key_type}, seq bigint, before_resolution string, after_resolution string,"
-            " confidence double, applied_count bigint, overturned boolean"
-        ),
-        outputMode="Append",
-        timeMode="None",
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import precedent
+from ..session import cut_lineage
+from .common import read_batches, write_batch
+
+
+def process_batch(batch: DataFrame, batch_id: int, root: str, chunk_rows: int = 20_000) -> None:
+    """Trace one batch of deliberations, in order of seq, after all earlier batches.
+
+    Below `root`: `trace` in the shape of the batch trace, `standing` (the rules of the batch's patterns
+    after it) and `sources` (those seen for the first time), each by batch. A replayed batch reads
+    only what stands before it and writes its folders anew. No task holds more than `chunk_rows` events or
+    the 64 maps below one map, however hot a pattern is.
+    """
+    spark = batch.sparkSession
+    events = cut_lineage(batch)
+    standing = read_batches(spark, f"{root}/standing", batch_id)
+    if standing is not None:
+        names = [c for c in standing.columns if c not in ("pattern_hash", "batch_id")]
+        last = standing.groupBy("pattern_hash").agg(F.max_by(F.struct(*names), "batch_id").alias("last"))
+        standing = cut_lineage(last.select("pattern_hash", "last.*"))
+    rows, after, new = precedent.advance(events, standing, read_batches(spark, f"{root}/sources", batch_id), chunk_rows)
+    write_batch(rows, f"{root}/trace", batch_id)
+    write_batch(new, f"{root}/sources", batch_id)
+    write_batch(after, f"{root}/standing", batch_id)
+
+
+def start_precedent(deliberations: DataFrame, root: str, checkpoint: str, trigger: dict, **job) -> StreamingQuery:
+    """Drain a stream of deliberations through process_batch."""
+    return (
+        deliberations.writeStream.foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, root, **job))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
     )

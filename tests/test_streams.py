@@ -43,12 +43,38 @@ def test_chain_stream(spark, tmp_path):
 
 
 def test_precedent_stream(spark, tmp_path):
+    """Any cut into batches gives the batch trace and fold; chunks of 10 rows."""
     _, df = deliberations(spark, 300)
-    stream = feed(spark, df, str(tmp_path / "in"), "seq", [(0, 90), (90, 200), (200, 301)])
-    out = run_available(stream_precedent.precedent_stream(stream), "t")
-    want = precedent.trace(df, chunk_rows=40)
-    assert out.count() == want.count()
-    assert out.exceptAll(want.select(*out.columns)).count() == 0
+    want, folded = precedent.trace(df, chunk_rows=40), precedent.fold(df, chunk_rows=40)
+    for name, parts in {"one": [(0, 301)], "three": [(0, 90), (90, 200), (200, 301)]}.items():
+        stream, root = feed(spark, df, str(tmp_path / name), "seq", parts), str(tmp_path / f"{name}-out")
+        stream_precedent.start_precedent(stream, root, f"{root}/cp", {"availableNow": True}, chunk_rows=10).awaitTermination()
+        out = spark.read.parquet(f"{root}/trace").select(*want.columns)
+        assert out.count() == want.count()
+        assert out.exceptAll(want).count() == 0
+        standing = spark.read.parquet(f"{root}/standing").groupBy("pattern_hash").agg(F.max_by(F.struct(*folded.columns[1:]), "batch_id").alias("x"))
+        assert standing.select("pattern_hash", "x.*").exceptAll(folded).count() == 0
+        assert spark.read.parquet(f"{root}/sources").groupBy("pattern_hash", "source_key").count().filter("count > 1").count() == 0
+
+
+def test_precedent_batch_is_replayed(spark, tmp_path):
+    """A batch that is run again, or has nothing to rule, leaves what it should."""
+    _, df = deliberations(spark, 120)
+    df, root = df.cache(), str(tmp_path)
+    stream_precedent.process_batch(df.filter("kind = 'reinforce' and seq < 0"), 0, root)
+    for number, part in ((1, "seq <= 50"), (2, "seq > 50"), (2, "seq > 50")):
+        stream_precedent.process_batch(df.filter(part), number, root, chunk_rows=7)
+    want = precedent.trace(df)
+    out = spark.read.parquet(f"{root}/trace").select(*want.columns)
+    assert out.count() == want.count() and out.exceptAll(want).count() == 0
+
+
+def test_small_levels_of_precedent(spark, monkeypatch):
+    """Maps that meet three at a time, so that entries come down several levels."""
+    monkeypatch.setattr(precedent, "_FAN_IN", 3)
+    _, df = deliberations(spark, 300)
+    got, want = precedent.trace(df, chunk_rows=8), precedent.trace(df, chunk_rows=1_000)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
 def test_each_loser_is_retired_once(spark, tmp_path):
