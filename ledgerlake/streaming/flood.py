@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.trust import floor_div
 from ..schema import FLOOD_LIMIT, FLOOD_WINDOW_SECONDS
-from .common import use_rocksdb
+from .common import use_rocksdb, write_batch
 
 
 class _Window(StatefulProcessor):
@@ -28,6 +28,16 @@ class _Window(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         actor, span = key
         batch = pd.concat(list(rows)).sort_values(["us", "order_id"], kind="stable")
+        mark = int(timerValues.getCurrentWatermarkInMs())
+        missed = batch["us"].to_numpy(dtype=np.int64) <= mark * 1000
+        if missed.any():
+            over = batch[missed & batch["own"].to_numpy(dtype=bool)]
+            batch = batch[~missed]
+            if len(over):
+                held = (over["low"].to_numpy() == 1) & (self.limit > 0)
+                yield self._out(actor, over, [None] * len(over), held, [pd.Timestamp(mark, unit="ms", tz="UTC")] * len(over))
+            if not len(batch):
+                return
         before = np.array([t[0] for t in self.times.get()], dtype=np.int64)
         low = batch[batch["low"] == 1]
         new = low["us"].to_numpy(dtype=np.int64)
@@ -49,9 +59,15 @@ class _Window(StatefulProcessor):
         )
         prior = upto - start - later
         held = (own["low"].to_numpy() == 1) & (prior >= self.limit) & (self.limit > 0)
+        yield self._out(actor, own, prior, held, [None] * len(own))
+
+    def _out(self, actor, own: pd.DataFrame, prior, held, missed: list) -> pd.DataFrame:
         more = {"carried": own["carried"].to_numpy()} if self.carry else {}
-        yield pd.DataFrame(
-            {"actor": actor, "order_id": own["order_id"].to_numpy(), "prior": prior, "held": held, **more}
+        return pd.DataFrame(
+            {
+                "actor": actor, "order_id": own["order_id"].to_numpy(), "prior": pd.Series(prior, dtype="Int64").to_numpy(dtype=object),
+                "held": held, "missed": pd.Series(missed, dtype="datetime64[us, UTC]"), **more,
+            }
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -62,6 +78,12 @@ class _Window(StatefulProcessor):
         pass
 
 
+def split_late(marked: DataFrame, batch_id: int, root: str) -> None:
+    """A batch of `flood_stream` in two sinks below `root`: `judged`, and `late` with the watermark that was missed."""
+    write_batch(marked.filter("missed IS NULL").drop("missed"), f"{root}/judged", batch_id)
+    write_batch(marked.filter("missed IS NOT NULL").drop("prior"), f"{root}/late", batch_id)
+
+
 def flood_stream(
     events: DataFrame,
     actor: str,
@@ -73,8 +95,12 @@ def flood_stream(
     lateness: str = "10 minutes",
     carry: Column | None = None,
 ) -> DataFrame:
-    """(actor, order_id, prior, held). State is keyed by (actor, span), two windows wide at
-    most, so a busy actor is spread over tasks and old state expires with the watermark.
+    """(actor, order_id, prior, held, missed), every row once. State is keyed by (actor, span), two windows
+    wide at most, so a busy actor is spread over tasks and old state expires with the watermark.
+
+    A row that isn't later than the watermark (the latest time of all earlier batches, less
+    `lateness`) comes out too: `missed` is that watermark, null for all others. It counts for no window, has no
+    `prior`, and is held if it is a low-trust one, since nobody can tell any more what came before it.
     `carry`, a text, comes out again as `carried`."""
     use_rocksdb(events.sparkSession)
     width = window_seconds * 1_000_000
@@ -100,14 +126,15 @@ def flood_stream(
             *more,
         )
         .withWatermark("at", lateness)
-        .select("actor", "order_id", "at", us.alias("us"), "low", *kept, F.explode(visits).alias("v"))
-        .select("actor", "order_id", "at", "us", "low", "v.span", "v.own", *own_text)
+        # Without the event time itself, so that rows past the watermark aren't dropped before the state sees them.
+        .select("actor", "order_id", us.alias("us"), "low", *kept, F.explode(visits).alias("v"))
+        .select("actor", "order_id", "us", "low", "v.span", "v.own", *own_text)
     )
     actor_type = routed.schema["actor"].dataType.simpleString()
     id_type = routed.schema["order_id"].dataType.simpleString()
     return routed.groupBy("actor", "span").transformWithStateInPandas(
         statefulProcessor=_Window(width, limit, carry is not None),
-        outputStructType=f"actor {actor_type}, order_id {id_type}, prior bigint, held boolean" + (", carried string" if kept else ""),
+        outputStructType=f"actor {actor_type}, order_id {id_type}, prior bigint, held boolean, missed timestamp" + (", carried string" if kept else ""),
         outputMode="Append",
         timeMode="EventTime",
     )

@@ -33,6 +33,31 @@ def test_flood_stream(spark, tmp_path):
     assert {r.order_id: (r.prior, r.held) for r in out.collect()} == brute_flood(rows, 4, 300)
 
 
+def test_late_rows_come_out_once(spark, tmp_path):
+    """Rows past the watermark go to a sink of their own, and no row is lost or judged by them."""
+    rnd = random.Random(9)
+    at = [rnd.randrange(3_000) for _ in range(400)]
+    rows = [(f"a{i % 2}", us * 1_000_000, i, i % 4 != 0) for i, us in enumerate(at)]
+    df = spark.createDataFrame(rows, "actor string, us bigint, id int, low boolean").withColumn("at", F.timestamp_micros("us"))
+    stream = feed(spark, df, str(tmp_path / "in"), "id", [(0, 100), (100, 250), (250, 400)])
+    marked = stream_flood.flood_stream(stream, "actor", "at", "id", F.col("low"), 4, 300, "10 minutes")
+    root = str(tmp_path / "out")
+    job = marked.writeStream.foreachBatch(lambda b, n: stream_flood.split_late(b, n, root)).option("checkpointLocation", f"{root}/cp")
+    job.trigger(availableNow=True).start().awaitTermination()
+    judged, late = spark.read.parquet(f"{root}/judged").collect(), spark.read.parquet(f"{root}/late").collect()
+    assert sorted([r.order_id for r in judged] + [r.order_id for r in late]) == list(range(400))
+    marks = {0: 0}  # watermark by batch, from the batches before it
+    for n, (lo, hi) in enumerate([(0, 100), (100, 250)], 1):
+        marks[n] = max(marks[n - 1], max(at[lo:hi]) - 600)
+    batch_of = lambda i: 0 if i < 100 else 1 if i < 250 else 2
+    want = {i for i, sec in enumerate(at) if batch_of(i) and sec <= marks[batch_of(i)]}
+    assert {r.order_id for r in late} == want and len(want) > 50
+    assert all(r.missed.timestamp() == marks[batch_of(r.order_id)] and r.held == rows[r.order_id][3] for r in late)
+    kept = [r for r in rows if r[2] not in want and batch_of(r[2]) == 0]
+    first = {r.order_id: (r.prior, r.held) for r in judged if batch_of(r.order_id) == 0}
+    assert first == brute_flood(kept, 4, 300)
+
+
 def test_chain_stream(spark, tmp_path):
     df = records(spark)
     stream = feed(spark, df, str(tmp_path / "in"), "chain_seq", [(0, 20), (20, 41), (41, 99)])
