@@ -15,7 +15,7 @@ from ..sources import archive, markdown
 from ..streaming.common import fresh_path
 from ..streaming.inbox import self_conflicts
 from .records import DIST, QUEUE_SQL, RE2_INJECTION, queue
-from .registry import query
+from .registry import ORACLES, query
 from .search import WRAP
 from .views import A, EVENTS_NOW, KEYRING, M, NOW, audit, events, memory, table, vectors
 
@@ -423,6 +423,12 @@ def import_outcomes(spark, sf):
     )
 
 
+@query(f"SELECT outcome, count(*) AS n FROM ({ORACLES['import_outcomes']}) GROUP BY 1")
+def import_outcome_counts(spark, sf):
+    """How many lines of the archive came to which end."""
+    return archive.outcome_counts(import_outcomes(spark, sf))
+
+
 # --- rules as records ---
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import trust as tr
-from ..operators import conflict, flood, hooks, ingest, insights, reports
+from ..operators import conflict, flood, hooks, ingest, insights, reports, sketches
 from ..sources import archive, markdown
 from ..streaming.common import fresh_path
 from .registry import query
@@ -204,6 +204,27 @@ def latency_overall(spark, sf):
     return reports.nearest_rank(events(spark, sf), "value", [], {"p50": 0.5, "p99": 0.99})
 
 
+@query(
+    """SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS distinct_in_bound, true AS p50_in_bound, true AS p95_in_bound FROM events GROUP BY 1"""
+)
+def sketched_percentiles(spark, sf):
+    """Users and percentiles by event type from stored daily sketches, held against the exact counts and ranks."""
+    rows, path, ps = events(spark, sf), fresh_path(spark, "sketches"), {"p50": 0.5, "p95": 0.95}
+    sketches.store(sketches.daily(rows, "ts", ["event_type"], "user_id", "value"), path)
+    near = sketches.merged(sketches.stored(spark, path), ["event_type"], ps)
+    exact = rows.join(F.broadcast(near.select("event_type", *ps)), "event_type").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.count("value").alias("valued"),
+        *[F.count_if(F.col("value") < F.col(p)).alias(f"below_{p}") for p in ps], *[F.count_if(F.col("value") <= F.col(p)).alias(f"upto_{p}") for p in ps],
+    )
+    off = F.abs(F.col("distinct_items") - F.col("users")) <= sketches.DISTINCT_ERROR * F.col("users")
+    # Equal values share their ranks: one of them has to be within the bound.
+    ranked = [
+        ((F.col(f"below_{p}") / F.col("valued") <= share + sketches.RANK_ERROR) & (F.col(f"upto_{p}") / F.col("valued") >= share - sketches.RANK_ERROR)).alias(f"{p}_in_bound")
+        for p, share in ps.items()
+    ]
+    return near.join(exact, "event_type").select("event_type", "n", "users", off.alias("distinct_in_bound"), *ranked)
+
+
 # --- screening and classification ---
 
 RE2_INJECTION = "|".join(

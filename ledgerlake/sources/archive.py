@@ -132,10 +132,10 @@ def check_manifest(spark: SparkSession, path: str) -> dict:
     return found
 
 
-def _parsed(lines: DataFrameReader, path: str) -> DataFrame:
+def _parsed(lines: DataFrameReader, path: str, more: str = "") -> DataFrame:
     """Records of JSON lines, each with a number of its own in `_row`, written once: every later step sees the same."""
     rows = (
-        lines.schema(ARCHIVE_RECORD)
+        lines.schema(ARCHIVE_RECORD + more)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
@@ -179,14 +179,19 @@ def write_stream(
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an archive in one stream, a file or a folder of parts. Exactly one line is the manifest."""
+    """Records of an archive in one stream, a file or a folder of parts. Exactly one line is the manifest.
+
+    A line without content that isn't redacted is no record: it stays, with the reason in `_corrupt`.
+    """
     found = spark.read.text(path).withColumn("version", F.get_json_object("value", "$.schema_version"))
     heads = found.filter("version IS NOT NULL AND get_json_object(value, '$.exported_at') IS NOT NULL").limit(2).collect()
     if len(heads) != 1:
         raise ValueError("archive needs exactly one manifest line")
     if json.loads(heads[0]["value"])["schema_version"] != ARCHIVE_SCHEMA_VERSION:
         raise ValueError(f"unsupported schema_version {heads[0]['version']!r}")
-    return _parsed(spark.read, path).filter("schema_version IS NULL OR content IS NOT NULL")
+    rows = _parsed(spark.read, path, ", exported_at string").filter("schema_version IS NULL OR exported_at IS NULL").drop("exported_at")
+    bare = F.col("content").isNull() & ~F.coalesce("redacted", F.lit(False))
+    return rows.withColumn("_corrupt", F.coalesce("_corrupt", F.when(bare, F.lit("record without content"))))
 
 
 def own_signature(keyring: Mapping[str, str], key_id: str) -> Column:

@@ -476,3 +476,9 @@ def test_providers_see_texts_only(spark):
     assert list(got) == pytest.approx([want[i % 32] for i in range(40)])
     pairs = spark.createDataFrame([(1, 2, "a", "bcd")], "query_id int, id int, query string, content string")
     assert hooks.score_pairs(pairs, lambda qs, cs: [len(q) / len(c) for q, c in zip(qs, cs)]).first().score == pytest.approx(1 / 3)
+
+
+def test_precedent_listing(spark):
+    rows = [("b", 3, 0.5), ("a", 3, 0.5), ("c", 3, 0.9), ("d", 7, 0.3)]
+    df = spark.createDataFrame(rows, "pattern_hash string, applied_count long, confidence double")
+    assert [r.pattern_hash for r in precedent.listing(df).collect()] == ["d", "c", "a", "b"]

@@ -117,6 +117,11 @@ def test_archive_in_one_stream(spark, tmp_path):
     assert [e["action"] for e in found["audit_trail"]] == ["created", "searched"] and found["chain_id"] == "c"
     back = archive.read_stream(spark, path)
     assert back.count() == rows.count()
+    bad = str(tmp_path / "bad")
+    lines = [text[0], text[1], '{"id": "r9", "schema_version": "1.0", "content": null}', "{no json"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(bad)
+    counts = {r.outcome: r.n for r in archive.outcome_counts(archive.route_import(archive.read_stream(spark, bad), KEYS, "k1")).collect()}
+    assert counts == {"imported": 1, "error": 2}
     routed = archive.route_import(back, KEYS, "k1")
     done = archive.import_records(routed, [], 64, hooks.hash_embedder(64).apply, KEYS, "k1")
     good = done.filter("reject_reason IS NULL")
