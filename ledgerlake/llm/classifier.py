@@ -14,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.scratch import written
 
 #: The most labelled documents to learn from: those least by hash of their id.
 LABELLED = 4000
+LABELLED_FEATURES = 1 << 26  # at most 8 bytes each on the driver; short of it unless texts average above 2,800 characters
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 EPOCHS = 5
@@ -143,8 +144,11 @@ def is_held_out(key: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = LABELLED) -> Scorer:
     """A scorer for label 1 against 0, from at most `most` labelled keys that aren't held out.
 
-    A key with two different labels, a null key and any label but 0 and 1 are left out. Rows of a
-    key with several texts each count. Without labelled documents every score is one half.
+    A key with two different labels, a null key and any label but 0 and 1 are left out. Different
+    texts of a key each count, the same one counts once, and there are at most `most` in all. Of those, in the
+    order of a hash, the first are taken whose features, at most six a character and `BUCKETS` a text, come to
+    `LABELLED_FEATURES`; so neither a key with very many rows nor long texts fill the driver. Without
+    labelled documents every score is one half.
     """
     own = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where("__key is not null and __y in (0, 1)")
     own = own.where(~is_held_out(F.col("__key"))).groupBy("__key").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z")
@@ -157,8 +161,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
             [pa.array([r.tobytes() for r, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], names=["rows", "counts"]
         )
 
-    joined = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), F.col("__id") == F.col("__key"))
-    rows = joined.select("__key", "__y", features("__text").alias("f")).select("__key", "__y", "f.rows", "f.counts").toLocalIterator()
+    own = docs.select(F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("__text"))
+    met = own.join(F.broadcast(drawn), F.col("__id") == F.col("__key")).groupBy("__key", "__h").agg(
+        F.min("__y").alias("__y"), F.max(F.coalesce(F.length("__text"), F.lit(0))).alias("__n")
+    )
+    first = met.orderBy(F.xxhash64("__key"), "__key", "__h").limit(most).withColumn("__n", F.least(6 * F.col("__n").cast("bigint"), F.lit(BUCKETS)))
+    upto = F.sum("__n").over(Window.orderBy(F.xxhash64("__key"), "__key", "__h").rowsBetween(Window.unboundedPreceding, 0))
+    picked = written(first.withColumn("__upto", upto).where(F.col("__upto") <= LABELLED_FEATURES).select("__key", F.col("__h").alias("__hash"), "__y"))
+    chosen = own.join(F.broadcast(picked), (F.col("__id") == F.col("__key")) & (F.col("__h") == F.col("__hash")))
+    once = chosen.select("__key", "__h", "__y", features("__text").alias("f")).groupBy("__key", "__h").agg(F.first("__y").alias("__y"), F.first("f").alias("f"))
+    rows = once.select("__key", "__y", "f.rows", "f.counts").toLocalIterator()
     samples = [(r["__key"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.float32), r["__y"]) for r in rows]
     samples.sort(key=lambda s: (str(s[0]), s[1].tobytes(), s[2].tobytes()))
     if not samples:

@@ -156,3 +156,19 @@ def test_classifier_on_held_out_documents(spark):
 ])
 def test_text_that_is_kept(page, want):
     assert [b.text for b in blocks_of(page)] == want
+
+
+def test_labelled_rows_on_the_driver_are_bounded(spark, monkeypatch):
+    """A labelled key with very many rows, repeats and long texts: the driver sees each text once, and no more than the bounds."""
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda samples: seen.append(len(samples)) or (np.zeros((classifier.BUCKETS, 2)), np.zeros((2, 2)), np.zeros(2)))
+    rows = [(1, f"text number {k % 40} of one key") for k in range(400)] + [(k, f"own text {k}") for k in range(2, 60)] + [(61, None), (62, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(1, 63)], "doc_id long, quality int")
+    free = {k for k in range(1, 63) if zlib.crc32(str(k).encode()) % 5}
+    want = len({r for r in rows if r[0] in free})
+    classifier.learn(docs, marks, "quality")
+    classifier.learn(docs, marks, "quality", most=20)
+    monkeypatch.setattr(classifier, "LABELLED_FEATURES", 600)
+    classifier.learn(docs, marks, "quality")
+    assert seen[0] == want and seen[1] <= 20 and 0 < seen[2] <= 600 / 6 / 10 + 2
