@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import chain, hooks, precedent
+from ledgerlake.plans.streams import table_stream
 from ledgerlake.streaming import chain as stream_chain
 from ledgerlake.streaming import flood as stream_flood
 from ledgerlake.streaming import inbox as stream_inbox
@@ -145,3 +146,15 @@ def test_inbox_stream(spark, tmp_path):
     assert flagged.injection_flagged and flagged.trust_score == 0.3
     assert chain.verify(done, KEYS).first().chain_valid
     assert spark.read.parquet(f"{root}/mentions").filter("name = 'Ann Lee'").count() == 1
+
+
+def test_a_table_is_a_stream_as_file_and_as_folder(spark, tmp_path):
+    """A name filter on files found none of a folder's, so the streams of grown tables were empty."""
+    df = spark.range(40).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    df.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        out = run_available(table_stream(spark, str(tmp_path / kind), "documents"), kind)
+        assert sorted(r.id for r in out.collect()) == list(range(40))
