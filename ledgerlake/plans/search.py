@@ -223,7 +223,7 @@ DIST = "list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 def knn_self(spark, sf):
     """Five nearest other vectors of every vector, by the plan for two large sides."""
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = knn.self_nearest(emb, 5, scan_probes=0, pivots=16, block_rows=512)
+    near = knn.self_nearest(emb, 5, scan_probes=0)
     return near.withColumn("distance", F.round("distance", 6))
 
 

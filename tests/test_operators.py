@@ -482,3 +482,15 @@ def test_precedent_listing(spark):
     rows = [("b", 3, 0.5), ("a", 3, 0.5), ("c", 3, 0.9), ("d", 7, 0.3)]
     df = spark.createDataFrame(rows, "pattern_hash string, applied_count long, confidence double")
     assert [r.pattern_hash for r in precedent.listing(df).collect()] == ["d", "c", "a", "b"]
+
+
+def test_neighbours_with_text_ids(spark):
+    """Columns of texts came out of the two-sided plan in several chunks, which Spark refuses."""
+    found = knn._best(
+        np.array(["p", "q"], object), np.eye(2), np.array(["a", "b", "c"], object), np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]), 2, None, np.full(2, np.inf)
+    )
+    assert found["probe_id"].dtype == object and found["id"].dtype == object
+    assert [tuple(r) for r in found[["probe_id", "id"]].itertuples(index=False)] == [("p", "a"), ("p", "c"), ("q", "b"), ("q", "a")]
+    probes = spark.createDataFrame([(f"p{i}", [float(i % 7), 1.0]) for i in range(60)], "probe_id string, vector array<float>")
+    got = knn.nearest(probes, probes.withColumnRenamed("probe_id", "id"), 1, scan_probes=0, pivots=3, block_rows=8).collect()
+    assert {(r.probe_id, r.id) for r in got} == {(f"p{i}", min(f"p{j}" for j in range(i % 7, 60, 7))) for i in range(60)}
