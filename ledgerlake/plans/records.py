@@ -392,7 +392,8 @@ def _firsts(sql: str) -> str:
 def inbox_entities(spark, sf):
     """Names in every record, opened by a statement that holds some; one listed name is added."""
     said = memory(spark, sf).withColumn("said", F.expr("concat('by @', source_agent, ' and Ann Lee, ', source_agent, ' in DataLake: ', content)"))
-    found = tx.inbox_entities(F.concat("said", F.lit(" The LAKE.")), {"projects": ["the lake", "the sea"]})
+    # The full stop keeps the last word of the record and the first of the statement from being read as one name.
+    found = tx.inbox_entities(F.concat("said", F.lit(". The LAKE.")), {"projects": ["the lake", "the sea"]})
     return said.select("id", *[F.array_join(v, ",").alias(k) for k, v in found.items()])
 
 
