@@ -192,3 +192,26 @@ def test_inbox_entities_like_findall(spark):
 @pytest.mark.parametrize("value", [-1, 0, 7, 299_999_999, 2**62 + 5, -(2**61)])
 def test_floor_div(spark, value):
     assert one(spark, trust.floor_div(F.lit(value), 300_000_000)) == value // 300_000_000
+
+
+def test_two_places_are_those_of_the_double(spark):
+    """0.495 is a little below its text; Java's formatter gave 0.50."""
+    values = [0.5 * 0.99, 0.125, 0.375, 0.625, 0.29, 0.285, 1.0, 0.0, 1.005, *[n / 200 for n in range(201)], *[0.3 * 0.99**k for k in range(40)]]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", trust.two_places(F.col("v")).alias("t")).collect()
+    want = {k: "%.2f" % v for k, v in enumerate(values) if v <= 1}
+    assert {r.k: r.t for r in got if r.k in want} == want
+
+
+def test_importance_at_a_threshold(spark):
+    """0.4 * 0.82 + 0.4 * 0.9 + 0.2 * 0.81 is 0.85, which isn't above it; the product of doubles was."""
+    row = spark.createDataFrame([("x" * 405, "preference", 0.82)], "c string, t string, s double")
+    value = tx.importance(F.col("c"), F.col("t"), F.col("s"))
+    assert tuple(row.select(value.alias("v"), tx.urgency(F.lit("durable"), value).alias("u")).first()) == (0.85, "medium")
+
+
+def test_the_last_word_of_a_record_is_no_name(spark, tmp_path):
+    """Text that ends in a capitalised word ran into the statement put behind it and gave 'Rent The'."""
+    from ledgerlake.plans.records import inbox_entities
+
+    spark.createDataFrame([(1, "and then Rent", "en", "src1", 13)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    assert inbox_entities(spark, str(tmp_path)).select("people", "projects").first() == ("src1,Ann Lee", "DataLake,the lake")
