@@ -15,19 +15,23 @@ from ..schema import FLOOD_LIMIT, FLOOD_WINDOW_SECONDS
 from .common import use_rocksdb, write_batch
 
 
+#: Actors are dealt over so many groups, so the number of keys follows the spans and not the actors.
+GROUPS = 256
+
+
 class _Window(StatefulProcessor):
-    """State of one (actor, span): low-trust submission times of two window widths."""
+    """State of one (group of actors, span): low-trust submission times of two window widths, by actor."""
 
     def __init__(self, width: int, limit: int, carry: bool):
         self.width, self.limit, self.carry = width, limit, carry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "us bigint")
+        self.times = handle.getListState("times", "actor string, us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        actor, span = key
-        batch = pd.concat(list(rows)).sort_values(["us", "order_id"], kind="stable")
+        _, span = key
+        batch = pd.concat(list(rows)).sort_values(["us", "order_id"], kind="stable", ignore_index=True)
         mark = int(timerValues.getCurrentWatermarkInMs())
         missed = batch["us"].to_numpy(dtype=np.int64) <= mark * 1000
         if missed.any():
@@ -35,37 +39,42 @@ class _Window(StatefulProcessor):
             batch = batch[~missed]
             if len(over):
                 held = (over["low"].to_numpy() == 1) & (self.limit > 0)
-                yield self._out(actor, over, [None] * len(over), held, [pd.Timestamp(mark, unit="ms", tz="UTC")] * len(over))
+                yield self._out(over, [None] * len(over), held, [pd.Timestamp(mark, unit="ms", tz="UTC")] * len(over))
             if not len(batch):
                 return
-        before = np.array([t[0] for t in self.times.get()], dtype=np.int64)
+        known = list(self.times.get())
         low = batch[batch["low"] == 1]
-        new = low["us"].to_numpy(dtype=np.int64)
-        every = np.sort(np.concatenate([before, new]))
-        if len(new):
-            self.times.appendList([(int(t),) for t in new])
+        if len(low):
+            self.times.appendList([(None if pd.isna(actor) else actor, int(us)) for actor, us in zip(low["actor"].tolist(), low["us"])])
         self.handle.registerTimer(int((span + 2) * self.width // 1000))
-        own = batch[batch["own"]]
+        own = batch[batch["own"].astype(bool)]
         if not len(own):
             return
-        at = own["us"].to_numpy(dtype=np.int64)
+        # Times of all actors in one row: each actor has a stretch of its own, wider than three windows.
+        everyone = pd.concat([own["actor"], low["actor"], pd.Series([t[0] for t in known], dtype=own["actor"].dtype)], ignore_index=True)
+        code = pd.factorize(everyone, use_na_sentinel=False)[0].astype(np.int64)
+        first = (span - 2) * self.width
+        stretch = 6 * self.width
+        at = code[: len(own)] * stretch + own["us"].to_numpy(dtype=np.int64) - first
+        new = code[len(own) : len(own) + len(low)] * stretch + low["us"].to_numpy(dtype=np.int64) - first
+        before = code[len(own) + len(low) :] * stretch + np.array([t[1] for t in known], dtype=np.int64) - first
+        every = np.sort(np.concatenate([before, new]))
         upto = np.searchsorted(every, at, side="right")
         start = np.searchsorted(every, at - self.width, side="left")
-        peers = low.groupby("us")["order_id"].apply(np.sort).to_dict()
-        later = np.array(
-            [len(p) - np.searchsorted(p, o) if (p := peers.get(t)) is not None else 0
-             for t, o in zip(at, own["order_id"])],
-            dtype=np.int64,
-        )
+        # Low-trust rows of this batch at the time of a row that have its id (itself) or a larger one.
+        peers = pd.DataFrame({"at": np.concatenate([at, new]), "id": pd.concat([own["order_id"], low["order_id"]], ignore_index=True), "new": np.repeat([0, 1], [len(at), len(new)])})
+        peers = peers.sort_values(["at", "id", "new"], ascending=[True, False, False], kind="stable")
+        above = peers.groupby("at")["new"].cumsum() - peers["new"]
+        later = above[peers["new"] == 0].sort_index().to_numpy(dtype=np.int64)
         prior = upto - start - later
         held = (own["low"].to_numpy() == 1) & (prior >= self.limit) & (self.limit > 0)
-        yield self._out(actor, own, prior, held, [None] * len(own))
+        yield self._out(own, prior, held, [None] * len(own))
 
-    def _out(self, actor, own: pd.DataFrame, prior, held, missed: list) -> pd.DataFrame:
+    def _out(self, own: pd.DataFrame, prior, held, missed: list) -> pd.DataFrame:
         more = {"carried": own["carried"].to_numpy()} if self.carry else {}
         return pd.DataFrame(
             {
-                "actor": actor, "order_id": own["order_id"].to_numpy(), "prior": pd.Series(prior, dtype="Int64").to_numpy(dtype=object),
+                "actor": own["actor"].to_numpy(), "order_id": own["order_id"].to_numpy(), "prior": pd.Series(prior, dtype="Int64").to_numpy(dtype=object),
                 "held": held, "missed": pd.Series(missed, dtype="datetime64[us, UTC]"), **more,
             }
         )
@@ -95,8 +104,8 @@ def flood_stream(
     lateness: str = "10 minutes",
     carry: Column | None = None,
 ) -> DataFrame:
-    """(actor, order_id, prior, held, missed), every row once. State is keyed by (actor, span), two windows
-    wide at most, so a busy actor is spread over tasks and old state expires with the watermark.
+    """(actor, order_id, prior, held, missed), every row once. State is keyed by (group of actors, span), two windows
+    wide at most, so a busy actor is spread over tasks, rare ones share a call, and old state expires with the watermark.
 
     A row that isn't later than the watermark (the latest time of all earlier batches, less
     `lateness`) comes out too: `missed` is that watermark, null for all others. It counts for no window, has no
@@ -119,7 +128,8 @@ def flood_stream(
     kept = [] if carry is None else ["carried"]
     routed = (
         events.select(
-            F.col(actor).alias("actor"),
+            # As text: rows of several keys come in one batch, where a missing number makes doubles of the others.
+            F.col(actor).cast("string").alias("actor"),
             F.col(order_id).alias("order_id"),
             F.col(submitted).cast("timestamp").alias("at"),
             low.cast("int").alias("low"),
@@ -130,11 +140,12 @@ def flood_stream(
         .select("actor", "order_id", us.alias("us"), "low", *kept, F.explode(visits).alias("v"))
         .select("actor", "order_id", "us", "low", "v.span", "v.own", *own_text)
     )
-    actor_type = routed.schema["actor"].dataType.simpleString()
+    actor_type = events.select(actor).schema[0].dataType.simpleString()
     id_type = routed.schema["order_id"].dataType.simpleString()
-    return routed.groupBy("actor", "span").transformWithStateInPandas(
+    group = F.pmod(F.xxhash64("actor"), F.lit(GROUPS)).cast("int")
+    return routed.withColumn("actors", group).groupBy("actors", "span").transformWithStateInPandas(
         statefulProcessor=_Window(width, limit, carry is not None),
-        outputStructType=f"actor {actor_type}, order_id {id_type}, prior bigint, held boolean, missed timestamp" + (", carried string" if kept else ""),
+        outputStructType=f"actor string, order_id {id_type}, prior bigint, held boolean, missed timestamp" + (", carried string" if kept else ""),
         outputMode="Append",
         timeMode="EventTime",
-    )
+    ).withColumn("actor", F.col("actor").cast(actor_type))

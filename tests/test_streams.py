@@ -158,3 +158,15 @@ def test_a_table_is_a_stream_as_file_and_as_folder(spark, tmp_path):
     for kind in ("folder", "file"):
         out = run_available(table_stream(spark, str(tmp_path / kind), "documents"), kind)
         assert sorted(r.id for r in out.collect()) == list(range(40))
+
+
+def test_flood_stream_of_many_actors_has_few_states(spark, tmp_path):
+    """Each actor had a state of its own for every span; whole numbers stay exact beside rows without an actor."""
+    rows = [(None if i % 50 == 0 else 2**60 + i % 40, 3_600_000_000 + 1_000_000 * (i // 4), i, True) for i in range(400)]
+    df = spark.createDataFrame(rows, "actor bigint, us bigint, id int, low boolean").withColumn("at", F.timestamp_micros("us"))
+    stream = feed(spark, df, str(tmp_path / "in"), "id", [(0, 200), (200, 400)])
+    marked = stream_flood.flood_stream(stream, "actor", "at", "id", F.col("low"), 2, 300, "1 hour")
+    assert "actors" in marked._jdf.queryExecution().analyzed().toString()
+    out = run_available(marked, "many").collect()
+    assert {r.order_id: (r.prior, r.held) for r in out} == brute_flood(rows, 2, 300)
+    assert {r.order_id: r.actor for r in out} == {i: a for a, _, i, _ in rows}
