@@ -21,7 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more), that with the least id."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more), that with the least id.
+
+    Candidates come from SimHash fingerprints in vantage-point trees, and from min-hash bands where fingerprints lie further apart.
+    """
     return shingles.deduplicated(docs)
 
 

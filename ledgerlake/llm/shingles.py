@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands for the candidates, whole shingle sets for the links.
-
-A document is the set of its shingles' hashes; equal sets are one node. A node stands in one bucket
-for each of BANDS groups of ROWS min-hashes. Two sets of similarity s share a bucket but for a chance
-of (1 - s^ROWS)^BANDS, which is 4 in a million at 0.8 and less above. Buckets with the same
-members are one. In a bucket, sets are compared whole, so every link holds.
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands for the candidates,
+whole shingle sets for the links.
+
+A document is the set of its shingles' hashes; equal sets are one node. The SimHash fingerprints of the
+sets meet in vantage-point trees (`simhash.near_links`), and what hangs together within BITS bits is one
+bucket. At a similarity of 0.8 two fingerprints differ in some ten bits, more than the trees find, so a
+node also stands in one bucket for each of BANDS groups of ROWS min-hashes. Two sets of similarity s share
+one of these but for a chance of (1 - s^ROWS)^BANDS, which is 4 in a million at 0.8 and less above. Buckets
+with the same members are one. In a bucket, sets are compared whole, so every link holds.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm import simhash
 from ledgerlake.llm.components import components
 from ledgerlake.llm.scratch import drop, written
-from ledgerlake.llm.simhash import least_rows
 
 BANDS, ROWS = 24, 4
+#: Bits within which fingerprints meet: the most that the trees over 16-bit parts find.
+BITS = 7
 #: Shingles of a block: a bucket with more is cut into blocks, and each two blocks meet in a group of their own.
 BLOCK = 400_000
 #: A table of up to so many longs travels to all tasks.
@@ -65,19 +70,19 @@ def node_of(own: np.ndarray) -> int:
 
 
 def sketch(text: Column | str, shingle: int) -> Column:
-    """(node, size, bands) of a text: the hash of its set, the size of that, and its band keys."""
+    """(node, size, fp, bands) of a text: the hash of its set, the size of that, its fingerprint, and its band keys."""
 
-    @F.arrow_udf("struct<node: bigint, size: int, bands: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, size: int, fp: bigint, bands: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        nodes, sizes, bands = np.empty(len(texts), np.uint64), np.empty(len(texts), np.int32), []
+        nodes, prints, sizes, bands = np.empty(len(texts), np.uint64), np.empty(len(texts), np.uint64), np.empty(len(texts), np.int32), []
         for row, value in enumerate(texts):
             own = shingle_set(value.as_py(), shingle)
-            nodes[row], sizes[row] = node_of(own), len(own)
+            nodes[row], sizes[row], prints[row] = node_of(own), len(own), simhash.majority(own)
             bands.append(band_keys(own).view(np.int64))
         ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
         flat = np.concatenate([np.empty(0, np.int64), *bands])
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes), lists], names=["node", "size", "bands"])
+        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(prints.view(np.int64)), lists], names=["node", "size", "fp", "bands"])
 
     return of(text)
 
@@ -108,13 +113,29 @@ def _travels(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+def fingerprint_buckets(nodes: DataFrame) -> DataFrame:
+    """(node, size, bucket) of nodes (node, size, fp) whose fingerprint hangs together with another one, or is another node's too."""
+    prints = written(nodes.where("size > 0").groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    links = simhash.near_links(prints, BITS)
+    roots = written(components(links, "a", "b"))
+    drop(links)
+    met = prints.join(roots, prints["fp"] == roots["node"], "left").where("n > 1 OR root IS NOT NULL")
+    met = written(met.select(F.col("fp").alias("own"), F.xxhash64(F.coalesce("root", "fp"), F.lit("fingerprint")).alias("bucket")))
+    drop(prints)
+    drop(roots)
+    found = written(nodes.where("size > 0").join(_travels(met), F.col("fp") == F.col("own")).select("node", "size", "bucket"))
+    drop(met)
+    return found
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between nodes whose closure is that of all similar pairs that share a bucket. A group gives
     a star for each of its components, so m near copies give m links for a bucket.
 
-    docs: texts with __row; nodes: (node, size, bands, row), where row names a document with that set.
+    docs: texts with __row; nodes: (node, size, fp, bands, row), where row names a document with that set.
     """
-    standing = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    alike = fingerprint_buckets(nodes)
+    standing = alike.unionByName(nodes.select("node", "size", F.explode("bands").alias("bucket")))
     members = standing.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("bigint")).alias("shingles"), F.min("node").alias("lo"), F.max("node").alias("hi"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"),
@@ -157,7 +178,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, text: str, shingle: int, simil
 
     groups = dealt.join(sets, "node").select("bucket", "i", "j", "node", "set").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     links = written(groups.mapInArrow(link, "a bigint, b bigint"))
-    for table in (shared, met, asked, sets):
+    for table in (alike, shared, met, asked, sets):
         drop(table)
     return links
 
@@ -169,11 +190,11 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     marked = docs.withColumn("__row", F.xxhash64(*[f"`{c}`" for c in docs.columns]))
     found = marked.select(F.col(f"`{key}`").alias("__key"), "__row", sketch(F.col(f"`{text}`"), shingle).alias("s"))
     prints = written(found.select("__key", "__row", "s.*"))
-    nodes = written(prints.groupBy("node", "size", "bands").agg(F.min("__row").alias("row")))
+    nodes = written(prints.groupBy("node", "size", "fp", "bands").agg(F.min("__row").alias("row")))
     links = near_links(marked, nodes, text, shingle, similarity, block)
     drop(nodes)
     roots = written(components(links, "a", "b"))
     drop(links)
     own = prints.select("__key", "__row", F.col("node").alias("own"))
     rooted = own.join(roots, own["own"] == roots["node"], "left").select("__key", "__row", F.coalesce("root", "own").alias("root"))
-    return least_rows(docs, rooted, key)
+    return simhash.least_rows(docs, rooted, key)

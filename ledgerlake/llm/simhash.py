@@ -45,7 +45,11 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    hashes = np.array([hashed(joined[s:e], 42) for s, e in spans], dtype="<u8")
+    return majority(np.array([hashed(joined[s:e], 42) for s, e in spans], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero of none."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 16384):
         bits = np.unpackbits(hashes[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlake.llm import shingles
@@ -58,5 +59,23 @@ def test_stage_takes_similarity_of_four_fifths(spark):
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == len(set(plain_groups(texts)))
 
 
+def test_fingerprints_find_copies_without_bands(spark):
+    """SimHash is a step of its own: sets that are similar and within BITS bits are linked though no band brings them together."""
+    texts = list(dict.fromkeys(t for t in copies() if t and len(t.split()) > 50))[:100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("__row", F.col("doc_id").cast("bigint"))
+    nodes = docs.select(F.col("__row").alias("row"), shingles.sketch("text", 5).alias("s")).select("row", "s.*")
+    place = {r.node: r.row for r in nodes.collect()}
+    sets, prints = [plain_set(t) for t in texts], {r.row: r.fp for r in nodes.collect()}
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if near(i, j) and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= shingles.BITS}
+    found = shingles.near_links(docs, nodes.withColumn("bands", F.array().cast("array<bigint>")), "text", 5, 0.8).collect()
+    label = {k: k for k in range(len(texts))}
+    for a, b in ((place[r.a], place[r.b]) for r in found):
+        label = {k: label[b] if v == label[a] else v for k, v in label.items()}
+    wanted = plain_groups(texts)
+    assert len(close) > 20 and all(label[i] == label[j] for i, j in close)
+    assert all(wanted[i] == wanted[j] for i in label for j in label if label[i] == label[j])
+
+
 def test_empty(spark):
     assert shingles.deduplicated(spark.createDataFrame([], "doc_id int, text string")).count() == 0
