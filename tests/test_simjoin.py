@@ -57,6 +57,20 @@ def test_neighbours_with_copies(spark):
     assert {(r.id, r["rank"]): r.neighbour_id for r in got} == want
 
 
+@pytest.mark.parametrize("cell_rows, block_rows", [(1000, 40), (16, 10), (1000, None)])
+def test_blocks_keep_the_k_best_only(spark, monkeypatch, cell_rows, block_rows):
+    """Where nearly all pairs are below the threshold, a comparison of blocks gives k rows for each of its rows at most."""
+    vectors, k, limit, kept = clustered(200, 5, 0.8, seed=8), 3, 0.95, []
+    first_n, cut = simjoin.first_n, simjoin.cut_lineage
+    monkeypatch.setattr(simjoin, "first_n", lambda df, *a, **b: (kept.append(df), first_n(df, *a, **b))[1])
+    monkeypatch.setattr(simjoin, "cut_lineage", lambda df: (kept.append(df), cut(df))[1])
+    got = simjoin.neighbours_within(frame(spark, vectors), k, limit, cell_rows=cell_rows, block_rows=block_rows).collect()
+    near = brute(vectors, limit)
+    lists = {i: sorted((d, a + b - i) for (a, b), d in near.items() if i in (a, b))[:k] for i in range(len(vectors))}
+    assert {(r.id, r["rank"]): r.neighbour_id for r in got} == {(i, n + 1): j for i, own in lists.items() for n, (_, j) in enumerate(own)}
+    assert len(near) > 5_000 and (cell_rows == 16 or max(df.count() for df in kept) < len(near))
+
+
 def test_candidates_follow_the_threshold(spark):
     """Twice the rows in twice the clusters: twice the candidates, a small part of all pairs."""
     shares = []
