@@ -494,3 +494,14 @@ def test_neighbours_with_text_ids(spark):
     probes = spark.createDataFrame([(f"p{i}", [float(i % 7), 1.0]) for i in range(60)], "probe_id string, vector array<float>")
     got = knn.nearest(probes, probes.withColumnRenamed("probe_id", "id"), 1, scan_probes=0, pivots=3, block_rows=8).collect()
     assert {(r.probe_id, r.id) for r in got} == {(f"p{i}", min(f"p{j}" for j in range(i % 7, 60, 7))) for i in range(60)}
+
+
+def test_loose_bounds_leave_few_pairs_to_measure():
+    """A bound that rules nothing out left every pair of a block to be measured in double precision."""
+    rng = np.random.default_rng(5)
+    left, right = (knn._unit(rng.normal(size=(n, 8))) for n in (700, 5_000))
+    row, column = knn._near_rows(left, right, 3, np.full(700, 2.0))
+    assert len(row) < 700 * 5
+    want = np.argsort(-(left @ right.T), axis=1)[:, :3]
+    got = {(int(r), int(c)) for r, c in zip(row, column)}
+    assert all((r, int(c)) in got for r in range(700) for c in want[r])
