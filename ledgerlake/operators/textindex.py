@@ -13,16 +13,20 @@ where w = 0.1 * sqrt(1 / (1.005 + 0.05 * exp(distance / 1.5 - 2))), or next to n
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem_token
+from ..functions.stem import stem, stem_token
 from ..functions.text import let
 from ..session import cut_lineage
 from .fulltext import TEXT_STOP_WORDS, parse_queries, words
 from .ordering import first_n
 
 BUCKETS = 64
+_RECORDS_AT_ONCE, _STEMS_KEPT = 512, 500_000
 # Fixed values of the rank: weight of a position, pi^2 / 6, the last position and the number of them that count.
 WEIGHT, SQUARES, LAST_POSITION, POSITIONS = 0.1, 1.64493406685, 16_383, 256
 
@@ -37,23 +41,54 @@ def _stems(tokens: DataFrame, stemming: bool) -> DataFrame:
     return distinct.withColumn("stem", stem_token("token") if stemming else F.col("token"))
 
 
+def _record_postings(entries: DataFrame, text: str, stemming: bool) -> DataFrame:
+    """(stem, id, positions) of entries(id, text). A record's postings come from its own row, so nothing is shuffled."""
+    stop = frozenset(TEXT_STOP_WORDS)
+    forms: dict[str, str | None] = {}  # of a task
+
+    def form(word: str) -> str | None:
+        if word not in forms:
+            if len(forms) >= _STEMS_KEPT:
+                forms.clear()
+            forms[word] = None if word in stop else stem(word) if stemming else word
+        return forms[word]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _RECORDS_AT_ONCE):
+                part = batch.slice(at, _RECORDS_AT_ONCE)
+                lists = part.column(1)
+                record = pc.list_parent_indices(lists).to_numpy()
+                starts = np.searchsorted(record, np.arange(len(part)))
+                words_ = lists.flatten().dictionary_encode()
+                stems = pa.array([form(w) for w in words_.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                # Stop words have no code; several words can share one.
+                code = stems.indices.fill_null(-1).to_numpy()[words_.indices.to_numpy()] if len(stems) else np.empty(0, np.int32)
+                kept = np.flatnonzero(code >= 0)
+                kept = kept[np.lexsort((kept, code[kept], record[kept]))]
+                own, word = record[kept], code[kept]
+                new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (word[1:] != word[:-1])][: len(kept)])
+                places = pa.array((kept - starts[own] + 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [stems.dictionary.take(pa.array(word[new])), part.column(0).take(pa.array(own[new])),
+                     pa.ListArray.from_arrays(pa.array(np.r_[new, len(kept)].astype(np.int32)), places)],
+                    names=["stem", "id", "positions"],
+                )
+
+    id_type = entries.schema["id"].dataType.simpleString()
+    listed = entries.select("id", words(F.col(text)).alias("words"))
+    return listed.mapInArrow(run, f"stem string, id {id_type}, positions array<int>")
+
+
 def add_to_index(entries: DataFrame, path: str, text: str = "content", stemming: bool = True, buckets: int = BUCKETS, batch_id: int = 0) -> None:
     """Write the postings of entries(id, text) under `path`; a batch written again takes its own place.
 
     Positions count all words from 1, stop words too, which have no postings. Null texts have none.
     A record belongs to one batch. `stemming` and `buckets` are the same for all batches of an index.
     """
-    found = entries.select("id", F.posexplode(words(F.col(text))).alias("at", "token")).filter(~F.col("token").isin(*TEXT_STOP_WORDS))
-    # Occurrences are gathered by word before they are stemmed, so each distinct word is stemmed once.
-    gathered = cut_lineage(found.groupBy("id", "token").agg(F.collect_list((F.col("at") + 1).cast("int")).alias("at")))
-    postings = (
-        gathered.join(_stems(gathered, stemming), "token")
-        .groupBy("stem", "id")
-        .agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
-        .withColumn("bucket", _bucket(F.col("stem"), buckets))
-    )
-    # A bucket of a batch is one sorted run of files; a hot word's postings may spread over several.
-    laid = postings.repartitionByRange("bucket", "stem", F.xxhash64("id")).sortWithinPartitions("bucket", "stem")
+    postings = _record_postings(entries, text, stemming).withColumn("bucket", _bucket(F.col("stem"), buckets))
+    # The one shuffle of the texts. A bucket of a batch is a sorted run of files; a large one is spread over several.
+    laid = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "stem")
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch_id={batch_id}")
     entries.select("id").write.mode("overwrite").parquet(f"{path}/records/batch_id={batch_id}")
     spark = entries.sparkSession
@@ -125,6 +160,20 @@ def rank(stems: Column, at: Column, all_required: Column) -> Column:
     return let(counted, lambda lists: F.when(all_required, together(lists)).otherwise(lone(lists)))
 
 
+def _leads(plans: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, bucket, stem): the rarest word that each group requires; every word of a query with a group of negated units only."""
+    asked = wanted.select("bucket", "stem").distinct()
+    counts = postings.select("bucket", "stem").join(asked, ["bucket", "stem"]).groupBy("stem").count()
+    groups = plans.select("query_id", "stems", F.posexplode("groups").alias("grp", "units"))
+    needed = groups.withColumn(
+        "needed", F.flatten(F.transform(F.filter("units", lambda u: ~u["negated"]), lambda u: F.transform(u["words"], lambda w: w["stem"])))
+    )
+    each = needed.filter(F.size("needed") > 0).select("query_id", "grp", F.explode("needed").alias("stem"))
+    rarest = each.join(counts, "stem", "left").groupBy("query_id", "grp").agg(F.min_by("stem", F.struct(F.coalesce("count", F.lit(0)), "stem")).alias("stem"))
+    every = needed.filter(F.size("needed") == 0).select("query_id", F.explode("stems").alias("stem"))
+    return rarest.select("query_id", "stem").unionByName(every).distinct().join(wanted, ["query_id", "stem"])
+
+
 def search_index(spark: SparkSession, path: str, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank) of every record that matches one of queries(query_id, query), by the index alone.
 
@@ -142,11 +191,17 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, allowed: Da
         records = records.join(allowed.select("id"), "id", "left_semi")
     if postings is None:
         return records.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", F.lit(0.0).alias("rank")).limit(0)
-    hits = postings.join(wanted, ["bucket", "stem"]).select("query_id", "id", "stem", "positions")
+    # A record meets a query through the rarest word of a group; only then its other postings are of use.
+    leads = cut_lineage(_leads(plans, postings, wanted))
+    led = postings.select("bucket", "stem", "id").join(leads, ["bucket", "stem"]).select("query_id", "id").distinct()
     if allowed is not None:
-        hits = hits.join(allowed.select("id"), "id", "left_semi")
+        led = led.join(allowed.select("id"), "id", "left_semi")
+    led = cut_lineage(led)
+    hits = postings.join(wanted, ["bucket", "stem"]).select("query_id", "id", "stem", "positions").join(led, ["query_id", "id"], "left_semi")
     # Cheap first: without positions, does the record have a word of each required unit of some group?
-    met = hits.groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "positions"))).alias("at"))
+    # Rows of one id, should there be several, count as one record.
+    once = hits.repartition("query_id", "id").groupBy("query_id", "id", "stem").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    met = once.groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "positions"))).alias("at"))
     judged = met.join(plans, "query_id").filter(matches(F.col("groups"), F.col("at")))
     found = judged.select("query_id", "id", rank(F.col("stems"), F.col("at"), F.col("all_required")).alias("rank"))
     free = plans.filter(F.exists("groups", lambda units: F.forall(units, lambda u: u["negated"])))

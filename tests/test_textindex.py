@@ -98,3 +98,42 @@ def test_a_search_reads_only_its_own_folders(spark, tmp_path):
     found = textindex.search_index(spark, path, spark.createDataFrame([(1, "zebra")], "query_id int, query string"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "content" not in plan
+
+
+def _exchanges(spark, work):
+    """Rows that the stages of `work()` shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    more = [getattr(store, f"stageList$default${i}")() for i in range(2, 6)]
+    listed = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    seen = {s.stageId() for s in listed(store.stageList(None, *more))}
+    work()
+    return sum(s.shuffleWriteRecords() for s in listed(store.stageList(None, *more)) if s.stageId() not in seen)
+
+
+def test_building_shuffles_each_posting_once(spark, tmp_path):
+    """Words were shuffled by record, by word, by stem and by range before they were written."""
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 50} common" for k in range(20))) for i in range(200)]
+    entries = spark.createDataFrame(rows, "id long, content string")
+    moved = _exchanges(spark, lambda: textindex.add_to_index(entries, str(tmp_path)))
+    postings = spark.read.parquet(f"{tmp_path}/postings").count()
+    assert postings == 200 * 21 and moved == postings
+
+
+def test_a_common_word_meets_only_records_with_the_rarest(spark, tmp_path):
+    rows = [(i, "common words " + ("rare" if i % 50 == 0 else "usual")) for i in range(1_000)] + [(5_000, None), (5_001, "")]
+    textindex.add_to_index(spark.createDataFrame(rows, "id long, content string"), str(tmp_path), stemming=False)
+    queries = spark.createDataFrame([(1, "common words rare"), (2, "-common"), (3, "missing common or rare -usual")], "query_id int, query string")
+    found = textindex.search_index(spark, str(tmp_path), queries)
+    required = queries.filter("query_id <> 2")
+    moved = _exchanges(spark, lambda: textindex.search_index(spark, str(tmp_path), required).write.format("noop").mode("overwrite").save())
+    assert moved < 1_000
+    got = {q: {r.id for r in found.filter(F.col("query_id") == q).collect()} for q in (1, 2, 3)}
+    rare = set(range(0, 1_000, 50))
+    assert got == {1: rare, 2: {5_000, 5_001}, 3: rare}
+
+
+def test_rows_of_one_id_are_one_record(spark, tmp_path):
+    rows = [(1, "alpha beta"), (1, "alpha gamma"), (2, "alpha")]
+    textindex.add_to_index(spark.createDataFrame(rows, "id long, content string"), str(tmp_path), stemming=False)
+    queries = spark.createDataFrame([(1, "beta gamma")], "query_id int, query string")
+    assert {r.id for r in textindex.search_index(spark, str(tmp_path), queries).collect()} == {1}
