@@ -67,7 +67,8 @@ def build_vocabulary(entries: DataFrame, text: str = "content", stemming: bool =
         .groupBy("token")
         .agg(F.count("*").alias("cf"))
     )
-    return counted.withColumn("stem", stem_token("token") if stemming else F.col("token"))
+    # Written: a join on the stem would else be tested below the count, which stems every word of every text.
+    return cut_lineage(counted).withColumn("stem", stem_token("token")) if stemming else counted.withColumn("stem", F.col("token"))
 
 
 def _query_table(terms: DataFrame, vocabulary: DataFrame, stemming: bool) -> DataFrame:

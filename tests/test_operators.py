@@ -505,3 +505,13 @@ def test_loose_bounds_leave_few_pairs_to_measure():
     want = np.argsort(-(left @ right.T), axis=1)[:, :3]
     got = {(int(r), int(c)) for r, c in zip(row, column)}
     assert all((r, int(c)) in got for r in range(700) for c in want[r])
+
+
+def test_words_are_stemmed_after_they_are_counted(spark):
+    """The filter that a join on the stem brings was tested below the count, so each word of each text was stemmed."""
+    entries = spark.createDataFrame([(1, "running runs ran")], "id int, content string")
+    vocabulary = fulltext.build_vocabulary(entries)
+    wanted = spark.createDataFrame([("run",)], "stem string")
+    plan = wanted.join(vocabulary, "stem", "left")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    assert {r.token for r in wanted.join(vocabulary, "stem").collect()} == {"running", "runs"}
