@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.trust import floor_div
@@ -79,26 +79,26 @@ def _codes(rows: pd.DataFrame, n_res: int) -> np.ndarray:
 
 
 def _fold(rows: pd.DataFrame, n_res: int):
-    """Transition of one chunk for every entry state: (state, count, reset, seat)."""
-    nexts, starts, adds = _tables(n_res)
-    size = 1 + n_res * _N
-    state = np.arange(size)
-    count, seat = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
-    reset = np.zeros(size, dtype=bool)
-    for code, seq in zip(_codes(rows, n_res), rows["seq"].to_numpy()):
-        start = starts[code][state]
-        count += adds[code][state]
-        if start.any():
-            count[start], seat[start] = 1, seq
-            reset |= start
-        state = nexts[code][state]
-    return state, count, reset, seat
+    """Transition of one chunk for every entry state: (state, count, reset, seat).
+
+    Every event is a map; neighbours are composed, all pairs at once, until one map is left.
+    """
+    nexts, starts, adds = (np.stack(t) for t in _tables(n_res))
+    codes = _codes(rows, n_res)
+    reset = starts[codes]
+    seat = np.where(reset, rows["seq"].to_numpy(dtype=np.int64)[:, None], -1)
+    maps = nexts[codes], np.where(reset, 1, adds[codes]), reset, seat
+    while len(maps[0]) > 1:
+        even = len(maps[0]) // 2 * 2
+        joined = _compose(tuple(m[:even:2] for m in maps), tuple(m[1:even:2] for m in maps))
+        maps = tuple(np.concatenate([j, m[even:]]) for j, m in zip(joined, maps))
+    return tuple(m[0] for m in maps)
 
 
 def _compose(first, second):
-    """`first` then `second`, both (state, count, reset, seat) arrays."""
+    """`first` then `second`, both (state, count, reset, seat) arrays by entry state, of one map or a row for each."""
     s1, c1, r1, t1 = first
-    s2, c2, r2, t2 = (a[s1] for a in second)
+    s2, c2, r2, t2 = (np.take_along_axis(a, s1, -1) for a in second)
     return s2, np.where(r2, c2, c1 + c2), r1 | r2, np.where(t2 >= 0, t2, t1)
 
 
@@ -134,9 +134,20 @@ def _prepared(
         .withColumn("is_new", F.coalesce(F.col("seq") == F.col("debut"), F.lit(False)))
         .withColumn("reinforce", F.col("kind") == "reinforce")
         .withColumn("res", F.coalesce(code, F.lit(-1)).cast("int"))
-        .withColumn("chunk", floor_div(F.col("seq"), chunk_rows))
+        .withColumn("_span", floor_div(F.col("seq"), chunk_rows))
     )
-    return ready, names
+    return ready.join(_chunks(alive, chunk_rows), ["pattern_hash", "_span"]).drop("_span"), names
+
+
+def _chunks(alive: DataFrame, chunk_rows: int) -> DataFrame:
+    """(pattern_hash, _span, chunk): consecutive spans of `seq` joined until they have `chunk_rows` rows, and fewer than twice that.
+
+    A pattern's events can lie far apart in `seq`; a chunk for every span would then hold a few rows only.
+    """
+    spans = alive.groupBy("pattern_hash", floor_div(F.col("seq"), chunk_rows).alias("_span")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("pattern_hash").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return cut_lineage(spans.select("pattern_hash", "_span", floor_div(earlier, chunk_rows).alias("chunk")))
 
 
 def _chunk_maps(ready: DataFrame, n_res: int) -> DataFrame:
@@ -301,15 +312,16 @@ def _replayed(ready: DataFrame, names: list[str], starts: DataFrame) -> DataFram
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        nexts, begins, adds = _tables(len(names))
+        # Lists: a step takes one number out, which is slow from arrays.
+        nexts, begins, adds = ([x.tolist() for x in t] for t in _tables(len(names)))
         state, count = int(rows["entry"].iloc[0]), int(rows["entry_count"].iloc[0])
         before, after, conf, counts, flips = [], [], [], [], []
-        for code in _codes(rows, len(names)):
-            begin = bool(begins[code][state])
+        for code in _codes(rows, len(names)).tolist():
+            begin = begins[code][state]
             before.append(names[(state - 1) // _N] if state else None)
             flips.append(begin and state > 0)
-            count = 1 if begin else count + int(adds[code][state])
-            state = int(nexts[code][state])
+            count = 1 if begin else count + adds[code][state]
+            state = nexts[code][state]
             after.append(names[(state - 1) // _N])
             conf.append(CONFIDENCES[(state - 1) % _N])
             counts.append(count)

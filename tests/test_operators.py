@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -515,3 +516,35 @@ def test_words_are_stemmed_after_they_are_counted(spark):
     plan = wanted.join(vocabulary, "stem", "left")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
     assert {r.token for r in wanted.join(vocabulary, "stem").collect()} == {"running", "runs"}
+
+
+def test_chunk_maps_take_few_steps(monkeypatch):
+    """A chunk was walked event by event with arrays of all states; pairs of maps are composed side by side instead."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({
+        "seq": np.arange(10, 1_011), "res": rng.integers(0, 3, 1_001), "reinforce": rng.random(1_001) < 0.2, "is_new": rng.random(1_001) < 0.1,
+    })
+    nexts, starts, adds = precedent._tables(3)
+    size = len(nexts[0])
+    state, count, reset, seat = np.arange(size), np.zeros(size, int), np.zeros(size, bool), np.full(size, -1)
+    for code, seq in zip(precedent._codes(rows, 3), rows["seq"]):
+        start = starts[code][state]
+        count = np.where(start, 1, count + adds[code][state])
+        seat, reset, state = np.where(start, seq, seat), reset | start, nexts[code][state]
+    steps, compose = [], precedent._compose
+    monkeypatch.setattr(precedent, "_compose", lambda *maps: steps.append(1) or compose(*maps))
+    for got, want in zip(precedent._fold(rows, 3), (state, count, reset, seat)):
+        assert got.tolist() == want.tolist()
+    assert 0 < len(steps) <= 10
+
+
+def test_chunks_follow_rows_and_not_the_span_of_seq(spark):
+    """Each span of `seq` was a chunk of its own, however few events of a pattern lay in it."""
+    rows = [(p, i * 100 + p, "deliberate", "a" if i % 3 else "b", "w", "s") for p in range(2) for i in range(400)]
+    rows += [(0, 50_000 + i, "deliberate", "b", "w", "t") for i in range(2, 90)]  # a dense stretch
+    events = spark.createDataFrame(rows, "pattern_hash int, seq long, kind string, resolution string, winner_rule string, source_key string")
+    ready, _ = precedent._prepared(events, 50)
+    sizes = [r["count"] for r in ready.groupBy("pattern_hash", "chunk").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 100 and len(sizes) <= len(rows) // 50 + 2
+    dense = {tuple(r) for r in precedent.trace(events, 10_000_000).collect()}
+    assert {tuple(r) for r in precedent.trace(events, 50).collect()} == dense
