@@ -58,3 +58,9 @@ def test_verify_shuffles_no_text(spark):
     for block in text.split("\n\n"):
         if "Exchange" in block and "Input" in block:
             assert "content" not in block and "canonical" not in block
+
+
+def test_pages_are_governed_once(spark):
+    """Both sides of the join with the chain's hashes governed every page."""
+    plan = contract.queries()["governed_writes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
