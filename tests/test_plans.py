@@ -60,6 +60,12 @@ def test_verify_shuffles_no_text(spark):
             assert "content" not in block and "canonical" not in block
 
 
+def test_a_text_is_screened_once(spark):
+    """The flag was worked out again wherever it is read: for the flag, the override and the trust."""
+    plan = contract.queries()["write_audit"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("disregard\\s") == 1
+
+
 def test_pages_are_governed_once(spark):
     """Both sides of the join with the chain's hashes governed every page."""
     plan = contract.queries()["governed_writes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
