@@ -508,6 +508,18 @@ def test_loose_bounds_leave_few_pairs_to_measure():
     assert all((r, int(c)) in got for r in range(700) for c in want[r])
 
 
+def test_a_vector_without_value_hides_no_other():
+    """A row's largest product in a tile is NaN when one product is."""
+    rng = np.random.default_rng(6)
+    left, right = (knn._unit(rng.normal(size=(n, 8))) for n in (600, 3_000))
+    alike = left @ right.T
+    bound = 1.0 - np.sort(alike, axis=1)[:, -3]
+    right[2_500] = np.nan
+    row, column = knn._near_rows(left, right, 3, bound)
+    got = {(int(r), int(c)) for r, c in zip(row, column)}
+    assert all((r, c) in got for r in range(600) for c in np.argsort(-alike[r])[:3].tolist() if c != 2_500)
+
+
 def test_words_are_stemmed_after_they_are_counted(spark):
     """The filter that a join on the stem brings was tested below the count, so each word of each text was stemmed."""
     entries = spark.createDataFrame([(1, "running runs ran")], "id int, content string")

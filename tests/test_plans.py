@@ -70,3 +70,10 @@ def test_pages_are_governed_once(spark):
     """Both sides of the join with the chain's hashes governed every page."""
     plan = contract.queries()["governed_writes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan
+
+
+@pytest.mark.parametrize("name", ["jaccard_pairs", "trust_conflicts"])
+def test_a_record_is_taken_apart_once(spark, name):
+    """Each side of a pair split its text again, and the overlap intersected the words at each use."""
+    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("array_intersect(old_words" ) + plan.count("array_intersect(new_words") == 1
