@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import crypto
 from ledgerlake.operators import chain, conflict, flood, fulltext, gates, graph, hooks, ingest, insights, knn, ordering, precedent, ranking, settling, state
 from ledgerlake.schema import SERVER_OWNED_KEYS
+from ledgerlake.streaming.inbox import self_conflicts
 
 KEYS = {"k1": "one", "k2": "two"}
 
@@ -386,6 +387,35 @@ def test_same_text_different_trust(spark):
     assert got[("c", "direct")] == ("high", "Prefer strong tea vs dislike strong tea")
 
 
+def test_words_are_fetched_for_open_pairs_only(spark, monkeypatch):
+    """Every record's words were shuffled, once for each of its pairs; the flags are those of whole pairs."""
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rnd.sample(words, n)) for n in (10, 10, 20, 20, 20, 0)] + ["I like strong tea.", "I hate strong tea.", None]
+    texts += [texts[2] + " more", texts[2], texts[3] + " and more words", texts[4].upper(), " " + texts[4], "I hate strong tea.  "]
+    rows = [(k, t, 0.3 + 0.1 * (k * 5 % 8), k) for k, t in enumerate(texts)]
+    e = spark.createDataFrame(rows, "id bigint, content string, trust_score double, chain_seq bigint").withColumn("memory_type", F.lit("semantic")).withColumn("source_agent", F.lit("s"))
+    pairs = spark.createDataFrame([(a, b, 1) for a in range(len(rows)) for b in range(len(rows)) if a != b], "id bigint, neighbour_id bigint, rank int")
+    written, cut = [], conflict.cut_lineage
+    monkeypatch.setattr(conflict, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    for similarity, delta in ((0.7, 0.4), (0.5, 0.0), (0.0, 0.2), (-1.0, 0.4)):
+        got, want = conflict.check(pairs, e, similarity, delta), conflict.flags(conflict.pair_up(pairs, e), similarity, delta)
+        got = got.select(*want.columns)
+        assert want.count() == got.count() > 0 and got.exceptAll(want).count() == 0
+    words = next(df for df in written if "words" in df.columns)
+    assert 0 < words.count() < len(rows) and 5 not in {r.id for r in words.collect()}
+
+
+def test_records_far_apart_write_no_words(spark, monkeypatch):
+    """Records of one trust and without preferences can't be in conflict, whatever their words."""
+    rows = [(k, f"text number {k} of many", 0.5, k, None) for k in range(20)]
+    e = spark.createDataFrame(rows, "id bigint, content string, trust_score double, chain_seq bigint, valid_until timestamp").withColumn("memory_type", F.lit("semantic")).withColumn("source_agent", F.lit("s"))
+    written, cut = [], conflict.cut_lineage
+    monkeypatch.setattr(conflict, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    assert self_conflicts(hooks.bag_embedder(64).apply(e)).count() == 0
+    assert [df.count() for df in written if "words" in df.columns] == [0]
+
+
 def test_clusters_walk(spark):
     rnd = np.random.default_rng(2)
     centres = rnd.normal(size=(4, 8))
