@@ -387,6 +387,24 @@ def test_same_text_different_trust(spark):
     assert got[("c", "direct")] == ("high", "Prefer strong tea vs dislike strong tea")
 
 
+def test_vectors_travel_by_block(spark):
+    """A vector was sent to each cell that its bound leaves, which are nearly all where vectors have no structure."""
+    vectors = np.random.default_rng(7).normal(size=(3_000, 24)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(vectors)), "vector": [[float(x) for x in v] for v in vectors]}), "id bigint, vector array<float>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        return sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+
+    before = sent()
+    rows = knn.nearest(df.withColumnRenamed("id", "probe_id"), df, 3, scan_probes=0, pivots=100).orderBy("probe_id", "rank").collect()
+    assert sent() - before < 10 * vectors.nbytes
+    unit = knn._unit(list(vectors))
+    far = np.round(np.maximum(1.0 - unit @ unit.T, 0.0), 9)
+    want = [(p, int(i), r + 1) for p in range(len(far)) for r, i in enumerate(np.lexsort((np.arange(len(far)), far[p]))[:3])]
+    assert [(r.probe_id, r.id, r["rank"]) for r in rows] == want
+
+
 def test_words_are_fetched_for_open_pairs_only(spark, monkeypatch):
     """Every record's words were shuffled, once for each of its pairs; the flags are those of whole pairs."""
     rnd = random.Random(4)
